@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("lodestone.plans.units",)
+MODULES: tuple[str, ...] = ()
 
 
 def queries() -> dict:
