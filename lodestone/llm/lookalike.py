@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.session import table
+from lodestone.session import cut, table
 
 # Letters that share their glyph with a Latin letter, in pairs.
 CYRILLIC = "АA ВB ЕE КK МM НH ОO РP СC ТT ХX ЅS ІI ЈJ ԚQ ԜW ЁË ЇÏ аa еe оo рp сc уy хx ѕs іi јj һh ԁd ԛq ԝw ӏl ёë їï"
@@ -23,7 +23,7 @@ GREEK = "ΑA ΒB ΕE ΖZ ΗH ΙI ΚK ΜM ΝN ΟO ΡP ΤT ΥY ΧX οo ϲc ϳj ϹC
 ROMAN = "ⅠI ⅤV ⅩX ⅬL ⅭC ⅮD ⅯM ⅰi ⅴv ⅹx ⅼl ⅽc ⅾd ⅿm"
 OTHER = "μµ ‐- ‑- ․. ‧· ⋅· ・· օo ſs"
 LIGATURES = {"ﬀ": "ff", "ﬁ": "fi", "ﬂ": "fl", "ﬃ": "ffi", "ﬄ": "ffl", "ﬆ": "st", "℃": "°C", "℉": "°F"}
-BLANKS = "\t\x0b\x0c\x85\xa0              　"
+BLANKS = "\t\x0b\x0c\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u202f\u205f\u3000"
 #: Code points without ink, as ranges of a character class.
 INKLESS = r"\x{00}-\x{08}\x{0E}-\x{1F}\x{7F}-\x{84}\x{86}-\x{9F}\x{AD}\x{34F}\x{61C}\x{115F}\x{1160}\x{17B4}\x{17B5}\x{180B}-\x{180F}\x{200B}-\x{200F}\x{202A}-\x{202E}\x{2060}-\x{206F}\x{FE00}-\x{FE0F}\x{FEFF}\x{FFF9}-\x{FFFB}\x{E0000}-\x{E0FFF}"
 
@@ -86,7 +86,7 @@ def form_hashes(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataF
 def lookalike_pairs(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_a < doc_b whose texts differ as stored and share one form. Groups of equal copies alone never reach the join:
     a form takes part only if it has two or more stored texts, found by a count with partial aggregation."""
-    hashes = form_hashes(df, key, text)
+    hashes = cut(form_hashes(df, key, text))  # read three times below
     mixed = hashes.groupBy("form").agg((F.min("raw") != F.max("raw")).alias("mixed")).where("mixed").select("form")
     of = hashes.join(mixed, "form", "left_semi")
     a, b = (of.select("form", F.col("raw").alias(f"raw_{x}"), F.col(key).alias(f"doc_{x}")) for x in "ab")
@@ -104,7 +104,7 @@ def p9_form(spark: SparkSession, sf: str) -> DataFrame:
 
 def p9_classes(spark: SparkSession, sf: str) -> DataFrame:
     """One row per document with a text: the class of documents that look the same (its smallest id), its size."""
-    h = form_hashes(table(spark, sf, "documents"))
+    h = cut(form_hashes(table(spark, sf, "documents")))
     c = h.groupBy("form").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("class_size"), F.count_distinct("raw").alias("stored_texts"))
     return h.join(c, "form").select("doc_id", "class_id", "class_size", "stored_texts")
 
