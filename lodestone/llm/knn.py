@@ -15,17 +15,18 @@ gives what there is; no usable vectors, no rows.
 
 from __future__ import annotations
 
-import heapq
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lodestone.session import cut, table
 
-TOP, SAMPLE, LEAF_SAMPLE, BRANCH, TARGET, CALIBRATE, BLOCK_ROWS, SEED = 5, 20_000, 64, 16, 0.99, 200, 16_384, 11
+TOP, SAMPLE, LEAF_SAMPLE, BRANCH, TARGET, CALIBRATE, BLOCK_ROWS, ASK_ROWS, SEED = 5, 20_000, 64, 16, 0.93, 400, 32_768, 131_072, 11
 
 
 def usable(df: DataFrame, key: str = "chunk_id") -> DataFrame:
@@ -93,23 +94,31 @@ class Tree:
         return out
 
     def visits(self, x: np.ndarray, n: int) -> np.ndarray:
-        """The first n leaves of each query, best bin first."""
+        """The first n leaves of each query, best bin first. The priority queues of a batch of queries are the rows of one
+        matrix: a node that isn't queued has the key infinity, and all queries pop at once."""
         n = min(n, self.leaves)
         out = np.empty((len(x), n), np.int32)
+        leaf = np.array(self.leaf)
+        width = max((len(k) for k in self.children), default=0)
+        kids = np.full((len(leaf), max(1, width)), len(leaf))
+        for i, k in enumerate(self.children):
+            kids[i, : len(k)] = k
         for start in range(0, len(x), 2048):
-            d = (self.c2 - 2 * x[start : start + 2048] @ self.c.T).tolist()
-            for q, row in enumerate(d):
-                heap, got = [(row[0], 0)], 0
-                line = out[start + q]
-                while got < n:
-                    _, node = heapq.heappop(heap)
-                    kids = self.children[node]
-                    if kids:
-                        for k in kids:
-                            heapq.heappush(heap, (row[k], k))
-                    else:
-                        line[got] = self.leaf[node]
-                        got += 1
+            d = self.c2 - 2 * x[start : start + 2048] @ self.c.T
+            d = np.concatenate([d, np.full((len(d), 1), np.inf, d.dtype)], axis=1)  # a padded child never gets into a queue
+            queue = np.full_like(d, np.inf)
+            queue[:, 0] = d[:, 0]
+            got, rows = np.zeros(len(d), np.int64), np.arange(len(d))
+            while len(rows):
+                node = queue[rows].argmin(axis=1) if len(rows) < len(d) else queue.argmin(axis=1)
+                queue[rows, node] = np.inf
+                at_leaf = leaf[node] >= 0
+                r, m = rows[at_leaf], node[at_leaf]
+                out[start + r, got[r]] = leaf[m]
+                got[r] += 1
+                r, m = rows[~at_leaf], kids[node[~at_leaf]]
+                queue[r[:, None], m] = d[r[:, None], m]
+                rows = rows[got[rows] < n]
         return out
 
 
@@ -119,8 +128,34 @@ def _top(sims: np.ndarray, k: int) -> np.ndarray:
     return part
 
 
-def _stack(vectors: pd.Series) -> np.ndarray:
-    return np.stack(vectors.to_numpy()).astype(np.float32) if len(vectors) else np.zeros((0, 1), np.float32)
+def _matrix(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
+    """The rows of a column of lists of one length."""
+    c = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    return c.flatten().to_numpy(zero_copy_only=False).astype(np.float32, copy=False).reshape(len(c), -1) if len(c) else np.zeros((0, 1), np.float32)
+
+
+def _bytes(x: np.ndarray) -> pa.Array:
+    """Rows as binary values."""
+    return pa.Array.from_buffers(pa.binary(x.shape[1] * 4), len(x), [None, pa.py_buffer(np.ascontiguousarray(x, np.float32))]).cast(pa.binary())
+
+
+def _rows(column: pa.ChunkedArray, dtype: str = "<f4") -> np.ndarray:
+    """The other way round."""
+    return np.frombuffer(b"".join(column.to_pylist()), dtype).reshape(len(column), -1)
+
+
+def _improve(best_s: np.ndarray, best_r: np.ndarray, q: np.ndarray, r: np.ndarray, v: np.ndarray, other: np.ndarray, k: int) -> None:
+    """Merge found pairs (row r of q, similarity, other id) into the k best of each query; ties to the smaller id."""
+    touched, slot = np.unique(r, return_inverse=True)
+    rows = q[touched]
+    s = np.concatenate([best_s[rows].ravel(), v])
+    o = np.concatenate([best_r[rows].ravel(), other])
+    of = np.concatenate([np.repeat(np.arange(len(rows)), k), slot])
+    order = np.lexsort((o, -s, of))
+    of, s, o = of[order], s[order], o[order]
+    start = np.searchsorted(of, np.arange(len(rows)))
+    take = start[:, None] + np.arange(k)
+    best_s[rows], best_r[rows] = s[take], o[take]
 
 
 def _calibrate(reps: DataFrame, tree: Tree, queries: np.ndarray, ids: np.ndarray, k: int, target: float) -> int:
@@ -129,7 +164,7 @@ def _calibrate(reps: DataFrame, tree: Tree, queries: np.ndarray, ids: np.ndarray
     def exact(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in it:
             if len(pdf):
-                x = _stack(pdf["vector"])
+                x = np.stack(pdf["vector"].to_numpy())
                 own = pdf["rep"].to_numpy()
                 sims = queries @ x.T
                 sims[ids[:, None] == own[None, :]] = -2
@@ -154,69 +189,79 @@ def _search_model(reps: DataFrame, k: int, n: int, target: float) -> DataFrame:
     share = min(1.0, 1.2 * SAMPLE / n)
     picked = reps.where(F.pmod(F.xxhash64("rep", F.lit(SEED)), F.lit(1 << 20)) < F.lit(int(share * (1 << 20)) + 1))
     sample = picked.orderBy(F.xxhash64("rep", F.lit(SEED))).limit(SAMPLE).toPandas()
-    x, ids = _stack(sample["vector"]), sample["rep"].to_numpy()
+    x, ids = np.stack(sample["vector"].to_numpy()).astype(np.float32), sample["rep"].to_numpy()
     tree = Tree(x)
     visits = _calibrate(reps, tree, x[:CALIBRATE], ids[:CALIBRATE], k, target)
     per_leaf = np.bincount(tree.assign(x), minlength=tree.leaves) * (n / len(x))
     block = (np.cumsum(per_leaf) // BLOCK_ROWS).astype(np.int64)  # leaves by block, in the order of the tree
+    first_leaf = np.searchsorted(block, np.arange(block[-1] + 2))
     rows = np.bincount(block, weights=per_leaf)
     subs = np.maximum(1, np.ceil(rows / (2 * BLOCK_ROWS))).astype(np.int64)  # a leaf above the size of a block is cut by hash
+    asks = max(1, -(-n // ASK_ROWS))  # the queries of a block are cut by hash as well, and its rows sent to each part
+    names = ["block", "sub", "part", "rep", "leaf", "mask", "vec"]
 
-    def route(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in it:
-            if not len(pdf):
+    def rows_of(bl: int, sub: np.ndarray | int, part: int | np.ndarray, rep: np.ndarray, leaf: np.ndarray | None, mask: pa.Array, vec: pa.Array) -> pa.RecordBatch:
+        k = len(rep)
+        full = lambda v: pa.array(np.broadcast_to(np.asarray(v, np.int64), (k,)))
+        return pa.RecordBatch.from_arrays([full(bl), full(sub), full(part), pa.array(rep), full(-1 if leaf is None else leaf), mask, vec], names=names)
+
+    def route(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in it:
+            if not batch.num_rows:
                 continue
-            x, rep = _stack(pdf["vector"]), pdf["rep"].to_numpy()
-            raw = [v.tobytes() for v in x]
+            x, rep = _matrix(batch.column(1)), batch.column(0).to_numpy()
+            raw = _bytes(x)
             leaf = tree.assign(x)
-            b = block[leaf]
-            sub = (rep * np.int64(0x9E3779B1) >> 7) % subs[b]
-            yield pd.DataFrame({"block": b, "sub": sub, "rep": rep, "leaf": leaf, "leaves": None, "vec": raw})
-            seen = tree.visits(x, visits)
-            for i in range(0, len(x), 4096):
-                own = seen[i : i + 4096]
-                at, inverse = block[own], []
-                for q in range(len(own)):
-                    for bl in np.unique(at[q]):
-                        inverse.append((int(bl), q + i, own[q][at[q] == bl].astype("<i4").tobytes()))
-                out = [(bl, s, int(rep[q]), -1, leaves, raw[q]) for bl, q, leaves in inverse for s in range(subs[bl])]
-                yield pd.DataFrame(out, columns=["block", "sub", "rep", "leaf", "leaves", "vec"])
-
-    def answer(pdf: pd.DataFrame) -> pd.DataFrame:
-        index = pdf[pdf["leaf"] >= 0].sort_values("leaf", kind="stable")
-        asks = pdf[pdf["leaf"] < 0]
-        empty = pd.DataFrame({"rep": pd.Series([], dtype="int64"), "near": [], "sims": []})
-        if not len(index) or not len(asks):
-            return empty
-        xi = np.frombuffer(b"".join(index["vec"]), np.float32).reshape(len(index), -1)
-        xq = np.frombuffer(b"".join(asks["vec"]), np.float32).reshape(len(asks), -1)
-        ri, rq, li = index["rep"].to_numpy(), asks["rep"].to_numpy(), index["leaf"].to_numpy()
-        lists = [np.frombuffer(b, "<i4") for b in asks["leaves"]]
-        q_of, leaf_of = np.repeat(np.arange(len(asks)), [len(v) for v in lists]), np.concatenate(lists)
-        order = np.argsort(leaf_of, kind="stable")
-        q_of, leaf_of = q_of[order], leaf_of[order]
-        best_s, best_r = np.full((len(asks), k), -2, np.float32), np.full((len(asks), k), -1, np.int64)
-        for leaf in np.unique(leaf_of):
-            a, b = np.searchsorted(li, [leaf, leaf + 1])
-            if a == b:
-                continue
-            qs = q_of[slice(*np.searchsorted(leaf_of, [leaf, leaf + 1]))]
-            for s in range(0, len(qs), 1024):
-                q = qs[s : s + 1024]
-                for t in range(a, b, 8192):
-                    u = min(b, t + 8192)
+            spread = (rep * np.int64(0x9E3779B1) >> 7) & 0xFFFFFF
+            seen = np.zeros((len(x), tree.leaves), bool)
+            np.put_along_axis(seen, tree.visits(x, visits).astype(np.int64), True, axis=1)
+            for bl in range(len(rows)):
+                mine = np.flatnonzero(block[leaf] == bl)
+                if len(mine):
+                    vec = raw.take(pa.array(mine))
+                    for part in range(asks):
+                        yield rows_of(bl, spread[mine] % subs[bl], part, rep[mine], leaf[mine], pa.nulls(len(mine), pa.binary()), vec)
+                here = seen[:, first_leaf[bl] : first_leaf[bl + 1]]
+                mine = np.flatnonzero(here.any(axis=1))
+                if len(mine):
+                    vec = raw.take(pa.array(mine))
+                    mask = pa.array([m.tobytes() for m in np.packbits(here[mine], axis=1)], pa.binary())
+                    for sub in range(subs[bl]):
+                        yield rows_of(bl, sub, spread[mine] % asks, rep[mine], None, mask, vec)
+
+    def answer(tbl: pa.Table) -> pa.Table:
+        leaf = tbl.column("leaf").to_numpy()
+        index, ask = np.flatnonzero(leaf >= 0), np.flatnonzero(leaf < 0)
+        schema = pa.schema([("rep", pa.int64()), ("near", pa.list_(pa.int64())), ("sims", pa.list_(pa.float64()))])
+        if not len(index) or not len(ask):
+            return schema.empty_table()
+        index = index[np.argsort(leaf[index], kind="stable")]
+        rep = tbl.column("rep").to_numpy()
+        xi, xq = _rows(tbl.column("vec").take(pa.array(index))), _rows(tbl.column("vec").take(pa.array(ask)))
+        ri, rq, li = rep[index], rep[ask], leaf[index]
+        bl = int(tbl.column("block")[0].as_py())
+        mask = np.unpackbits(_rows(tbl.column("mask").take(pa.array(ask)), "u1"), axis=1)[:, : first_leaf[bl + 1] - first_leaf[bl]].astype(bool)
+        best_s, best_r = np.full((len(ask), k), -2, np.float32), np.full((len(ask), k), -1, np.int64)
+        for at in range(mask.shape[1]):
+            a, b = np.searchsorted(li, [first_leaf[bl] + at, first_leaf[bl] + at + 1])
+            qs = np.flatnonzero(mask[:, at])
+            for s in range(0, len(qs), 4096):
+                q = qs[s : s + 4096]
+                for t in range(a, b, 2048):
+                    u = min(b, t + 2048)
                     sims = xq[q] @ xi[t:u].T
-                    sims[rq[q][:, None] == ri[None, t:u]] = -2
-                    at = _top(sims, k)
-                    both_s = np.concatenate([best_s[q], np.take_along_axis(sims, at, 1)], axis=1)
-                    both_r = np.concatenate([best_r[q], ri[t + at]], axis=1)
-                    o = np.lexsort((both_r, -both_s), axis=1)[:, :k]
-                    best_s[q], best_r[q] = np.take_along_axis(both_s, o, 1), np.take_along_axis(both_r, o, 1)
+                    # only what beats (or equals) the k-th so far is looked at
+                    r, c = np.nonzero(sims >= best_s[q, k - 1][:, None])
+                    v, other = sims[r, c], ri[t + c]
+                    keep = other != rq[q[r]]
+                    r, v, other = r[keep], v[keep], other[keep]
+                    if len(r):
+                        _improve(best_s, best_r, q, r, v, other, k)
         keep = best_s > -2
-        return pd.DataFrame({"rep": rq, "near": [r[m] for r, m in zip(best_r, keep)], "sims": [s[m].astype(float) for s, m in zip(best_s, keep)]})
+        return pa.table([pa.array(rq), pa.array([r[m] for r, m in zip(best_r, keep)], pa.list_(pa.int64())), pa.array([v[m].astype(float) for v, m in zip(best_s, keep)], pa.list_(pa.float64()))], schema=schema)
 
-    routed = reps.mapInPandas(route, "block bigint, sub bigint, rep bigint, leaf bigint, leaves binary, vec binary")
-    found = routed.groupBy("block", "sub").applyInPandas(answer, "rep bigint, near array<bigint>, sims array<double>")
+    routed = reps.mapInArrow(route, "block bigint, sub bigint, part bigint, rep bigint, leaf bigint, mask binary, vec binary")
+    found = routed.groupBy("block", "sub", "part").applyInArrow(answer, "rep bigint, near array<bigint>, sims array<double>")
     # no more partial answers to a query than blocks it visits
     pairs = F.transform(F.arrays_zip("sims", "near"), lambda p: F.struct((-p["sims"]).alias("d"), p["near"].alias("rep")))
     return found.groupBy("rep").agg(F.slice(F.array_sort(F.flatten(F.collect_list(pairs))), 1, k).alias("nbrs"))
@@ -228,14 +273,16 @@ def neighbours(df: DataFrame, key: str = "chunk_id", k: int = TOP, target: float
     first = x.withColumn("rn", F.row_number().over(Window.partitionBy("h1", "h2").orderBy(key))).where(F.col("rn") <= k + 1)
     classes = first.groupBy("h1", "h2").agg(F.min(key).alias("rep"), F.sort_array(F.collect_list(key)).alias("members"), F.min("model").alias("model"))
 
-    def normalise(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in it:
-            if len(pdf):
-                pdf = pdf.copy()
-                pdf["vector"] = _unit_rows(pdf["vector"])
-            yield pdf
+    def normalise(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in it:
+            lengths = pc.list_value_length(batch.column(2)).to_numpy()
+            for size in np.unique(lengths):
+                part = batch.filter(pa.array(lengths == size))
+                x = unit(_matrix(part.column(2)))
+                offsets = pa.array(np.arange(len(x) + 1, dtype=np.int32) * int(size))
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.ListArray.from_arrays(offsets, pa.array(x.ravel()))], names=["rep", "model", "vector"])
 
-    reps = cut(first.where("rn = 1").select(F.col(key).alias("rep"), "model", "vector").mapInPandas(normalise, "rep bigint, model string, vector array<float>"))
+    reps = cut(first.where("rn = 1").select(F.col(key).alias("rep"), "model", "vector").mapInArrow(normalise, "rep bigint, model string, vector array<float>"))
     sizes = {r[0]: int(r[1]) for r in reps.groupBy("model").count().collect()}  # one row for each model
     found = None
     for model, n in sorted(sizes.items()):
@@ -252,17 +299,6 @@ def neighbours(df: DataFrame, key: str = "chunk_id", k: int = TOP, target: float
     return near.select(key, "model", (F.col("rank") + 1).alias("rank"), F.col("s.id").alias("neighbour"), (-F.col("s.d")).alias("cosine"))
 
 
-def _unit_rows(vectors: pd.Series) -> list[np.ndarray]:
-    """Unit vectors, row by row in blocks of equal length."""
-    out: list = [None] * len(vectors)
-    lengths = vectors.map(len).to_numpy()
-    for n in np.unique(lengths):
-        at = np.flatnonzero(lengths == n)
-        for i, v in zip(at, unit(np.stack(vectors.iloc[at].to_numpy()))):
-            out[i] = v
-    return out
-
-
 def p5_found(spark: SparkSession, sf: str) -> DataFrame:
     near = neighbours(table(spark, sf, "chunk_vectors")).where("cosine >= 0.8")
     return near.select(F.least("chunk_id", "neighbour").alias("chunk_a"), F.greatest("chunk_id", "neighbour").alias("chunk_b")).distinct()
