@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("lodestone.plans.units",)
+MODULES = ("lodestone.plans.retrieval", "lodestone.plans.units")
 
 
 def queries() -> dict:
