@@ -4,7 +4,8 @@ Arrow partitions.
 The form: marks without ink go; every blank becomes a space; full-width forms, ligatures, letters that
 are one glyph with a Latin one, and compatibility singletons become the plain character; the result is
 composed (NFC). What a reader can see stays: case, accents, super- and subscripts, dashes of different
-length, line breaks. Blanks at the end of a line cannot be seen and go.
+length, line breaks. Blanks at the end of a line cannot be seen and go. Null texts have a null form, a null id pairs with
+nothing, texts that are equal as stored are no pair.
 """
 
 from __future__ import annotations

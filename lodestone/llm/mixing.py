@@ -8,7 +8,7 @@ perm(g mod blocks) of pass g div blocks, where perm is a keyed Feistel permutati
 block once. A source may give at most floor(max_repeats) passes; slots beyond stay empty and show as a
 shortfall. Blocks and documents are joined by (source, block).
 
-Null sources, sources without target and texts without tokens take no part. A source without documents
+Null ids, null sources, sources without target and texts without tokens take no part. A source without documents
 is reported with nothing drawn. Copies under other ids count as documents of their own.
 """
 
@@ -71,6 +71,7 @@ def mix(counts: DataFrame, targets: DataFrame, total_tokens: int | None = None,
     few rows, one for each source, which is collected. ``total_tokens``: size to aim at, by default as much as the sources hold.
     selection: doc_id, source, n_tokens, tokens_drawn, times_drawn. shares: source, target_share, max_repeats, available, tokens_drawn, actual_share, shortfall."""
     spark = counts.sparkSession
+    counts, targets = counts.select("doc_id", "source", "n_tokens").where("doc_id IS NOT NULL"), targets.select("source", "target_share", "max_repeats")
     t = targets.where("source IS NOT NULL AND target_share > 0").groupBy("source").agg(F.max("target_share").alias("target_share"), F.max("max_repeats").alias("max_repeats")).toPandas().sort_values("source")
     small = spark.createDataFrame([(s, float(p), float(m)) for s, p, m in t.itertuples(index=False)], "source string, target_share double, max_repeats double")
     counts = cut(counts.where("n_tokens > 0 AND source IS NOT NULL").join(F.broadcast(small.select("source")), "source", "left_semi"))
@@ -78,6 +79,8 @@ def mix(counts: DataFrame, targets: DataFrame, total_tokens: int | None = None,
     shares = t["target_share"].to_numpy() / max(t["target_share"].sum(), 1e-12)
     n_slots = max(1, (total_tokens or sum(have.values())) // block)
     names = t["source"].tolist()
+    if not names:
+        return spark.createDataFrame([], "doc_id bigint, source string, n_tokens bigint, tokens_drawn bigint, times_drawn double"), spark.createDataFrame([], "source string, target_share double, max_repeats double, available bigint, tokens_drawn bigint, actual_share double, shortfall double")
     blocks = np.array([-(-have.get(s, 0) // block) for s in names], np.int64)
     cap = blocks * np.floor(t["max_repeats"].fillna(1).to_numpy()).astype(np.int64)
 
@@ -116,7 +119,7 @@ def mix(counts: DataFrame, targets: DataFrame, total_tokens: int | None = None,
     held = spark.createDataFrame([(s, have.get(s, 0)) for s in names], "source string, available bigint")
     report = small.join(F.broadcast(held), "source").join(got, "source", "left").withColumn("tokens_drawn", F.coalesce("tokens_drawn", F.lit(0)))
     everything = F.sum("tokens_drawn").over(Window.partitionBy(F.lit(0)))  # one row for each source
-    report = report.withColumn("actual_share", F.col("tokens_drawn") / everything).withColumn("shortfall", F.greatest(F.lit(0.0), F.col("target_share") - F.col("actual_share")))
+    report = report.withColumn("actual_share", F.coalesce(F.try_divide(F.col("tokens_drawn").cast("double"), everything.cast("double")), F.lit(0.0))).withColumn("shortfall", F.greatest(F.lit(0.0), F.col("target_share") - F.col("actual_share")))
     return selection, report
 
 

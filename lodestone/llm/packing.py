@@ -65,10 +65,10 @@ def best_fit_decreasing(sizes: list[int], capacity: int) -> tuple[list[int], lis
 
 def pieces(counts: DataFrame, capacity: int, key: str = "doc_id") -> DataFrame:
     """key, piece, n_pieces, size: an item above the capacity is cut into full pieces and a rest, others
-    stay whole. Items without size (null, 0 or less) need no room and get no row."""
+    stay whole. Items without size (null, 0 or less) need no room and get no row, nor do items without key."""
     n = F.ceil(F.col("n_tokens") / F.lit(float(capacity))).cast("int")
     return (
-        counts.where(F.col("n_tokens") > 0)
+        counts.where((F.col("n_tokens") > 0) & F.col(key).isNotNull())
         .withColumn("n_pieces", n)
         .withColumn("piece", F.explode(F.sequence(F.lit(0), F.col("n_pieces") - 1)))
         .select(key, "piece", "n_pieces", F.least(F.lit(capacity), F.col("n_tokens") - F.col("piece") * F.lit(capacity)).cast("int").alias("size"))

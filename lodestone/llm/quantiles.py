@@ -8,7 +8,7 @@ any tree. Each sketch carries the bound of its rank error: with C collapses whos
 sum, a reported rank is off by at most (W - C - 1) / 2 + w_max (0 while nothing was collapsed, so groups
 of up to ``k`` values are exact).
 
-Nulls, NaN and infinities don't count. A null key is a group of its own. A row id counts once. No rows,
+Nulls, NaN and infinities don't count. A null key is a group of its own. A row id counts once, a null id not at all. No rows,
 no groups. Ties keep their multiplicity.
 """
 
@@ -176,7 +176,7 @@ def sketches(df: DataFrame, keys: list[str], value: str, row_id: str | None = No
     whatever the keys' skew), drops repeats of an id and sketches each partition; then sketches alone move by key."""
     src = df.where(finite(F.col(value)))
     if row_id:
-        src = src.select(F.col(row_id).alias("__id"), *keys, F.col(value).cast("double").alias("__value")).dropDuplicates(["__id"])
+        src = src.where(F.col(row_id).isNotNull()).select(F.col(row_id).alias("__id"), *keys, F.col(value).cast("double").alias("__value")).dropDuplicates(["__id"])
     src = src.select(*keys, F.col(value if not row_id else "__value").cast("double").alias("__value")).sortWithinPartitions(*keys, "__value")
 
     def feed(s: Sketch, values: pa.Array, a: int, e: int) -> Sketch:

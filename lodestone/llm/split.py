@@ -6,7 +6,7 @@ by what is there (a change of heading, a segment, a blank line, a line break, an
 clause, nothing), and the cuts minimise the sum of penalties and of squared deviations from the even
 size, over all positions. A word is a maximal run of characters that are not Unicode white space.
 
-Null, empty and short texts give no rows. Repeated rows of an id count once. An overlap of the capacity
+Null ids and null, empty and short texts give no rows. Repeated rows of an id count once. An overlap of the capacity
 or more is taken as capacity - 1. A chunk without segments keeps its own locator on every piece.
 """
 
@@ -122,7 +122,7 @@ def split_text(text: str, capacity: int, overlap: int, segments: list[dict] | No
 def split_chunks(chunks: DataFrame, segments: DataFrame, capacity: int, overlap: int) -> DataFrame:
     """Pieces of the chunks over the capacity. Only these leave the scan: a text of so many words has at least
     2 * capacity + 1 characters. Segments are gathered per chunk; together they are no longer than its text."""
-    long = chunks.where(F.length("text") > 2 * capacity).select("id", "document_id", "locator", "text").dropDuplicates(["id"])
+    long = chunks.where((F.length("text") > 2 * capacity) & F.col("id").isNotNull()).select("id", "document_id", "locator", "text").dropDuplicates(["id"])
     segs = (
         segments.select("chunk_id", "document_id", "ord", "heading_path", "text")
         .join(long.select(F.col("id").alias("chunk_id")), "chunk_id", "left_semi")
