@@ -23,6 +23,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from lodestone.session import cut
+
 # Names and sizes of the prefixes.
 PREFIX_SYMBOLS = {"f": -15, "p": -12, "n": -9, "u": -6, "μ": -6, "m": -3, "k": 3, "M": 6, "G": 9, "T": 12}
 PREFIX_WORDS = {"femto": -15, "pico": -12, "nano": -9, "micro": -6, "milli": -3, "kilo": 3, "mega": 6, "giga": 9, "tera": 12}
@@ -170,9 +172,9 @@ def readings(pairs: DataFrame) -> DataFrame:
     return c.withColumn("rn", F.row_number().over(w)).where("rn = 1").select("unit", "stem", "quantity", "factor", "offset", "is_log")
 
 
-def _attach(rows: DataFrame, small: DataFrame, keys: list[str], n: int, limit: int = 50_000, salts: int = 16) -> DataFrame:
+def attach(rows: DataFrame, small: DataFrame, keys: list[str], n: int, limit: int = 50_000, salts: int = 16) -> DataFrame:
     """Left join of a fact table with a table of one row per key: broadcast if it has at most ``limit`` rows, else by salted
-    keys, so that a hot key spreads over tasks."""
+    keys, so that a hot key spreads over tasks. Keys aren't null."""
     if n <= limit:
         return rows.join(F.broadcast(small), keys, "left")
     spread = small.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
@@ -206,15 +208,30 @@ def rebase(spark: SparkSession, read: DataFrame, targets: DataFrame) -> DataFram
     return r.select("unit", "stem", "quantity", F.when(F.col("is_log"), F.col("factor")).otherwise(F.col("factor") / f).alias("factor"), F.when(F.col("is_log"), F.col("offset")).otherwise((F.col("offset") - o) / f).alias("offset"), "is_log")
 
 
-def read_fields(spark: SparkSession, fields: list[DataFrame], targets: DataFrame) -> tuple[DataFrame, int]:
-    """(readings, their number) of all (unit, stem) of some tables with columns unit, stem, value."""
+RAW = ("u", "cu", "name")
+
+
+def raw_fields(id_: Column, units: Column, conditions: Column, name: Column, *rest: Column) -> tuple[Column, ...]:
+    """The columns that decide a row's unit, as they are: u, cu, name; never null, so that they join."""
+    cu = F.when(F.contains(F.coalesce(conditions, F.lit("")), F.lit('"UNITS"')), F.get_json_object(conditions, "$.UNITS"))
+    blank = lambda c: F.coalesce(c, F.lit(""))
+    return (id_.alias("id"), blank(units).alias("u"), blank(cu).alias("cu"), blank(name).alias("name"), *rest)
+
+
+def read_fields(spark: SparkSession, fields: list[tuple[str, DataFrame]], targets: DataFrame) -> tuple[DataFrame, int]:
+    """(readings by kind and RAW columns with a number ``code``, how many) of tables with the RAW columns and ``value``; ``kind`` keeps the stems of tables apart.
+
+    Facts are only counted by their distinct RAW strings; all parsing is done on these."""
     both = None
-    for f in fields:
-        one = f.where("unit IS NOT NULL").select("unit", "stem", F.abs("value").alias("v"))
+    for kind, f in fields:
+        one = f.select(F.lit(kind).alias("kind"), *RAW, F.abs("value").alias("v"))
         both = one if both is None else both.unionByName(one)
-    ok = F.when(F.col("v").isNotNull() & ~F.isnan("v") & (F.col("v") < float("inf")), F.col("v"))
-    pairs = both.groupBy("unit", "stem").agg(F.count("*").alias("n"), F.percentile_approx(ok, 0.5, 100).alias("size"))
-    from lodestone.session import cut
-
-    read = cut(rebase(spark, readings(pairs), targets))
+    log = F.when((F.col("v") > 0) & (F.col("v") < float("inf")), F.log10("v"))
+    combos = both.groupBy("kind", *RAW).agg(F.count("*").alias("n"), F.sum(log).alias("s"), F.count(log).alias("k"))
+    unit = F.coalesce(stated(F.col("u")), stated(F.col("cu")), from_name(F.col("name")))
+    combos = cut(combos.select("kind", *RAW, "n", "s", "k", unit.alias("unit"), F.concat_ws(":", "kind", stem(F.col("name"))).alias("stem")).where("unit IS NOT NULL"))
+    pairs = combos.groupBy("unit", "stem").agg(F.sum("n").alias("n"), F.pow(F.lit(10.0), F.try_divide(F.sum("s"), F.sum("k").cast("double"))).alias("size"))
+    read = combos.select("kind", *RAW, "unit", "stem").join(rebase(spark, readings(pairs), targets), ["unit", "stem"])
+    read = read.withColumn("code", F.row_number().over(Window.orderBy("kind", *RAW)))  # one row for each distinct spelling of unit and field
+    read = cut(read.select("kind", *RAW, "code", *READING))
     return read, read.count()

@@ -10,30 +10,28 @@ from lodestone.session import finite, table
 
 
 def _results(spark: SparkSession, sf: str) -> DataFrame:
-    r = table(spark, sf, "stdf_results").select("id", "doc_id", "test_num", "test_txt", "units", "conditions", F.col("result").alias("value"))
-    unit = F.coalesce(U.stated(F.col("units")), U.stated(F.get_json_object("conditions", "$.UNITS")), U.from_name(F.col("test_txt")))
-    return r.select("id", "doc_id", "test_num", "value", unit.alias("unit"), F.concat(F.lit("test:"), F.coalesce(U.stem(F.col("test_txt")), F.lit(""))).alias("stem"))
+    r = table(spark, sf, "stdf_results")
+    return r.select(*U.raw_fields(F.col("id"), F.col("units"), F.col("conditions"), F.col("test_txt"), F.col("doc_id"), F.col("test_num"), F.col("result").alias("value"))).where("id IS NOT NULL")
 
 
 def _columns(spark: SparkSession, sf: str) -> DataFrame:
-    c = table(spark, sf, "data_columns").where("kind = 'numeric'").dropDuplicates(["id"])
-    unit = F.coalesce(U.stated(F.col("units")), U.from_name(F.col("name")))
-    return c.select("id", F.coalesce("hi", "lo").alias("value"), unit.alias("unit"), F.concat(F.lit("col:"), F.coalesce(U.stem(F.col("name")), F.lit(""))).alias("stem"))
+    """Limits of data columns may be in another unit than their values, so they say nothing of the values' size."""
+    c = table(spark, sf, "data_columns").where("kind = 'numeric' AND id IS NOT NULL").dropDuplicates(["id"])
+    return c.select(*U.raw_fields(F.col("id"), F.col("units"), F.lit(None).cast("string"), F.col("name"), F.lit(None).cast("double").alias("value")))
 
 
 def _read(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
-    """(test results, data columns), each row with the columns of READING."""
+    """(test results, data columns), each row with the columns of READING, null where the common unit holds."""
     results, columns = _results(spark, sf), _columns(spark, sf)
-    # limits of data columns may be in another unit, so they say nothing of the size of values
-    read, n = U.read_fields(spark, [results, columns.withColumn("value", F.lit(None).cast("double"))], table(spark, sf, "unit_targets"))
-    own = U._attach(results, read, ["unit", "stem"], n)
-    reading = F.when(F.col("quantity").isNotNull(), F.struct(*U.READING))
-    first = own.groupBy("doc_id", "test_num").agg(F.min_by(F.struct(reading.alias("r")), "id").alias("f")).select("doc_id", "test_num", "f.r.*")
-    first = first.where("quantity IS NOT NULL")
-    silent = own.where("quantity IS NULL").drop(*U.READING)
-    spread = first.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(7))))
-    heir = silent.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(8)).cast("int")).join(spread, ["doc_id", "test_num", "salt"], "left").drop("salt")
-    return own.where("quantity IS NOT NULL").unionByName(heir), U._attach(columns, read, ["unit", "stem"], n)
+    read, n = U.read_fields(spark, [("test", results), ("column", columns)], table(spark, sf, "unit_targets"))
+    codes = read.where("kind = 'test'").select(*U.RAW, "code")
+    own = U.attach(results, codes, list(U.RAW), n).drop(*U.RAW)
+    # what the row of the smallest id states, for rows that state nothing; a hot (log, test) is split by adaptive execution
+    first = own.groupBy("doc_id", "test_num").agg(F.min_by("code", "id").alias("code")).where("code IS NOT NULL")
+    silent = own.where("code IS NULL").drop("code").join(first, ["doc_id", "test_num"], "left")
+    every = own.where("code IS NOT NULL").unionByName(silent)
+    every = U.attach(every.withColumn("code", F.coalesce("code", F.lit(-1))), read.select("code", *U.READING), ["code"], n).drop("code")
+    return every, U.attach(columns, read.where("kind = 'column'").select(*U.RAW, *U.READING), list(U.RAW), n)
 
 
 def p6_found(spark: SparkSession, sf: str) -> DataFrame:
