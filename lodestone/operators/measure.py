@@ -217,9 +217,9 @@ def tally(findings: DataFrame) -> DataFrame:
     return findings.select(F.explode(F.split("categories", ",")).alias("category")).where("category <> ''").groupBy("category").agg(F.count("*").alias("tests"))
 
 
-def balanced_pick(findings: DataFrame, name: str, score: Column, cap: int) -> DataFrame:
+def balanced_pick(findings: DataFrame, name: str, score: Column, cap: int, categories: tuple[str, ...] = ("changed", "cpk", "shifted", "uncorrelated", "shape", "site")) -> DataFrame:
     """TK06: categories take turns, best score first in each; a name already taken uses up its turn, not a place."""
-    order = {c: i for i, c in enumerate(("changed", "cpk", "shifted", "uncorrelated", "shape", "site"))}
+    order = {c: i for i, c in enumerate(categories)}
     e = findings.withColumn("score", score).select(name, "score", F.explode(F.split("categories", ",")).alias("category")).where("category <> ''")
     e = e.withColumn("turn", F.row_number().over(Window.partitionBy("category").orderBy(F.desc("score"), name)))
     place = reduce(lambda w, kv: w.when(F.col("category") == kv[0], kv[1]), order.items(), F.when(F.lit(False), -1))
