@@ -61,7 +61,7 @@ def sticky_conditions(records: DataFrame, part_scope: bool = True) -> DataFrame:
     # each event holds until the next of its key, or the end of its epoch
     w = Window.partitionBy("run", "epoch", "k").orderBy("ord")
     spans = events.withColumn("until", F.lead("ord").over(w)).where("v IS NOT NULL")
-    tests = r.where(F.col("rec_type").isin("PTR", "FTR", "MPR")).select("run", "ord", "epoch")
+    tests = r.where(F.col("rec_type").isin("PTR", "FTR", "MPR")).select("run", "ord", "epoch").distinct()  # a pin list has several rows of one record
     hit = tests.alias("t").join(spans.alias("s"), (F.col("t.run") == F.col("s.run")) & (F.col("t.epoch") == F.col("s.epoch")) & (F.col("s.ord") < F.col("t.ord")) & (F.col("s.until").isNull() | (F.col("s.until") > F.col("t.ord"))), "left")
     g = hit.groupBy("t.run", "t.ord").agg(F.sort_array(F.collect_list(F.when(F.col("s.k").isNotNull(), F.struct("s.k", "s.v")))).alias("c"))
     return g.select("run", "ord", F.map_from_entries("c").alias("cond"))

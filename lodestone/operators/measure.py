@@ -106,8 +106,9 @@ def compare_distributions(df: DataFrame, by: list[str], run: str = "run", a: str
     want = want.select(*by, "i", F.col("s.r").alias(run), F.floor(h).cast("int").alias("at"), (h - F.floor(h)).alias("frac"))
     q = want.join(ordered, [*by, run, "at"]).select(*by, "i", run, (F.col("result") + F.col("frac") * (F.coalesce("next", "result") - F.col("result"))).alias("q"))
     q = q.groupBy(*by, "i").agg(side(F.col("q"), a).alias("qa"), side(F.col("q"), b).alias("qb"))
-    r = q.groupBy(*by).agg(F.corr("qa", "qb").alias("corr"), F.stddev_pop("qa").alias("sa"), F.stddev_pop("qb").alias("sb"))
-    r2 = F.when((F.col("sa") == 0) | (F.col("sb") == 0), F.when((F.col("sa") == 0) & (F.col("sb") == 0), 1.0).otherwise(0.0)).otherwise(F.col("corr") * F.col("corr"))
+    r = q.groupBy(*by).agg(F.covar_pop("qa", "qb").alias("cov"), F.stddev_pop("qa").alias("sa"), F.stddev_pop("qb").alias("sb"))
+    corr = F.try_divide(F.col("cov"), F.col("sa") * F.col("sb"))
+    r2 = F.when((F.col("sa") == 0) | (F.col("sb") == 0), F.when((F.col("sa") == 0) & (F.col("sb") == 0), 1.0).otherwise(0.0)).otherwise(corr * corr)
     z = (F.col("mu_b") - F.col("mu_a")) / F.col("pooled")
     crit = 1.63 * F.sqrt(1 / F.col("n_a") + 1 / F.col("n_b"))
     differs = F.col("ks") > 1.3 * crit
@@ -144,8 +145,8 @@ def qq_r2(profile: DataFrame, by: list[str], run: str = "run", a: str = "A", b:
     """AU07: squared correlation of bucket means; null below five buckets or without variance."""
     x = profile.where(F.col(run) == a).select(*by, "bucket", F.col("mean").alias("x"))
     y = profile.where(F.col(run) == b).select(*by, "bucket", F.col("mean").alias("y"))
-    g = x.join(y, [*by, "bucket"]).groupBy(*by).agg(F.count("*").alias("k"), F.corr("x", "y").alias("c"), F.var_pop("x").alias("vx"), F.var_pop("y").alias("vy"))
-    return g.select(*by, F.when((F.col("k") >= 5) & (F.col("vx") > 0) & (F.col("vy") > 0), F.col("c") * F.col("c")).alias("r2"))
+    g = x.join(y, [*by, "bucket"]).groupBy(*by).agg(F.count("*").alias("k"), F.covar_pop("x", "y").alias("c"), F.var_pop("x").alias("vx"), F.var_pop("y").alias("vy"))
+    return g.select(*by, F.when((F.col("k") >= 5) & (F.col("vx") > 0) & (F.col("vy") > 0), F.try_divide(F.col("c") * F.col("c"), F.col("vx") * F.col("vy"))).alias("r2"))
 
 
 def median_mode(profile: DataFrame, by: list[str]) -> DataFrame:

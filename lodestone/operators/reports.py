@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from lodestone.operators import measure as M
 
@@ -74,16 +76,10 @@ def chip_filter(a: DataFrame, include: list[str], exclude: list[str], every: boo
     return a.where(ok & ~F.arrays_overlap("flags", arr(exclude)) if exclude else ok)
 
 
-def general(c: Column) -> Column:
-    """A number with six significant digits and no needless zeros, as %g prints it."""
-    sci = F.format_string("%.5e", c)
-    mantissa = F.regexp_replace(F.regexp_replace(F.substring_index(sci, "e", 1), r"0+$", ""), r"\.$", "")
-    # rounding may carry into the next power of ten
-    power = F.substring_index(sci, "e", -1).try_cast("int")
-    digits = F.greatest(F.lit(0), 5 - power)
-    plain = F.regexp_replace(F.format_string("%.10f", F.round(c, 10)), r"\.?0+$", "")
-    plain = F.when(digits >= 10, plain).otherwise(reduce(lambda acc, d: F.when(digits == d, F.regexp_replace(F.format_string(f"%.{d}f", c), r"\.?0+$" if d else r"$^", "")).otherwise(acc), range(10), plain))
-    return F.when(c.isNull(), F.lit(None)).when(F.isnan(c), "nan").when(F.abs(c) == float("inf"), F.when(c > 0, "inf").otherwise("-inf")).when(c == 0, "0").when((power < -4) | (power >= 6), F.concat(mantissa, F.lit("e"), F.substring_index(sci, "e", -1))).otherwise(plain)
+@F.pandas_udf(StringType())
+def general(c: pd.Series) -> pd.Series:
+    """A number as %g prints it, from its exact binary value. The JVM's formats round the shortest decimal instead, which differs in the last digit at ties."""
+    return c.map(lambda v: f"{v:g}", na_action="ignore")
 
 
 def test_text(r: DataFrame) -> Column:

@@ -54,7 +54,9 @@ class _Tree(HTMLParser):
     def handle_starttag(self, tag: str, attrs: list) -> None:
         if self.stack[-1].tag == "p" and tag not in _INLINE and tag not in _VOID:
             self.stack.pop()
-        if tag == "li" and self.stack[-1].tag == "li":
+        # an end tag that may be left out is implied by the next of its kind
+        closes = {"li": ("li",), "td": ("td", "th"), "th": ("td", "th"), "tr": ("td", "th", "tr"), "dt": ("dt", "dd"), "dd": ("dt", "dd")}.get(tag, ())
+        while self.stack[-1].tag in closes:
             self.stack.pop()
         node = Node(tag, {k: v or "" for k, v in attrs})
         self.stack[-1].children.append(node)

@@ -20,3 +20,8 @@ def spark():
 @pytest.fixture(scope="session")
 def sf():
     return f"{DATA}/sf0.001"
+
+
+@pytest.fixture(scope="session")
+def sf_oracle():
+    return f"{DATA}/sf0.01"
