@@ -309,4 +309,9 @@ def p5_neighbours(spark: SparkSession, sf: str) -> DataFrame:
 
 
 QUERIES = {"p5_found": p5_found, "p5_neighbours": p5_neighbours}
-SQL: dict[str, str] = {}
+#: Brute force; the search equals it while it visits all that matters, as in the smaller test tables.
+SQL = {
+    "p5_found": """WITH u AS (SELECT DISTINCT ON (chunk_id) chunk_id, model, vector::DOUBLE[] AS v FROM chunk_vectors WHERE vector IS NOT NULL AND len(vector) = dim AND len(list_filter(vector, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 AND len(list_filter(vector, lambda x: x <> 0)) > 0),
+      n AS (SELECT *, sqrt(list_dot_product(v, v)) AS l FROM u), s AS (SELECT a.chunk_id AS a, b.chunk_id AS b, list_dot_product(a.v, b.v) / (a.l * b.l) AS cos FROM n a JOIN n b ON a.model = b.model AND a.chunk_id <> b.chunk_id),
+      k AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY a ORDER BY cos DESC, b) <= 5) SELECT DISTINCT least(a, b) AS chunk_a, greatest(a, b) AS chunk_b FROM k WHERE cos >= 0.8"""
+}

@@ -111,4 +111,9 @@ def p9_classes(spark: SparkSession, sf: str) -> DataFrame:
 
 
 QUERIES = {"p9_found": p9_found, "p9_form": p9_form, "p9_classes": p9_classes}
-SQL = {"p9_form": f"SELECT doc_id, form, form <> text AS changed FROM (SELECT doc_id, text, {form_sql('text')} AS form FROM documents)"}
+_FORMS = f"f AS (SELECT doc_id, text, {form_sql('text')} AS form FROM documents WHERE text <> '')"
+SQL = {
+    "p9_found": f"WITH {_FORMS} SELECT a.doc_id AS doc_a, b.doc_id AS doc_b FROM f a JOIN f b ON a.form = b.form AND a.doc_id < b.doc_id WHERE a.text <> b.text AND a.form <> ''",
+    "p9_classes": f"WITH {_FORMS}, c AS (SELECT form, min(doc_id) AS class_id, count(*) AS class_size, count(DISTINCT text) AS stored_texts FROM f WHERE form <> '' GROUP BY form) SELECT doc_id, class_id, class_size, stored_texts FROM f JOIN c USING (form)",
+    "p9_form": f"SELECT doc_id, form, form <> text AS changed FROM (SELECT doc_id, text, {form_sql('text')} AS form FROM documents)",
+}

@@ -335,4 +335,10 @@ def p2_groups(spark: SparkSession, sf: str) -> DataFrame:
 
 
 QUERIES = {"p2_found": p2_found, "p2_groups": p2_groups}
-SQL: dict[str, str] = {}
+#: All pairs that share a shingle, counted: exact, for small tables.
+SQL = {
+    "p2_found": r"""WITH c AS (SELECT DISTINCT id, document_id, text FROM chunks WHERE kind = 'body' AND text IS NOT NULL), w AS (SELECT id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM c),
+      s AS (SELECT id, unnest(list_distinct(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]))) AS s FROM w WHERE len(w) >= 25), n AS (SELECT id, count(*) AS n FROM s GROUP BY id),
+      i AS (SELECT a.id AS a, b.id AS b, count(*) AS k FROM s a JOIN s b ON a.s = b.s AND a.id < b.id GROUP BY 1, 2)
+      SELECT i.a AS chunk_a, i.b AS chunk_b FROM i JOIN n x ON x.id = i.a JOIN n y ON y.id = i.b JOIN c p ON p.id = i.a JOIN c q ON q.id = i.b WHERE k >= 0.6 * (x.n + y.n - k) AND p.document_id <> q.document_id AND p.text <> q.text"""
+}

@@ -156,4 +156,4 @@ def p4_found(spark: SparkSession, sf: str) -> DataFrame:
 
 
 QUERIES = {"p4_found": p4_found, "p4_pieces": p4_pieces}
-SQL: dict[str, str] = {}
+SQL = {"p4_found": r"SELECT DISTINCT id AS chunk_id FROM chunks, size_limits WHERE limit_name = 'chunk' AND len(regexp_extract_all(text, '[^\t\n\x0b\x0c\r \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+')) > capacity"}
