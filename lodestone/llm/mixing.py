@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from lodestone.llm.tokens import VOCABULARY, token_counts
 from lodestone.session import cut, table
 
-BLOCK, SLOTS, BUCKETS, SEED = 512, 256, 64, 17
+BLOCK, SLOTS, BUCKETS, SHARDS, SEED = 512, 256, 64, 1_000_000, 17
 
 
 def feistel(x: np.ndarray, n: np.ndarray, key: np.ndarray, rounds: int = 4) -> np.ndarray:
@@ -78,6 +78,7 @@ def mix(counts: DataFrame, targets: DataFrame, total_tokens: int | None = None,
     have = {r[0]: int(r[1]) for r in counts.groupBy("source").agg(F.sum("n_tokens")).collect()}  # one row for each source of targets
     shares = t["target_share"].to_numpy() / max(t["target_share"].sum(), 1e-12)
     n_slots = max(1, (total_tokens or sum(have.values())) // block)
+    slots = max(slots, -(-n_slots // SHARDS))  # shards grow before their number does, which one window for each source sums up
     names = t["source"].tolist()
     if not names:
         return spark.createDataFrame([], "doc_id bigint, source string, n_tokens bigint, tokens_drawn bigint, times_drawn double"), spark.createDataFrame([], "source string, target_share double, max_repeats double, available bigint, tokens_drawn bigint, actual_share double, shortfall double")
@@ -96,14 +97,16 @@ def mix(counts: DataFrame, targets: DataFrame, total_tokens: int | None = None,
 
     def place(it):
         for pdf in it:
-            s = np.repeat(pdf["s"].to_numpy(), pdf["n"])
-            base = np.repeat(pdf["base"].to_numpy(np.int64), pdf["n"])
-            g = base + np.arange(len(base)) - np.repeat(np.cumsum(pdf["n"].to_numpy()) - pdf["n"].to_numpy(), pdf["n"])
-            keep = g < cap[s]
-            s, g = s[keep], g[keep]
-            nb = blocks[s]
-            at = feistel(g % nb, nb, (g // nb) * 1000 + s + seed) if len(g) else g
-            yield pd.DataFrame({"source": pd.Series([names[i] for i in s], dtype="object"), "block": at})
+            cuts = np.flatnonzero(np.diff(np.cumsum(pdf["n"].to_numpy()) // 1_000_000)) + 1  # about a million slots at once
+            for part in np.split(np.arange(len(pdf)), cuts):
+                n, first = pdf["n"].to_numpy()[part], pdf["base"].to_numpy(np.int64)[part]
+                s = np.repeat(pdf["s"].to_numpy()[part], n)
+                g = np.repeat(first - np.cumsum(n) + n, n) + np.arange(len(s))
+                keep = g < cap[s]
+                s, g = s[keep], g[keep]
+                nb = blocks[s]
+                at = feistel(g % nb, nb, (g // nb) * 1000 + s + seed) if len(g) else g
+                yield pd.DataFrame({"source": pd.Series([names[i] for i in s], dtype="object"), "block": at})
 
     times = drawn.repartition("s", "shard").mapInPandas(place, "source string, block bigint").groupBy("source", "block").agg(F.count("*").alias("times"))
     docs = streams(counts, seed=seed)
