@@ -232,6 +232,5 @@ def read_fields(spark: SparkSession, fields: list[tuple[str, DataFrame]], target
     combos = cut(combos.select("kind", *RAW, "n", "s", "k", unit.alias("unit"), F.concat_ws(":", "kind", stem(F.col("name"))).alias("stem")).where("unit IS NOT NULL"))
     pairs = combos.groupBy("unit", "stem").agg(F.sum("n").alias("n"), F.pow(F.lit(10.0), F.try_divide(F.sum("s"), F.sum("k").cast("double"))).alias("size"))
     read = combos.select("kind", *RAW, "unit", "stem").join(rebase(spark, readings(pairs), targets), ["unit", "stem"])
-    read = read.withColumn("code", F.row_number().over(Window.orderBy("kind", *RAW)))  # one row for each distinct spelling of unit and field
-    read = cut(read.select("kind", *RAW, "code", *READING))
+    read = cut(read.select("kind", *RAW, F.monotonically_increasing_id().alias("code"), *READING))  # the codes are fixed by being written
     return read, read.count()

@@ -87,7 +87,8 @@ def federated_rrf(spark: SparkSession, sf: str) -> DataFrame:
     about = c.select(F.col("id").alias("chunk_id"), "store", "content_hash", "ord")
     words = R.postings(c).join(R.query_terms(_asked(spark)), "term").groupBy("query_id", "chunk_id").agg(F.count("*").cast("double").alias("score"))
     scored = _bm25(spark, sf)
-    pools = [s.join(about, "chunk_id").withColumn("signal", F.lit(name)).select("query_id", "store", "chunk_id", "content_hash", "ord", "signal", "score") for name, s in (("bm25", scored), ("terms", words))]
+    best = lambda s: R.top(s.join(about, "chunk_id"), R.pool_size(10, None, fusion=True), (F.desc("score"), F.col("chunk_id")), ("query_id", "store"))
+    pools = [best(s).withColumn("signal", F.lit(name)).select("query_id", "store", "chunk_id", "content_hash", "ord", "signal", "score") for name, s in (("bm25", scored), ("terms", words))]
     return R.federated(pools, 10).select("query_id", "rank", "key", "score")
 
 
@@ -156,8 +157,8 @@ SQL = {
       SELECT * FROM (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank, chunk_id, score FROM g) WHERE rank <= 10""",
     "federated_rrf": _ranked() + """, w AS (SELECT query_id, id AS chunk_id, count(*)::DOUBLE AS score FROM h GROUP BY ALL),
       a AS (SELECT 'bm25' AS signal, * FROM s UNION ALL SELECT 'terms', * FROM w),
-      k AS (SELECT query_id, signal, CASE WHEN coalesce(content_hash, '') <> '' THEN content_hash || '#' || ord ELSE coalesce(status, 'none') || '/' || chunk_id END AS key, max(score) AS score
-        FROM a JOIN c ON c.id = chunk_id JOIN documents d ON d.doc_id = document_id GROUP BY ALL),
+      b AS (SELECT signal, query_id, chunk_id, score, coalesce(status, 'none') AS store, content_hash, ord FROM a JOIN c ON c.id = chunk_id JOIN documents d ON d.doc_id = document_id QUALIFY row_number() OVER (PARTITION BY signal, query_id, store ORDER BY score DESC, chunk_id) <= 40),
+      k AS (SELECT query_id, signal, CASE WHEN coalesce(content_hash, '') <> '' THEN content_hash || '#' || ord ELSE store || '/' || chunk_id END AS key, max(score) AS score FROM b GROUP BY ALL),
       kr AS (SELECT *, row_number() OVER (PARTITION BY query_id, signal ORDER BY score DESC, key) AS rank FROM k),
       g AS (SELECT query_id, key, round(sum(1.0::DOUBLE / (60 + rank)), 9) AS score FROM kr GROUP BY ALL)
       SELECT * FROM (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, key) AS rank, key, score FROM g) WHERE rank <= 10""",
