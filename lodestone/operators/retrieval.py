@@ -43,7 +43,8 @@ def bm25(post: DataFrame, size: DataFrame, terms: DataFrame, prefix: bool = Fals
         p = p.withColumn("term", F.expr("substring(term, 1, cut)"))
         hits = p.join(terms, "term").groupBy("query_id", "term", "chunk_id").agg(F.sum("tf").alias("tf"), F.max("dl").alias("dl"))
     else:
-        hits = post.join(terms, "term")
+        # the semi-join sinks below the count of postings, so words that nobody asks for aren't counted or moved
+        hits = post.join(terms.select("term").distinct(), "term", "left_semi").join(terms, "term")
     df_ = hits.groupBy("query_id", "term").agg(F.count("*").alias("n"))
     scored = hits.join(df_, ["query_id", "term"])
     raw = F.log((n_docs - F.col("n") + 0.5) / (F.col("n") + 0.5))
