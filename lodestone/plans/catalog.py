@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("lodestone.plans.retrieval", "lodestone.plans.measure", "lodestone.plans.parts", "lodestone.plans.corpus", "lodestone.plans.files", "lodestone.plans.reports", "lodestone.plans.units")
+MODULES = ("lodestone.plans.retrieval", "lodestone.plans.measure", "lodestone.plans.parts", "lodestone.plans.corpus", "lodestone.plans.files", "lodestone.plans.reports", "lodestone.plans.entries", "lodestone.plans.units")
 
 
 def queries() -> dict:
