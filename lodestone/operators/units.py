@@ -137,7 +137,7 @@ def stated(c: Column) -> Column:
 
 def from_name(name: Column) -> Column:
     """A unit given in a field's name: ``x [mV]``, ``x (mV)``, ``x / mV``, ``x in mV``, ``x_mV``; a pin number may follow. Null without one."""
-    forms = (r"\[([^\]\[]*[^\]\[\d][^\]\[]*)\](?:\[\d+\])?$", r"\(([^()]+)\)(?:\[\d+\])?$", r" / ((?:1/)?[^/\[]+?)(?:\[\d+\])?$", r" in ([^\[]+?)(?:\[\d+\])?$", r"_((?:1/)?[^_\d\[\]() /]+)(?:\[\d+\])?$")
+    forms = (r"\[([^\]\[]*[^\]\[\d][^\]\[]*)\](?:\[\d+\])?$", r"\(([^()]+)\)(?:\[\d+\])?$", r" / ((?:1/)?[^/\[]+?)(?:\[\d+\])?$", r" in ([^\[]+?)(?:\[\d+\])?$", r"_((?:1/)?[^_\d\[\]() /][^_\[\]()/]*?)(?:\[\d+\])?$")
     return F.coalesce(*(stated(F.nullif(F.regexp_extract(name, f, 1), F.lit(""))) for f in forms))
 
 

@@ -58,4 +58,21 @@ def p6_values_common(spark: SparkSession, sf: str) -> DataFrame:
 
 
 QUERIES = {"p6_found": p6_found, "p6_results_common": p6_results_common, "p6_values_common": p6_values_common}
-SQL: dict[str, str] = {}
+def _said(column: str) -> str:
+    return f"CASE WHEN lower(trim({column})) IN ('', '-', 'n/a', 'na', 'none') THEN NULL ELSE trim({column}) END"
+
+
+def _named(column: str) -> str:
+    t = rf"regexp_replace({column}, '\[\d+\]$', '')"
+    forms = (r"\[([^\]]+)\]$", r"\(([^)]+)\)$", " / (.+)$", " in (.+)$", r"^(?:.*_\d+|Cont_OS)_(\D.*|1/s)$")
+    return "coalesce(" + ", ".join(f"nullif(regexp_extract({t}, '{f}', 1), '')" for f in forms) + ")"
+
+
+#: Spellings of the common units in the test tables, for the comparison only; the operator parses.
+_COMMON = "'v', 'volt', 'volts', 'a', 'amp', 'amps', 'hz', 'hertz', '1/s', 's', 'sec', 'second', 'seconds', 'ohm', 'ohms', 'ω', 'f', 'farad', 'degc', 'deg c', '°c', '℃', 'c', 'celsius', 'w', 'watt', 'watts', '%', 'pct', 'percent'"
+SQL = {
+    "p6_found": f"""WITH r AS (SELECT id, doc_id, test_num, result, coalesce({_said('units')}, {_said("json_extract_string(conditions, '$.UNITS')")}, {_said(_named('test_txt'))}) AS u FROM stdf_results),
+      f AS (SELECT doc_id, test_num, arg_min_null(u, id) AS fu FROM r GROUP BY doc_id, test_num), c AS (SELECT id, coalesce({_said('units')}, {_said(_named('name'))}) AS u FROM data_columns WHERE kind = 'numeric')
+      SELECT DISTINCT 'stdf_results' AS table_name, id AS row_id FROM r JOIN f USING (doc_id, test_num) WHERE isfinite(result) AND lower(nfc_normalize(coalesce(u, fu))) NOT IN ({_COMMON})
+      UNION SELECT 'data_columns', id FROM c WHERE lower(nfc_normalize(u)) NOT IN ({_COMMON})"""
+}

@@ -26,9 +26,9 @@ def test_offsets_and_logarithms(spark):
 
 
 def test_names(spark):
-    names = ["Cin_1 [nF]", "Cont_OS (mV)[2]", "vref_0 / V", "err_at_1kHz_4 in pct", "p_out_6_W", "leak_at_5V_2", "PLL_lock_f_18", None, "x [3]"]
+    names = ["Cin_1 [nF]", "Cont_OS (mV)[2]", "vref_0 / V", "err_at_1kHz_4 in pct", "p_out_6_W", "leak_at_5V_2", "PLL_lock_f_18", None, "x [3]", "tj_1_deg C", "bw_2_1/s", "Cont_OS_µV[3]"]
     df = spark.createDataFrame([(n,) for n in names], "n string")
-    assert [r[0] for r in df.select(U.from_name(F.col("n"))).collect()] == ["nF", "mV", "V", "pct", "W", None, None, None, None]
+    assert [r[0] for r in df.select(U.from_name(F.col("n"))).collect()] == ["nF", "mV", "V", "pct", "W", None, None, None, None, "deg C", "1/s", "µV"]
 
 
 def _tables(spark, tmp_path, results, columns):
