@@ -12,6 +12,7 @@ from pyspark.sql.types import StructType
 from lodestone.functions import text as T
 from lodestone.operators import corpus as K
 from lodestone.operators import retrieval as R
+from lodestone.session import ship
 
 VERSION = 1
 SCHEMAS = {
@@ -38,6 +39,7 @@ class Catalog:
     """A table is a folder of generations; a rewrite writes the next one and then points to it, so a reader, or a job that dies, never sees half of it."""
 
     def __init__(self, spark: SparkSession, folder: str) -> None:
+        ship(spark)
         self.spark, self.folder = spark, folder.rstrip("/")
         meta = {r["key"]: r["value"] for r in self.read("meta").collect()}  # a handful of rows
         if int(meta.get("schema_version", VERSION)) > VERSION:
