@@ -39,21 +39,23 @@ def bm25(post: DataFrame, size: DataFrame, terms: DataFrame, prefix: bool = Fals
     ``size`` is one row, read here. Postings without a query term are dropped by the join before anything is shuffled where
     Spark finds the terms small enough to broadcast."""
     n_docs, avgdl = size.first()
+    few = terms.count() <= BROADCAST_TERMS
     asked = terms.select("term").distinct()
+    asked = F.broadcast(asked) if few else asked
     if prefix:
         lengths = [r[0] for r in asked.select(F.length("term")).distinct().collect()]  # at most one for each length of a word
         p = post.withColumn("cut", F.explode(F.array(*map(F.lit, lengths)) if lengths else F.array().cast("array<int>"))).where(F.col("cut") <= F.length("term"))
         p = p.withColumn("term", F.expr("substring(term, 1, cut)")).join(asked, "term", "left_semi")
         hits = p.groupBy("term", "chunk_id").agg(F.sum("tf").alias("tf"), F.max("dl").alias("dl"))
     else:
-        # the semi-join sinks below the count of postings, so words that nobody asks for aren't counted or moved
+        # words that nobody asks for don't move
         hits = post.join(asked, "term", "left_semi")
     df_ = hits.groupBy("term").agg(F.count("*").alias("n"))
     raw = F.log((n_docs - F.col("n") + 0.5) / (F.col("n") + 0.5))
     idf = F.when(raw <= 0, F.lit(IDF_FLOOR)).otherwise(raw)
     norm = F.col("tf") + K1 * (1 - B_ + B_ * F.col("dl") / F.lit(avgdl or 1.0))
     weights = hits.join(df_, "term").select("term", "chunk_id", (idf * F.col("tf") * (K1 + 1) / norm).alias("w"))  # once for a word, however many queries have it
-    if terms.count() <= BROADCAST_TERMS:
+    if few:
         # laid out by chunk, the weights meet all queries where they are, and the sums, of which there are many more, need no shuffle
         spark = post.sparkSession
         weights, terms = weights.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "chunk_id"), F.broadcast(terms)
