@@ -309,7 +309,7 @@ def p2_found(spark: SparkSession, sf: str) -> DataFrame:
 def components(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """node, component (its smallest node): labels spread over edges and jump to their label's label until nothing changes."""
     both = cut(edges.select("a", "b").union(edges.select(F.col("b"), F.col("a"))).distinct())
-    labels = cut(nodes.select("node", F.col("node").alias("label")))
+    labels = cut(both.select(F.col("a").alias("node")).distinct().withColumn("label", F.col("node")))  # nodes without edges are their own
     while True:
         near = both.join(labels.select(F.col("node").alias("b"), "label"), "b").groupBy("a").agg(F.min("label").alias("low"))
         step = labels.join(near.withColumnRenamed("a", "node"), "node", "left").select("node", F.least("label", F.coalesce("low", "label")).alias("label"), F.col("label").alias("old"))
@@ -318,7 +318,7 @@ def components(edges: DataFrame, nodes: DataFrame) -> DataFrame:
         changed = new.where("label <> old").limit(1).count()
         labels = new.select("node", "label")
         if not changed:
-            return labels.withColumnRenamed("label", "component")
+            return nodes.join(labels, "node", "left").select("node", F.coalesce("label", "node").alias("component"))
 
 
 def p2_groups(spark: SparkSession, sf: str) -> DataFrame:
