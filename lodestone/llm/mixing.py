@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from lodestone.llm.tokens import VOCABULARY, token_counts
 from lodestone.session import cut, table
 
-BLOCK, SLOTS, BUCKETS, SHARDS, SEED = 512, 256, 64, 1_000_000, 17
+BLOCK, SLOTS, BUCKETS, BUCKET_DOCS, SHARDS, SEED = 512, 256, 64, 1_000_000, 1_000_000, 17
 
 
 def feistel(x: np.ndarray, n: np.ndarray, key: np.ndarray, rounds: int = 4) -> np.ndarray:
@@ -75,7 +75,9 @@ def mix(counts: DataFrame, targets: DataFrame, total_tokens: int | None = None,
     t = targets.where("source IS NOT NULL AND target_share > 0").groupBy("source").agg(F.max("target_share").alias("target_share"), F.max("max_repeats").alias("max_repeats")).toPandas().sort_values("source")
     small = spark.createDataFrame([(s, float(p), float(m)) for s, p, m in t.itertuples(index=False)], "source string, target_share double, max_repeats double")
     counts = cut(counts.where("n_tokens > 0 AND source IS NOT NULL").join(F.broadcast(small.select("source")), "source", "left_semi"))
-    have = {r[0]: int(r[1]) for r in counts.groupBy("source").agg(F.sum("n_tokens")).collect()}  # one row for each source of targets
+    held_rows = counts.groupBy("source").agg(F.sum("n_tokens"), F.count("*")).collect()  # one row for each source of targets
+    have = {r[0]: int(r[1]) for r in held_rows}
+    buckets = max([BUCKETS, *(-(-int(r[2]) // BUCKET_DOCS) for r in held_rows)])
     shares = t["target_share"].to_numpy() / max(t["target_share"].sum(), 1e-12)
     n_slots = max(1, (total_tokens or sum(have.values())) // block)
     slots = max(slots, -(-n_slots // SHARDS))  # shards grow before their number does, which one window for each source sums up
@@ -109,7 +111,7 @@ def mix(counts: DataFrame, targets: DataFrame, total_tokens: int | None = None,
                 yield pd.DataFrame({"source": pd.Series([names[i] for i in s], dtype="object"), "block": at})
 
     times = drawn.repartition("s", "shard").mapInPandas(place, "source string, block bigint").groupBy("source", "block").agg(F.count("*").alias("times"))
-    docs = streams(counts, seed=seed)
+    docs = streams(counts, buckets, seed)
     pieces = docs.withColumn("block", F.explode(F.sequence(F.floor(F.col("start") / block), F.floor((F.col("start") + F.col("n_tokens") - 1) / block))))
     pieces = pieces.withColumn("part", F.least(F.col("start") + F.col("n_tokens"), (F.col("block") + 1) * block) - F.greatest("start", F.col("block") * block))
     selection = (
