@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestone.functions import text as T
+from lodestone.session import ship
 
 CHUNK_WORDS, OVERLAP = 350, 40
 
@@ -131,6 +132,7 @@ def conflicts(vectors: DataFrame, k: int, low: float, high: float, limit: int =
     import numpy as np
     import pandas as pd
 
+    ship(vectors.sparkSession)
     n = vectors.count()
     blocks = max(1, -(-n // 4096))
     b = vectors.withColumn("b", F.pmod(F.xxhash64("chunk_id"), F.lit(blocks)).cast("int"))

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestone.functions import text as T
-from lodestone.session import finite
+from lodestone.session import finite, ship
 from lodestone.sources.documents import Node, _simple, _Tree
 
 # Candidates and words of the selector proposal.
@@ -226,6 +226,7 @@ def propose_selectors(pages: DataFrame) -> DataFrame:
                 rows += [(s, "frame", 1.0) for s in sorted(frame)]
             yield pd.DataFrame(rows, columns=["selector", "role", "coverage"])
 
+    ship(pages.sparkSession)
     f = pages.select("html").mapInPandas(run, "selector string, role string, coverage double").groupBy("selector", "role").agg(F.count("*").alias("pages"), F.avg("coverage").alias("coverage"))
     n = F.max(F.when(F.col("role") == "all", F.col("pages"))).over(Window.partitionBy(F.lit(0)))  # one row for each selector
     f = f.withColumn("share", F.col("pages") / n).where("role <> 'all'")

@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lodestone.session import cut
+from lodestone.session import cut, ship
 
 # Names and sizes of the prefixes.
 PREFIX_SYMBOLS = {"f": -15, "p": -12, "n": -9, "u": -6, "μ": -6, "m": -3, "k": 3, "M": 6, "G": 9, "T": 12}
@@ -159,6 +159,7 @@ def readings(pairs: DataFrame) -> DataFrame:
                 rows += [(r.unit, r.stem, r.n, r.size, len(got), len({g[0] for g in got}), *g) for g in got]
             yield pd.DataFrame(rows, columns=["unit", "stem", "n", "size", "readings", "quantities", "quantity", "factor", "offset", "is_log", "score"])
 
+    ship(pairs.sparkSession)
     c = pairs.mapInPandas(parse, "unit string, stem string, n bigint, size double, readings int, quantities int, quantity string, factor double, offset double, is_log boolean, score double")
     log_size = F.when((F.col("size") > 0) & ~F.col("is_log"), F.log10(F.col("size") * F.col("factor")))
     sure = c.where("quantities = 1 AND score > -1").dropDuplicates(["unit", "stem"])

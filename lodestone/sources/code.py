@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.functions import text as T
+from lodestone.session import ship
 
 SCHEMA = "key bigint, language string, kind string, name string, qualname string, signature string, docstring string, start_line int, end_line int"
 # Suffix and language.
@@ -101,6 +102,7 @@ def parse_symbols(files: DataFrame) -> DataFrame:
             rows = [(k, *s) for k, lang, t in zip(pdf["key"], pdf["language"], pdf["text"]) if t for s in symbols_of(t, lang)]
             yield pd.DataFrame(rows, columns=["key", "language", "kind", "name", "qualname", "signature", "docstring", "start_line", "end_line"])
 
+    ship(files.sparkSession)
     return files.select(F.col("key").cast("bigint").alias("key"), "language", "text").mapInPandas(run, SCHEMA)
 
 

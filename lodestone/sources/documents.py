@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.functions.text import glob_regex
+from lodestone.session import ship
 
 SCHEMA = "path string, title string, matched boolean, error string, segments array<struct<ord:int,kind:string,heading_path:string,text:string>>, links array<struct<target:string,anchor:string,heading_path:string>>, images array<struct<src:string,alt:string,caption:string,heading_path:string>>"
 _INLINE = {"a", "b", "i", "em", "strong", "span", "code", "sub", "sup", "small", "u", "kbd", "q", "cite", "abbr", "mark", "label", "button", "font", "time", "var", "samp"}
@@ -446,4 +447,5 @@ def extract_all(files: DataFrame, content: str | None = None, strip: list[str] |
                     rows.append((path, None, False, f"{type(e).__name__}: {e}"[:200], [], [], []))
             yield pd.DataFrame(rows, columns=["path", "title", "matched", "error", "segments", "links", "images"])
 
+    ship(files.sparkSession)
     return files.select("path", "content").mapInPandas(run, SCHEMA)

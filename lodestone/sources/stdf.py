@@ -8,6 +8,8 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 
+from lodestone.session import ship
+
 SCHEMA = (
     "path string, ord int, rec_type string, head int, site int, test_num bigint, test_flg int, result double, test_txt string, units string, lo double, hi double, opt_flag int, pin int, part_id string, "
     "part_flg int, x int, y int, hard_bin int, soft_bin int, test_time_ms bigint, text string, lot string, wafer string"
@@ -118,6 +120,7 @@ def parse(files: DataFrame) -> DataFrame:
                         rows = []
                 yield _frame(rows)
 
+    ship(files.sparkSession)
     return files.select("path", "content").mapInPandas(run, SCHEMA)
 
 
