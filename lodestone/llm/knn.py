@@ -24,7 +24,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lodestone.session import cut, table
+from lodestone.session import cut, ship, table
 
 TOP, SAMPLE, LEAF_SAMPLE, BRANCH, TARGET, CALIBRATE, BLOCK_ROWS, ASK_ROWS, SEED = 5, 20_000, 64, 16, 0.93, 400, 32_768, 131_072, 11
 
@@ -269,6 +269,7 @@ def _search_model(reps: DataFrame, k: int, n: int, target: float) -> DataFrame:
 
 def neighbours(df: DataFrame, key: str = "chunk_id", k: int = TOP, target: float = TARGET) -> DataFrame:
     """key, model, rank (1..k), neighbour, cosine: the k most similar other vectors of the same model."""
+    ship(df.sparkSession)
     x = usable(df, key).withColumn("h1", F.xxhash64("model", "vector")).withColumn("h2", F.xxhash64(F.lit(3), "vector", "model"))
     first = x.withColumn("rn", F.row_number().over(Window.partitionBy("h1", "h2").orderBy(key))).where(F.col("rn") <= k + 1)
     classes = first.groupBy("h1", "h2").agg(F.min(key).alias("rep"), F.sort_array(F.collect_list(key)).alias("members"), F.min("model").alias("model"))

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.session import cut, table
+from lodestone.session import cut, ship, table
 
 # Letters that share their glyph with a Latin letter, in pairs.
 CYRILLIC = "АA ВB ЕE КK МM НH ОO РP СC ТT ХX ЅS ІI ЈJ ԚQ ԜW ЁË ЇÏ аa еe оo рp сc уy хx ѕs іi јj һh ԁd ԛq ԝw ӏl ёë їï"
@@ -68,6 +68,7 @@ def in_duckdb(df: DataFrame, sql: str, schema: str) -> DataFrame:
                 con.unregister("batch")
         con.close()
 
+    ship(df.sparkSession)
     return df.mapInArrow(run, schema)
 
 

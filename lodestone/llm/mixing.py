@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lodestone.llm.tokens import VOCABULARY, token_counts
-from lodestone.session import cut, table
+from lodestone.session import cut, ship, table
 
 BLOCK, SLOTS, BUCKETS, BUCKET_DOCS, SHARDS, SEED = 512, 256, 64, 1_000_000, 1_000_000, 17
 
@@ -71,6 +71,7 @@ def mix(counts: DataFrame, targets: DataFrame, total_tokens: int | None = None,
     few rows, one for each source, which is collected. ``total_tokens``: size to aim at, by default as much as the sources hold.
     selection: doc_id, source, n_tokens, tokens_drawn, times_drawn. shares: source, target_share, max_repeats, available, tokens_drawn, actual_share, shortfall."""
     spark = counts.sparkSession
+    ship(spark)
     counts, targets = counts.select("doc_id", "source", "n_tokens").where("doc_id IS NOT NULL"), targets.select("source", "target_share", "max_repeats")
     t = targets.where("source IS NOT NULL AND target_share > 0").groupBy("source").agg(F.max("target_share").alias("target_share"), F.max("max_repeats").alias("max_repeats")).toPandas().sort_values("source")
     small = spark.createDataFrame([(s, float(p), float(m)) for s, p, m in t.itertuples(index=False)], "source string, target_share double, max_repeats double")

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.llm.shingles import shingles, words
-from lodestone.session import cut, table
+from lodestone.session import cut, ship, table
 
 WORDS, SIMILARITY, MIN_WORDS = 3, 0.6, 25
 SKETCH_BITS, SKETCH_PARTS, FILTER_BITS, LEVELS, BUCKET_BYTES, PAIRS_AT_ONCE = 20, 16, 23, 7, 32 << 20, 2_000_000
@@ -258,6 +258,7 @@ def _needed(ids: DataFrame, key: str) -> np.ndarray:
 
 def similar_classes(chunks: DataFrame, key: str = "id", group: str = "document_id", size: int = WORDS, j: float = SIMILARITY, least: int = MIN_WORDS) -> tuple[DataFrame, DataFrame]:
     """(members, pairs). members: id, grp, text_hash, class, n. pairs: class_a < class_b, similarity >= j, verified."""
+    ship(chunks.sparkSession)
     members, sketch = classes(chunks, key, group, size, least)
     rep = cut(members.groupBy("class").agg(F.min("id").alias("rep")))
     buckets = max(8, math.ceil(rep.count() * 90 * 8 / BUCKET_BYTES))

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.llm.tokens import VOCABULARY, token_counts
-from lodestone.session import cut, table
+from lodestone.session import cut, ship, table
 
 ROUNDS, PART_ITEMS, FULL = 3, 20_000, 0.995
 
@@ -83,6 +83,7 @@ def pack(items: DataFrame, capacity: int, key: str = "doc_id", rounds: int = ROU
     gives no rows; keys may repeat across pieces only.
     """
     schema = f"`{key}` bigint, piece int, n_pieces int, size int, container string, container_fill int, certified boolean, stays boolean"
+    ship(items.sparkSession)
     left, done = cut(items), None
     n = left.count()
     for r in range(rounds):

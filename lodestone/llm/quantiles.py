@@ -23,7 +23,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.session import finite, table
+from lodestone.session import finite, ship, table
 
 K, B = 4096, 8
 PERCENTS = (1, 5, 25, 50, 75, 95, 99)
@@ -174,6 +174,7 @@ def _schema(df: DataFrame, keys: list[str], last: str) -> str:
 def sketches(df: DataFrame, keys: list[str], value: str, row_id: str | None = None, k: int = K, b: int = B) -> DataFrame:
     """keys, sketch (binary): one sketch per group of keys. The only full shuffle spreads rows by their id (uniform,
     whatever the keys' skew), drops repeats of an id and sketches each partition; then sketches alone move by key."""
+    ship(df.sparkSession)
     src = df.where(finite(F.col(value)))
     if row_id:
         src = src.where(F.col(row_id).isNotNull()).select(F.col(row_id).alias("__id"), *keys, F.col(value).cast("double").alias("__value")).dropDuplicates(["__id"])
@@ -201,6 +202,7 @@ def merged(parts: DataFrame, keys: list[str], k: int = K, b: int = B) -> DataFra
             s.merge(blob)
         return s
 
+    ship(parts.sparkSession)
     src = parts.select(*keys, "sketch").repartition(*keys).sortWithinPartitions(*keys)
     return src.mapInArrow(_by_key(len(keys), [*keys, "sketch"], list, feed, lambda s: s[0] if isinstance(s, list) else s.blob()), _schema(src, keys, "sketch binary"))
 

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.llm.packing import capacity_of
-from lodestone.session import table
+from lodestone.session import ship, table
 
 #: Unicode's White_Space.
 SPACE = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
@@ -122,6 +122,7 @@ def split_text(text: str, capacity: int, overlap: int, segments: list[dict] | No
 def split_chunks(chunks: DataFrame, segments: DataFrame, capacity: int, overlap: int) -> DataFrame:
     """Pieces of the chunks over the capacity. Only these leave the scan: a text of so many words has at least
     2 * capacity + 1 characters. Segments are gathered per chunk; together they are no longer than its text."""
+    ship(chunks.sparkSession)
     long = chunks.where((F.length("text") > 2 * capacity) & F.col("id").isNotNull()).select("id", "document_id", "locator", "text").dropDuplicates(["id"])
     segs = (
         segments.select("chunk_id", "document_id", "ord", "heading_path", "text")
