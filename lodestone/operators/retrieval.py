@@ -4,15 +4,20 @@ from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestone.functions import text as T
+from lodestone.session import ship
 
 K1, B_, IDF_FLOOR = 1.2, 0.75, 1e-6
 RRF_K = 60
 #: Words of a batch of queries that may be broadcast; beyond, the join shuffles.
 BROADCAST_TERMS = 200_000
+#: Vectors asked, and vectors searched, that meet as two matrices in one task.
+BLOCK, SLAB = 1024, 4096
 TIER_BOOST, FEEDBACK_BOOST = {"internal": 0.02, "vendor": 0.0}, 0.03
 
 
@@ -101,6 +106,36 @@ def vector_scores(vectors: DataFrame, queries: DataFrame) -> DataFrame:
     return both.select("query_id", "chunk_id", F.round(dot(F.col("vector"), F.col("qv")) / (norm(F.col("vector")) * norm(F.col("qv"))), 6).alias("sim"))
 
 
+def vector_top(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+    """RK05, TK04: query_id, chunk_id, sim, rank of the k best rows of vectors(chunk_id, vector) for each of queries(query_id, vector), however many: blocks
+    of queries and slabs of rows of about BLOCK and SLAB meet in one group each, nothing is broadcast. Exact: a slab passes on all rows that rounding might
+    put among its k best. Only equal dimensions meet; the cosine with a vector of zeros is 0."""
+    ship(vectors.sparkSession)
+    blocks, slabs = -(-queries.count() // BLOCK) or 1, -(-vectors.count() // SLAB) or 1
+    part = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    v = vectors.select("chunk_id", F.col("vector").cast("array<double>").alias("vector"), F.size("vector").alias("dim"), part("chunk_id", slabs).alias("slab")).select("*", every(blocks).alias("block"))
+    q = queries.select("query_id", F.col("vector").cast("array<double>").alias("vector"), F.size("vector").alias("dim"), part("query_id", blocks).alias("block")).select("*", every(slabs).alias("slab"))
+
+    def unit(c: pd.Series) -> np.ndarray:
+        m = np.stack(c.to_numpy())
+        n = np.sqrt((m * m).sum(axis=1, keepdims=True))
+        return np.divide(m, n, out=np.zeros_like(m), where=n > 0)
+
+    def run(rows: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
+        if not len(rows) or not len(asked):
+            return pd.DataFrame({"query_id": [], "chunk_id": [], "sim": []})
+        sim = unit(asked["vector"]) @ unit(rows["vector"]).T
+        kth = np.partition(sim, -k, axis=1)[:, -k] if k < sim.shape[1] else np.full(len(sim), -2.0)
+        i, j = np.nonzero(sim >= kth[:, None] - 2e-6)  # six decimals are kept
+        return pd.DataFrame({"query_id": asked["query_id"].to_numpy()[i], "chunk_id": rows["chunk_id"].to_numpy()[j], "sim": sim[i, j]})
+
+    types = f"query_id {queries.schema['query_id'].dataType.simpleString()}, chunk_id {vectors.schema['chunk_id'].dataType.simpleString()}, sim double"
+    by = ("dim", "block", "slab")
+    near = v.where("dim > 0").groupBy(*by).cogroup(q.where("dim > 0").groupBy(*by)).applyInPandas(run, types).withColumn("sim", F.round("sim", 6))
+    return top(near, k, (F.desc("sim"), F.col("chunk_id")))
+
+
 def rrf(ranked: list[DataFrame], key: str = "chunk_id", k: int = RRF_K) -> DataFrame:
     """RK07: query_id, key, score: sum of 1 / (k + rank) over the lists."""
     every = reduce(DataFrame.unionByName, [r.select("query_id", key, "rank") for r in ranked])

@@ -216,3 +216,27 @@ def test_results_do_not_depend_on_partitions(spark, sf):
         assert sorted(PM.audit_findings(spark, sf).collect(), key=str) == want
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
+def test_vector_top_asks_every_query_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(R, "BLOCK", 3)
+    monkeypatch.setattr(R, "SLAB", 16)
+    x = np.random.default_rng(5).normal(size=(90, 4))
+    x[40:60] = x[7]  # ties
+    x[80] = 0
+    v = spark.createDataFrame([(i, [float(a) for a in row]) for i, row in enumerate(x)], "chunk_id bigint, vector array<double>").repartition(3)
+    asked = v.where("chunk_id % 5 = 0").select(F.col("chunk_id").alias("query_id"), "vector")
+    got = sorted((r["query_id"], r["rank"], r["chunk_id"]) for r in R.vector_top(v, asked, 6).collect())
+    n = np.linalg.norm(x, axis=1)
+    want = []
+    for q in range(0, 90, 5):
+        sim = [round(float(x[q] @ x[c] / (n[q] * n[c])), 6) + 0.0 if n[q] * n[c] else 0.0 for c in range(90)]
+        want += [(q, r + 1, c) for r, c in enumerate(sorted(range(90), key=lambda c: (-sim[c], c))[:6])]
+    assert got == want
+
+
+def test_vector_topk_set_asks_every_id_divisible_by_50(spark, sf):
+    from lodestone.plans import retrieval as PR
+
+    ids = {r[0] for r in spark.read.parquet(f"{sf}/embeddings.parquet").select("vec_id").collect()}
+    assert {r["query_id"] for r in PR.vector_topk_set(spark, sf).collect()} == {i for i in ids if i % 50 == 0}
