@@ -240,3 +240,27 @@ def test_vector_topk_set_asks_every_id_divisible_by_50(spark, sf):
 
     ids = {r[0] for r in spark.read.parquet(f"{sf}/embeddings.parquet").select("vec_id").collect()}
     assert {r["query_id"] for r in PR.vector_topk_set(spark, sf).collect()} == {i for i in ids if i % 50 == 0}
+
+
+def test_related_docs_all_equals_brute_force(spark, tmp_path):
+    from lodestone.plans import corpus as PC
+
+    rng = random.Random(3)
+    items = [(o, n, rng.randrange(95, 206), rng.randrange(40, 61)) for o in range(60) for n in range(3)]
+    docs = [(c, rng.choice([48, 49, 50, 51, 100, 200]), rng.choice([49, 50, 51, 52, 100])) for c in range(25)]
+    spark.createDataFrame(items, "l_orderkey bigint, l_linenumber int, l_partkey bigint, l_suppkey bigint").write.parquet(f"{tmp_path}/lineitem.parquet")
+    spark.createDataFrame(docs, "chunk_a bigint, doc_a bigint, doc_b bigint").write.parquet(f"{tmp_path}/conflict_pairs.parquet")
+    off = PC.NODE_OFFSET
+    edges = [(a, b, i, "conflict") for i, a, b in docs] + [(p + off, s + 2 * off, o * 10 + n, "part") for o, n, p, s in items]
+    found = {}
+    for way, es in (("out", edges), ("in", [(b, a, i, t) for a, b, i, t in edges])):
+        for start in {x for a, b, *_ in edges for x in (a, b) if x % 50 == 0}:
+            one = {b for a, b, *_ in es if a == start} - {start}
+            two = {b for a, b, *_ in es if a in one} - one - {start}
+            for d in one | two:
+                direct = sorted((i, t) for a, b, i, t in es if (a, b) == (start, d)) if d in one else []
+                found.setdefault((start, d), []).append((2 - (d in one), way, len(direct), direct[0][1] if direct else ""))
+    want = {k: v[0] if len(v) == 1 else (min(x[0] for x in v), "both", 0, "") for k, v in found.items()}
+    got = {(r["start"], r["doc"]): (r["hops"], r["direction"], r["weight"], r["link_type"]) for r in PC.related_docs_all(spark, str(tmp_path)).collect()}
+    assert got == want and {2, 1} == {v[0] for v in want.values()} and any(v[3] == "part" for v in want.values())
+    assert sum(r["weight"] for r in PC.link_counts_all(spark, str(tmp_path)).collect()) == len(edges)
