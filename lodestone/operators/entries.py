@@ -105,6 +105,10 @@ def site_groups(results: DataFrame, by: list[str]) -> DataFrame:
     return g.select(*by, "n", "low", F.get("q", F.lit(0)).alias("q1"), F.get("q", F.lit(1)).alias("median"), F.get("q", F.lit(2)).alias("q3"), "high")
 
 
+#: Values of a test that a plot may take.
+PLOT_VALUES = 20_000
+
+
 def value_sample(results: DataFrame, by: list[str], n: int) -> DataFrame:
     """TK09, D15: the first n values of each group by id, for scatter and line plots."""
     w = Window.partitionBy(*by).orderBy("id")

@@ -68,3 +68,13 @@ def test_streams(spark, tmp_path):
     q.stop()
     assert {(r["run"], r["ord"]): r["cond"] for r in spark.table("sticky").collect()} == {(1, 1): "A=1,B=2", (1, 3): "B=2", (1, 5): "", (2, 0): ""}
     spark.streams.removeListener(listener)
+
+
+def test_value_sample_plot_keeps_20000_of_a_test(spark, tmp_path):
+    from lodestone.plans import entries as PE
+
+    n = F.when(F.col("id") < 20_003, F.lit(1)).otherwise(F.lit(2))
+    li = spark.range(20_303).select(n.cast("bigint").alias("l_partkey"), F.col("id").cast("double").alias("l_extendedprice"), F.lit(1).alias("l_linenumber"), F.col("id").alias("l_orderkey"), F.to_date(F.lit("1998-01-01")).alias("l_shipdate"), F.lit(0.01).alias("l_discount"))
+    li.write.parquet(f"{tmp_path}/lineitem.parquet")
+    got = {r["test"]: (r["n"], r["last"]) for r in PE.value_sample_plot(spark, str(tmp_path)).groupBy("test").agg(F.count("*").alias("n"), F.max("result").alias("last")).collect()}
+    assert got == {1: (20_000, 19_999.0), 2: (300, 20_302.0)}
