@@ -137,8 +137,8 @@ def name_convention(c: Column) -> Column:
 
 
 def has_return_annotation(signature: Column, language: Column) -> Column:
-    """TXT22."""
-    return F.when(language == "python", F.contains(signature, F.lit("->"))).when(language == "typescript", signature.rlike(r"\)\s*:")).otherwise(False)
+    """TXT22: null where the language has no rule."""
+    return F.when(language == "python", F.contains(signature, F.lit("->"))).when(language == "typescript", signature.rlike(r"\)\s*:"))
 
 
 def audience(c: Column) -> Column:

@@ -106,15 +106,34 @@ def parse_symbols(files: DataFrame) -> DataFrame:
     return files.select(F.col("key").cast("bigint").alias("key"), "language", "text").mapInPandas(run, SCHEMA)
 
 
+# Kinds that are called (a sub is VBA's function) and kinds that are made; others only count by kind.
+GROUPS = {"callable": ("function", "method", "sub"), "type": ("class", "struct", "interface", "trait", "enum")}
+
+
 def style(symbols: DataFrame) -> DataFrame:
-    """AG28, AG29: for each language: functions, commonest naming (the first name of ties) and its share, share with docstring and with a declared return
-    type, mean and median length."""
-    f = symbols.where(F.col("kind").isin("function", "method", "sub")).withColumn("naming", T.name_convention(F.col("name")))
-    lines = F.col("end_line") - F.col("start_line") + 1
-    n = f.groupBy("language", "naming").agg(F.count("*").alias("k"))
-    top = n.groupBy("language").agg(F.min_by("naming", F.struct(-F.col("k"), "naming")).alias("naming"), F.max("k").alias("k"))
-    g = f.groupBy("language").agg(
-        F.count("*").alias("functions"), F.round(F.avg(F.when(F.coalesce("docstring", F.lit("")) != "", 1.0).otherwise(0.0)), 4).alias("documented"),
-        F.round(F.avg(F.when(T.has_return_annotation(F.col("signature"), F.col("language")), 1.0).otherwise(0.0)), 4).alias("annotated"), F.round(F.avg(lines), 4).alias("mean_lines"), F.percentile(lines, 0.5).alias("median_lines"),
+    """AG28, AG29: for each language: symbols and their number by kind; for callables and, with the prefix type_, for types: number, commonest naming (the first
+    name of ties), its share, number by naming, share with docstring; of callables the share with a declared return type (null without a rule for the
+    language), mean and median length; methods per type (0 without types). A group without symbols has nulls beside its number."""
+    group = F.when(F.col("kind").isin(*GROUPS["callable"]), "callable").when(F.col("kind").isin(*GROUPS["type"]), "type")
+    s = symbols.withColumn("group", group).withColumn("naming", T.name_convention(F.col("name"))).withColumn("lines", F.col("end_line") - F.col("start_line") + 1)
+    as_map = lambda k: F.map_from_entries(F.sort_array(F.collect_list(F.struct(k, "k"))))  # noqa: E731 (one entry for each kind or naming)
+    kinds = s.groupBy("language", "kind").agg(F.count("*").alias("k")).groupBy("language").agg(F.sum("k").alias("symbols"), as_map("kind").alias("kinds"))
+    called, made = F.col("group") == "callable", F.col("group") == "type"
+    documented = F.when(F.coalesce("docstring", F.lit("")) != "", 1.0).otherwise(0.0)
+    annotated = T.has_return_annotation(F.coalesce("signature", F.lit("")), F.col("language")).cast("int")
+    methods = F.count(F.when(F.col("kind") == "method", 1))
+    lines = F.when(called, F.col("lines"))
+    g = s.groupBy("language").agg(
+        F.count(F.when(called, 1)).alias("functions"), F.round(F.avg(F.when(called, documented)), 4).alias("documented"), F.round(F.avg(F.when(called, annotated)), 4).alias("annotated"),
+        F.round(F.avg(lines), 4).alias("mean_lines"), F.percentile(lines, 0.5).alias("median_lines"),
+        F.count(F.when(made, 1)).alias("types"), F.round(F.avg(F.when(made, documented)), 4).alias("type_documented"), F.coalesce(F.round(F.try_divide(methods, F.count(F.when(made, 1))), 4), F.lit(0.0)).alias("methods_per_type"),
+    )
+    n = s.where("group IS NOT NULL").groupBy("language", "group", "naming").agg(F.count("*").alias("k"))
+    n = n.groupBy("language", "group").agg(F.min_by("naming", F.struct(-F.col("k"), "naming")).alias("naming"), F.round(F.max("k") / F.sum("k"), 4).alias("naming_share"), as_map("naming").alias("namings"))
+    fields = ("naming", "naming_share", "namings")
+    of = lambda which, prefix: n.where(F.col("group") == which).select("language", *(F.col(c).alias(prefix + c) for c in fields))
+    x = g.join(kinds, "language").join(of("callable", ""), "language", "left").join(of("type", "type_"), "language", "left")
+    return x.select(
+        "language", "symbols", "kinds", "functions", "naming", "naming_share", "namings", "documented", "annotated", "mean_lines", "median_lines",
+        "types", "type_naming", "type_naming_share", "type_namings", "type_documented", "methods_per_type",
     )
-    return g.join(top, "language").select("language", "functions", "naming", F.round(F.col("k") / F.col("functions"), 4).alias("naming_share"), "documented", "annotated", "mean_lines", "median_lines")

@@ -129,6 +129,23 @@ def test_code(spark):
     assert style["python"]["functions"] == 2 and style["python"]["annotated"] == 0.5
 
 
+def test_style_has_types_kinds_and_unknown_annotations(spark):
+    rows = [
+        ("python", "class", "Alpha", "class Alpha", "doc", 1, 9), ("python", "class", "beta_b", "class beta_b", None, 1, 9), ("python", "class", "Gamma", "class Gamma", "", 1, 9), ("python", "method", "run_it", "def run_it() -> int", "doc", 1, 3),
+        ("python", "method", "runIt", "def runIt()", None, 1, 5), ("python", "function", "go_on", "def go_on()", None, 1, 1), ("c", "function", "f", "int f(int a)", None, 1, 2), ("vba", "enum", "Rec", "Enum Rec", None, 1, 2), ("vba", "type", "T", "Type T", None, 1, 2),
+    ]
+    s = spark.createDataFrame(rows, "language string, kind string, name string, signature string, docstring string, start_line int, end_line int")
+    got = {r["language"]: r.asDict() for r in code.style(s).collect()}
+    py = got["python"]
+    assert (py["symbols"], py["kinds"], py["functions"], py["types"], py["methods_per_type"]) == (6, {"class": 3, "method": 2, "function": 1}, 3, 3, 0.6667)
+    assert (py["naming"], py["naming_share"], py["namings"], py["documented"], py["annotated"]) == ("snake_case", 0.6667, {"snake_case": 2, "camelCase": 1}, 0.3333, 0.3333)
+    assert (py["type_naming"], py["type_naming_share"], py["type_namings"], py["type_documented"]) == ("PascalCase", 0.6667, {"PascalCase": 2, "snake_case": 1}, 0.3333)
+    assert (py["mean_lines"], py["median_lines"]) == (3.0, 3.0)
+    assert got["c"]["annotated"] is None and (got["c"]["types"], got["c"]["type_naming"], got["c"]["methods_per_type"]) == (0, None, 0.0)
+    assert got["vba"]["kinds"] == {"enum": 1, "type": 1}
+    assert (got["vba"]["functions"], got["vba"]["naming"], got["vba"]["types"], got["vba"]["type_naming"]) == (0, None, 1, "PascalCase")
+
+
 @pytest.mark.parametrize(("name", "body", "kw"), [("t.csv", "\ufeffa,b,a\n1,x,2\n\n3,,4\n5\n", {}), ("t.tsv", "a\tb\ta\n1\tx\t2\n3\t\t4\n5\n", {}), ("t.txt", "a|b|a\n1|x|2\n3||4\n5\n", {"given": "pipe"})])
 def test_tables(spark, tmp_path, name, body, kw):
     p = tmp_path / name
