@@ -176,3 +176,10 @@ def flags_of(dups: DataFrame, pairs: DataFrame) -> DataFrame:
     one = dups.select(F.col("first_id").alias("target"), F.lit("duplicate").alias("kind"), F.col("content_hash").alias("note"))
     two = pairs.select(F.explode(F.array(F.struct(F.col("chunk_a").alias("t"), F.col("chunk_b").alias("o")), F.struct(F.col("chunk_b").alias("t"), F.col("chunk_a").alias("o")))).alias("p"))
     return one.unionByName(two.select(F.col("p.t").alias("target"), F.lit("discrepancy").alias("kind"), F.concat(F.lit("see "), F.col("p.o").cast("string")).alias("note")))
+
+
+def store_type(counts: DataFrame) -> DataFrame:
+    """SRC38: one row: files of code, data and doc in counts(category, n), and the type of store they call for; ties and nothing at all are documents."""
+    g = counts.agg(*(F.coalesce(F.sum(F.when(F.col("category") == c, F.col("n"))), F.lit(0)).alias(c) for c in ("code", "data", "doc")))
+    code, data, doc = F.col("code"), F.col("data"), F.col("doc")
+    return g.withColumn("store_type", F.when((code > 0) & (code >= data) & (code > doc), "code").when((data > 0) & (data > doc), "data").otherwise("document"))

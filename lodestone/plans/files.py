@@ -37,12 +37,17 @@ def style_guide(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def repo_scan(spark: SparkSession, sf: str) -> DataFrame:
-    """SRC37, SRC38: files by class and suffix, out of the catalog's paths."""
+    """SRC37: files by class and suffix, out of the catalog's paths."""
     d = table(spark, sf, "documents").select(F.lower(F.substring_index("path", ".", -1)).alias("ext"))
     kind = F.when(F.col("ext").isin(*code.LANGUAGES), "code").when(F.col("ext").isin("csv", "tsv", "std", "stdf", "xlsx"), "data").otherwise("doc")
     return d.groupBy(kind.alias("category"), "ext").agg(F.count("*").alias("n"))
 
 
+def store_recommendation(spark: SparkSession, sf: str) -> DataFrame:
+    """SRC38 over the counts of ``repo_scan``."""
+    return K.store_type(repo_scan(spark, sf))
+
+
 def glob_classes(spark: SparkSession, sf: str) -> DataFrame:
     """SRC01-SRC03 over the catalog's paths."""
     return documents.classified(table(spark, sf, "documents").select("doc_id", "path"), ["**/*.html", "app-notes/**"], ["bench-*/**"]).select("doc_id", "class")
@@ -53,9 +58,10 @@ def event_stream_yield(spark: SparkSession, sf: str) -> DataFrame:
     return event_yield(table(spark, sf, "events"))
 
 
-QUERIES = {f.__name__: f for f in (html_extract, html_chunks, code_symbols, style_guide, repo_scan, glob_classes, event_stream_yield)}
+QUERIES = {f.__name__: f for f in (html_extract, html_chunks, code_symbols, style_guide, repo_scan, store_recommendation, glob_classes, event_stream_yield)}
 SQL = {
     "repo_scan": "WITH d AS (SELECT lower(string_split(path, '.')[-1]) AS ext FROM documents) SELECT CASE WHEN ext IN (" + ", ".join(f"'{x}'" for x in code.LANGUAGES) + ") THEN 'code' WHEN ext IN ('csv', 'tsv', 'std', 'stdf', 'xlsx') THEN 'data' ELSE 'doc' END AS category, ext, count(*) AS n FROM d GROUP BY 1, 2",
+    "store_recommendation": "WITH d AS (SELECT lower(string_split(path, '.')[-1]) AS ext FROM documents), k AS (SELECT CASE WHEN ext IN (" + ", ".join(f"'{x}'" for x in code.LANGUAGES) + ") THEN 'code' WHEN ext IN ('csv', 'tsv', 'std', 'stdf', 'xlsx') THEN 'data' ELSE 'doc' END AS category FROM d), g AS (SELECT count(*) FILTER (category = 'code') AS code, count(*) FILTER (category = 'data') AS data, count(*) FILTER (category = 'doc') AS doc FROM k) SELECT *, CASE WHEN code > 0 AND code >= data AND code > doc THEN 'code' WHEN data > 0 AND data > doc THEN 'data' ELSE 'document' END AS store_type FROM g",
     "glob_classes": "SELECT doc_id, CASE WHEN regexp_matches(path, '^bench-[^/]*/.*$') THEN 'excluded' WHEN regexp_matches(path, '^(?:[^/]+/)*[^/]*\\.html$') OR starts_with(path, 'app-notes/') THEN 'included' ELSE 'other' END AS class FROM documents",
     "event_stream_yield": "SELECT date_trunc('day', ts) AS start, count(*) AS n, count(*) FILTER (event_type <> 'error') AS good FROM events GROUP BY 1",
 }

@@ -264,3 +264,10 @@ def test_related_docs_all_equals_brute_force(spark, tmp_path):
     got = {(r["start"], r["doc"]): (r["hops"], r["direction"], r["weight"], r["link_type"]) for r in PC.related_docs_all(spark, str(tmp_path)).collect()}
     assert got == want and {2, 1} == {v[0] for v in want.values()} and any(v[3] == "part" for v in want.values())
     assert sum(r["weight"] for r in PC.link_counts_all(spark, str(tmp_path)).collect()) == len(edges)
+
+
+@pytest.mark.parametrize(("counts", "want"), [({"code": 5, "data": 5, "doc": 4}, "code"), ({"code": 5, "doc": 5}, "document"), ({"code": 2, "data": 5, "doc": 4}, "data"), ({"code": 4, "data": 5, "doc": 5}, "document"), ({"data": 1}, "data"), ({}, "document")])
+def test_store_type(spark, counts, want):
+    df = spark.createDataFrame([(c, i) for c, i in counts.items()], "category string, n bigint")
+    r = K.store_type(df).first()
+    assert (r["store_type"], r["code"], r["data"], r["doc"]) == (want, *(counts.get(c, 0) for c in ("code", "data", "doc")))
