@@ -219,12 +219,13 @@ def tally(findings: DataFrame) -> DataFrame:
 
 
 def balanced_pick(findings: DataFrame, name: str, score: Column, cap: int, categories: tuple[str, ...] = ("changed", "cpk", "shifted", "uncorrelated", "shape", "site")) -> DataFrame:
-    """TK06: categories take turns, best score first in each; a name already taken uses up its turn, not a place."""
+    """TK06: categories take turns, best score first in each; a name already taken uses up its turn, not a place. Nothing flagged, the first names, without a category."""
     order = {c: i for i, c in enumerate(categories)}
-    e = findings.withColumn("score", score).select(name, "score", F.explode(F.split("categories", ",")).alias("category")).where("category <> ''")
+    e = findings.withColumn("score", score).select(name, "score", F.explode(F.split(F.coalesce("categories", F.lit("")), ",")).alias("category"))
     e = e.withColumn("turn", F.row_number().over(Window.partitionBy("category").orderBy(F.desc("score"), name)))
     place = reduce(lambda w, kv: w.when(F.col("category") == kv[0], kv[1]), order.items(), F.when(F.lit(False), -1))
-    first = e.groupBy(name).agg(F.min(F.struct("turn", place.alias("place"), "category")).alias("f"))
+    first = e.groupBy(name).agg(F.min(F.when(F.col("category") != "", F.struct("turn", place.alias("place"), "category"))).alias("f"))
+    first = first.withColumn("flagged", F.count("f").over(Window.partitionBy())).where("f IS NOT NULL OR flagged = 0")
     w = Window.orderBy("f.turn", "f.place", name)
     return first.withColumn("pick", F.row_number().over(w).cast("bigint")).where(F.col("pick") <= cap).select("pick", name, F.col("f.category").alias("category"))
 

@@ -28,10 +28,15 @@ def problem_reasons(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def dashboard_gallery(spark: SparkSession, sf: str) -> DataFrame:
-    """TK06, TK07."""
+    """TK06, TK07, 20 picks as in its SQL."""
     return R.gallery(_analyses(spark, sf), "test", 20)
 
 
+def dashboard_gallery_48(spark: SparkSession, sf: str) -> DataFrame:
+    """TK06, TK07 with the cap of the operator."""
+    return R.gallery(_analyses(spark, sf), "test")
+
+
 def chip_filter(spark: SparkSession, sf: str) -> DataFrame:
     """FLT20."""
     return R.chip_filter(_analyses(spark, sf), ["changed", "functional"], ["shifted"]).select("test")
@@ -90,7 +95,7 @@ an AS (SELECT test, status, coalesce(shape, 'sparse') AS shape, round(CASE WHEN
   FROM st LEFT JOIN gg USING (test) LEFT JOIN shp USING (test) LEFT JOIN cmp USING (test) LEFT JOIN sit USING (test))"""
 _R = "r AS (SELECT DISTINCT ON (id) * FROM stdf_results)"
 
-QUERIES = {f.__name__: f for f in (analysis_flags, problem_reasons, dashboard_gallery, chip_filter, stats_table, test_texts, part_texts, search_payload, reference_labels, mixed_formats, report_expiry)}
+QUERIES = {f.__name__: f for f in (analysis_flags, problem_reasons, dashboard_gallery, dashboard_gallery_48, chip_filter, stats_table, test_texts, part_texts, search_payload, reference_labels, mixed_formats, report_expiry)}
 SQL = {
     "analysis_flags": _A + " SELECT test, status, shape, array_to_string(flags, ',') AS flags, cpk, pct_shift, site_spread FROM an",
     "problem_reasons": _A + """ SELECT row_number() OVER (ORDER BY coalesce(cpk, 99.0), abs(coalesce(pct_shift, 0)) DESC, test) AS place, test, cpk, array_to_string(list_filter([CASE WHEN cpk < 1.33 THEN 'Cpk ' || printf('%.2f', cpk) || ' (below 1.33)' END, CASE WHEN list_contains(flags, 'added') THEN 'new test in this run' END,
@@ -114,3 +119,4 @@ SQL = {
     "mixed_formats": "SELECT path, list_extract(['pdf', 'docx', 'md', 'pptx', 'xlsx'], CAST((row_number() OVER (ORDER BY path) - 1) % 5 + 1 AS INT)) AS format FROM documents",
     "report_expiry": "WITH e AS (SELECT doc_id, ingested_at + INTERVAL 12 HOUR AS a, ingested_at + INTERVAL 72 HOUR AS b FROM documents) SELECT doc_id, CASE WHEN date_trunc('day', a) = a THEN a ELSE date_trunc('day', a) + INTERVAL 1 DAY END AS keep_0, CASE WHEN date_trunc('day', b) = b THEN b ELSE date_trunc('day', b) + INTERVAL 1 DAY END AS keep_3 FROM e",
 }
+SQL["dashboard_gallery_48"] = SQL["dashboard_gallery"].replace("pick <= 20", "pick <= 48")

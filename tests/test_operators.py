@@ -271,3 +271,18 @@ def test_store_type(spark, counts, want):
     df = spark.createDataFrame([(c, i) for c, i in counts.items()], "category string, n bigint")
     r = K.store_type(df).first()
     assert (r["store_type"], r["code"], r["data"], r["doc"]) == (want, *(counts.get(c, 0) for c in ("code", "data", "doc")))
+
+
+def test_balanced_pick_falls_back_to_the_first_tests(spark):
+    pick = lambda rows: [(r["pick"], r["test"], r["category"]) for r in M.balanced_pick(spark.createDataFrame(rows, "test int, s double, categories string"), "test", F.col("s"), 3).orderBy("pick").collect()]
+    none = [(t, float(t), "" if t % 2 else None) for t in range(9, 0, -1)]
+    assert pick(none) == [(1, 1, None), (2, 2, None), (3, 3, None)]
+    assert pick([*none, (20, 1.0, "site")]) == [(1, 20, "site")]
+
+
+def test_gallery_queries_have_the_cap_of_the_operator(spark, sf_oracle):
+    from lodestone.plans import measure as PM
+    from lodestone.plans import reports as PR
+
+    assert PM.round_robin_pick_48(spark, sf_oracle).count() > 12
+    assert PR.dashboard_gallery_48(spark, sf_oracle).count() > 20
