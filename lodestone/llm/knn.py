@@ -1,11 +1,16 @@
 """Most similar vectors for every vector: a hierarchical k-means tree, searched best bin first.
 
-For each model a tree is fitted on a bounded sample (SAMPLE vectors, chosen by hash), and every vector is
-put into the leaf it descends to. A query keeps a priority queue of nodes by distance to their centroids:
-the nearest is taken, an inner node queues its children, a leaf is visited. How many leaves a query
-visits is calibrated: a sample of queries is answered by brute force over all rows, and the number is
-the least at which the visited leaves hold TARGET of those answers. Leaves are grouped, in the order of
-the tree, into blocks of bounded size; a query travels once to each block that it visits.
+For each model a tree is fitted in two levels whose number of leaves follows the number of vectors. The upper
+level comes from a bounded sample (SAMPLE vectors, chosen by hash); inside each of its cells a subtree is
+fitted by the executors, down to leaves of LEAF vectors, or larger ones once the centroids of all leaves would
+take more than TREE_BYTES. Every vector is put into the leaf it descends to. A query keeps a priority queue of nodes by
+distance to their centroids: the nearest is taken, an inner node queues its children, a leaf is visited.
+A pair is looked at if either of its vectors visits the leaf of the other, and counts for both. How
+many leaves a query visits is calibrated on vectors outside of the sample: they are answered by brute force over all rows,
+and the number is the least at which TARGET of those pairs are looked at.
+
+Leaves are grouped, in the order of the tree, into blocks of bounded size. A vector is sent once to the
+block of its leaf as a row, and as a query to the other blocks that it visits, where queries stream past the rows.
 
 Usable vectors are not null, have ``dim`` finite values and are not all zero; each chunk id counts once.
 Equal vectors form a class: one row of the class is indexed and asked, and its smallest k + 1 ids answer for
@@ -15,6 +20,7 @@ gives what there is; no usable vectors, no rows.
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,13 +32,13 @@ from pyspark.sql import functions as F
 
 from lodestone.session import cut, ship, table
 
-TOP, SAMPLE, LEAF_SAMPLE, BRANCH, TARGET, CALIBRATE, BLOCK_ROWS, ASK_ROWS, SEED = 5, 20_000, 64, 16, 0.93, 400, 32_768, 131_072, 11
+TOP, SAMPLE, LEAF, BRANCH, TARGET, CALIBRATE, BLOCK_ROWS, TREE_BYTES, SEED = 5, 20_000, 64, 16, 0.93, 400, 65_536, 16 << 20, 11
 
 
 def usable(df: DataFrame, key: str = "chunk_id") -> DataFrame:
     good = F.col("vector").isNotNull() & (F.size("vector") == F.col("dim")) & (F.col("dim") > 0)
     good &= F.forall("vector", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("vector", lambda x: x != 0)
-    return df.where(F.col(key).isNotNull() & F.col("model").isNotNull() & good).select(key, "model", "vector").dropDuplicates([key])
+    return df.where(F.col(key).isNotNull() & F.col("model").isNotNull() & good).select(key, "model", "vector")
 
 
 def unit(vectors: np.ndarray) -> np.ndarray:
@@ -42,30 +48,41 @@ def unit(vectors: np.ndarray) -> np.ndarray:
 
 
 class Tree:
-    """Nodes in depth-first order: centroid, children (none for leaves), number of the leaf."""
+    """Nodes in depth-first order: centroid, parent (-1 for the root), children (none for leaves), number of the leaf."""
 
-    def __init__(self, x: np.ndarray, branch: int = BRANCH, leaf: int = LEAF_SAMPLE, seed: int = SEED) -> None:
+    def __init__(self, x: np.ndarray, branch: int = BRANCH, leaf: int = LEAF, seed: int = SEED) -> None:
         self.children: list[list[int]] = []
         self.centroids: list[np.ndarray] = []
-        self.leaf: list[int] = []
-        self.leaves = 0
+        self.counts: list[float] = []
         self._rng = np.random.default_rng(seed)
         self._grow(x, branch, leaf, 0)
+        del self._rng
+        self._index()
+
+    def _index(self) -> None:
+        n = len(self.children)
         self.c = np.stack(self.centroids)
         self.c2 = (self.c**2).sum(axis=1)
-        del self._rng, self.centroids
+        self.parent = np.full(n, -1)
+        depth = np.zeros(n, np.int64)
+        for i, kids in enumerate(self.children):
+            self.parent[kids] = i
+        for i in range(1, n):  # parents come before their children
+            depth[i] = depth[self.parent[i]] + 1
+        self.levels = [np.flatnonzero(depth == d) for d in range(1, depth.max() + 1)]
+        self.ends = np.array([i for i, kids in enumerate(self.children) if not kids])
+        self.leaf = np.full(n, -1)
+        self.leaf[self.ends] = np.arange(len(self.ends))
+        self.leaves = len(self.ends)
 
     def _grow(self, x: np.ndarray, branch: int, leaf: int, depth: int) -> int:
         me = len(self.children)
         self.children.append([])
         self.centroids.append(x.mean(axis=0))
-        self.leaf.append(-1)
+        self.counts.append(float(len(x)))
         parts = self._split(x, min(branch, max(2, len(x) // leaf))) if len(x) > 1.5 * leaf and depth < 12 else []
         if len(parts) > 1:
             self.children[me] = [self._grow(p, branch, leaf, depth + 1) for p in parts]
-        else:
-            self.leaf[me] = self.leaves
-            self.leaves += 1
         return me
 
     def _split(self, x: np.ndarray, k: int, rounds: int = 8) -> list[np.ndarray]:
@@ -76,9 +93,32 @@ class Tree:
         at = np.argmin((c**2).sum(axis=1) - 2 * x @ c.T, axis=1)
         return [x[at == i] for i in range(k) if (at == i).any()]
 
+    def grafted(self, below: dict[int, Tree], scale: float) -> Tree:
+        """A tree whose leaves (by number) have grown into the given subtrees; counts of subtrees are scaled, those of other leaves come from them too."""
+        out = Tree.__new__(Tree)
+        out.children, out.centroids, out.counts = [], [], []
+
+        def copy(tree: Tree, node: int, times: float) -> int:
+            if tree is self and not tree.children[node] and int(self.leaf[node]) in below:
+                return copy(below[int(self.leaf[node])], 0, scale)
+            me = len(out.children)
+            out.children.append([])
+            out.centroids.append(tree.c[node])
+            out.counts.append(tree.counts[node] * times)
+            out.children[me] = [copy(tree, k, times) for k in tree.children[node]]
+            return me
+
+        copy(self, 0, 1.0)
+        out._index()
+        return out
+
+    def sizes(self) -> np.ndarray:
+        """Vectors of each leaf when it was fitted."""
+        return np.array(self.counts)[self.ends]
+
     def assign(self, x: np.ndarray) -> np.ndarray:
         """The leaf each vector descends to."""
-        at, out = np.zeros(len(x), np.int64), np.full(len(x), -1, np.int64)
+        out = np.full(len(x), -1, np.int64)
         todo = [(0, np.arange(len(x)))]
         while todo:
             node, rows = todo.pop()
@@ -90,35 +130,36 @@ class Tree:
                 continue
             near = np.argmin(self.c2[kids] - 2 * x[rows] @ self.c[kids].T, axis=1)
             todo += [(k, rows[near == i]) for i, k in enumerate(kids)]
-        del at
+        return out
+
+    def keys(self, x: np.ndarray) -> np.ndarray:
+        """When each leaf leaves each query's priority queue, as a number to sort by. A queue hands out a node once its parent is
+        out and nothing nearer waits, so of two leaves the one comes first whose farthest node below their common ancestor
+        is nearer: they sort by the farthest node of the whole path, then of the path from the second level on, and so
+        forth. The keys of four levels are added with weights of 1, 1e-4, ...: nodes whose distances differ by less may swap."""
+        d = (self.c2 - 2 * x @ self.c.T).astype(np.float64)
+        out = np.zeros((len(x), self.leaves))
+        for start in range(min(4, len(self.levels))):
+            far = np.full_like(d, -9.0)
+            far[:, self.levels[start]] = d[:, self.levels[start]]
+            for nodes in self.levels[start + 1 :]:
+                far[:, nodes] = np.maximum(far[:, self.parent[nodes]], d[:, nodes])
+            out += 1e-4**start * far[:, self.ends]
         return out
 
     def visits(self, x: np.ndarray, n: int) -> np.ndarray:
-        """The first n leaves of each query, best bin first. The priority queues of a batch of queries are the rows of one
-        matrix: a node that isn't queued has the key infinity, and all queries pop at once."""
-        n = min(n, self.leaves)
-        out = np.empty((len(x), n), np.int32)
-        leaf = np.array(self.leaf)
-        width = max((len(k) for k in self.children), default=0)
-        kids = np.full((len(leaf), max(1, width)), len(leaf))
-        for i, k in enumerate(self.children):
-            kids[i, : len(k)] = k
-        for start in range(0, len(x), 2048):
-            d = self.c2 - 2 * x[start : start + 2048] @ self.c.T
-            d = np.concatenate([d, np.full((len(d), 1), np.inf, d.dtype)], axis=1)  # a padded child never gets into a queue
-            queue = np.full_like(d, np.inf)
-            queue[:, 0] = d[:, 0]
-            got, rows = np.zeros(len(d), np.int64), np.arange(len(d))
-            while len(rows):
-                node = queue[rows].argmin(axis=1) if len(rows) < len(d) else queue.argmin(axis=1)
-                queue[rows, node] = np.inf
-                at_leaf = leaf[node] >= 0
-                r, m = rows[at_leaf], node[at_leaf]
-                out[start + r, got[r]] = leaf[m]
-                got[r] += 1
-                r, m = rows[~at_leaf], kids[node[~at_leaf]]
-                queue[r[:, None], m] = d[r[:, None], m]
-                rows = rows[got[rows] < n]
+        """The first n leaves of each query, best bin first."""
+        step = max(16, 2_000_000 // len(self.children))
+        return np.concatenate([np.argsort(self.keys(x[i : i + step]), axis=1, kind="stable")[:, :n] for i in range(0, len(x), step)]) if len(x) else np.zeros((0, n), np.int64)
+
+    def seen(self, x: np.ndarray, n: int) -> np.ndarray:
+        """For each query and leaf: whether it is among the first n."""
+        out = np.zeros((len(x), self.leaves), bool)
+        if n >= self.leaves:
+            return ~out
+        step = max(16, 2_000_000 // len(self.children))
+        for i in range(0, len(x), step):
+            np.put_along_axis(out[i : i + step], np.argpartition(self.keys(x[i : i + step]), n - 1, axis=1)[:, :n], True, axis=1)
         return out
 
 
@@ -144,135 +185,237 @@ def _rows(column: pa.ChunkedArray, dtype: str = "<f4") -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), dtype).reshape(len(column), -1)
 
 
-def _improve(best_s: np.ndarray, best_r: np.ndarray, q: np.ndarray, r: np.ndarray, v: np.ndarray, other: np.ndarray, k: int) -> None:
-    """Merge found pairs (row r of q, similarity, other id) into the k best of each query; ties to the smaller id."""
+def _improve(best_s: np.ndarray, best_r: np.ndarray, q: np.ndarray, sims: np.ndarray, ids: np.ndarray, k: int) -> None:
+    """Merge similarities of the queries in rows q to the vectors ``ids`` into the k best of each; ties to the smaller id."""
+    least = best_s[q, k - 1]
+    if sims.shape[1] > k and (least == -2).any():  # nothing below the k-th of these can stay
+        least = np.maximum(least, np.partition(sims, -k, axis=1)[:, -k])
+    r, c = np.nonzero(sims >= least[:, None])
+    v = sims[r, c]
+    r, c, v = r[v > -2], c[v > -2], v[v > -2]
+    if not len(r):
+        return
     touched, slot = np.unique(r, return_inverse=True)
     rows = q[touched]
     s = np.concatenate([best_s[rows].ravel(), v])
-    o = np.concatenate([best_r[rows].ravel(), other])
+    o = np.concatenate([best_r[rows].ravel(), ids[c]])
     of = np.concatenate([np.repeat(np.arange(len(rows)), k), slot])
     order = np.lexsort((o, -s, of))
     of, s, o = of[order], s[order], o[order]
-    start = np.searchsorted(of, np.arange(len(rows)))
-    take = start[:, None] + np.arange(k)
+    take = np.searchsorted(of, np.arange(len(rows)))[:, None] + np.arange(k)
     best_s[rows], best_r[rows] = s[take], o[take]
 
 
 def _calibrate(reps: DataFrame, tree: Tree, queries: np.ndarray, ids: np.ndarray, k: int, target: float) -> int:
-    """Leaf visits at which the share ``target`` of the exact answers of the sampled queries is seen."""
+    """Leaf visits at which the share ``target`` of the exact answers of the queries is seen, from either side."""
 
-    def exact(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in it:
-            if len(pdf):
-                x = np.stack(pdf["vector"].to_numpy())
-                own = pdf["rep"].to_numpy()
+    def exact(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in it:
+            if b.num_rows:
+                own, x = b.column(0).to_numpy(), _matrix(b.column(1))
                 sims = queries @ x.T
                 sims[ids[:, None] == own[None, :]] = -2
                 at = _top(sims, k)
-                leaf = tree.assign(x)
-                q = np.repeat(np.arange(len(ids)), at.shape[1])
-                yield pd.DataFrame({"q": q, "rep": own[at.ravel()], "leaf": leaf[at.ravel()], "sim": sims[q, at.ravel()].astype(float)})
+                q = np.repeat(np.arange(len(ids), dtype=np.int32), at.shape[1])
+                at = at.ravel()
+                yield pa.RecordBatch.from_arrays([pa.array(q), pa.array(own[at]), pa.array(sims[q, at].astype(float)), _bytes(x).take(pa.array(at))], names=["q", "rep", "sim", "vec"])
 
     w = Window.partitionBy("q").orderBy(F.desc("sim"), "rep")
-    best = reps.mapInPandas(exact, "q int, rep bigint, leaf int, sim double").withColumn("r", F.row_number().over(w)).where(F.col("r") <= k).where("sim > -2").toPandas()  # at most CALIBRATE * k rows
+    best = reps.mapInArrow(exact, "q int, rep bigint, sim double, vec binary").withColumn("r", F.row_number().over(w)).where(F.col("r") <= k).where("sim > -2").select("q", "vec").toPandas()  # at most CALIBRATE * k rows
     if not len(best):
         return 1
-    order = tree.visits(queries, tree.leaves)
-    rank = np.empty_like(order)
-    np.put_along_axis(rank, order, np.arange(order.shape[1], dtype=np.int32)[None, :].repeat(len(order), 0), axis=1)
-    seen = np.sort(rank[best["q"].to_numpy(), best["leaf"].to_numpy()])
+    q, other = best["q"].to_numpy(), np.frombuffer(b"".join(best["vec"]), "<f4").reshape(len(best), -1)
+
+    def rank(x: np.ndarray, leaf: np.ndarray) -> np.ndarray:
+        return np.concatenate([(lambda key, at: (key < np.take_along_axis(key, at[:, None], axis=1)).sum(axis=1))(tree.keys(x[i : i + 64]), leaf[i : i + 64]) for i in range(0, len(x), 64)])
+
+    seen = np.sort(np.minimum(rank(queries[q], tree.assign(other)), rank(other, tree.assign(queries)[q])))
     return int(seen[min(len(seen) - 1, int(np.ceil(target * len(seen))) - 1)]) + 1
 
 
-def _search_model(reps: DataFrame, k: int, n: int, target: float) -> DataFrame:
+def _picked(reps: DataFrame, n: int, rows: int, seed: int) -> DataFrame:
+    """About ``rows`` of n rows by hash, all of them if there are no more."""
+    share = min(1.0, 1.2 * rows / n)
+    return reps if share == 1.0 else reps.where(F.pmod(F.xxhash64("rep", F.lit(seed)), F.lit(1 << 30)) < F.lit(int(share * (1 << 30)) + 1))
+
+
+def fit(reps: DataFrame, n: int, dim: int, sample: int = SAMPLE, leaf: int = LEAF, tree_bytes: int = TREE_BYTES) -> tuple[Tree, np.ndarray]:
+    """(tree, sampled ids) of the classes (rep, vector) of one model."""
+    got = _picked(reps, n, sample, SEED).orderBy(F.xxhash64("rep", F.lit(SEED)), "rep").limit(sample).toPandas()  # a bounded sample
+    x, ids = np.stack(got["vector"].to_numpy()).astype(np.float32), got["rep"].to_numpy()
+    top = Tree(x, leaf=leaf)
+    if n <= len(x):
+        return top, ids
+    leaves = min(n / leaf, tree_bytes / (4 * dim))
+    rows = min(n, int(leaf * leaves))  # fitted on as many rows as a leaf holds for each leaf
+    sent = reps.sparkSession.sparkContext.broadcast(top)  # no more centroids than the sample has leaves
+
+    def cells(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in it:
+            if b.num_rows:
+                x = _matrix(b.column(1))
+                yield pa.RecordBatch.from_arrays([pa.array(sent.value.assign(x)), b.column(0), _bytes(x)], names=["cell", "rep", "vec"])
+
+    def grow(tbl: pa.Table) -> pa.Table:
+        tbl = tbl.sort_by("rep")  # the same tree whatever the order of arrival
+        t = Tree(_rows(tbl.column("vec")), leaf=leaf)
+        return pa.table({"cell": tbl.column("cell").slice(0, 1), "tree": pa.array([pickle.dumps(t)], pa.binary())})
+
+    grown = _picked(reps, n, rows, SEED + 1).mapInArrow(cells, "cell bigint, rep bigint, vec binary").groupBy("cell").applyInArrow(grow, "cell bigint, tree binary").collect()  # tree_bytes of centroids in all
+    return top.grafted({r[0]: pickle.loads(r[1]) for r in grown}, n / rows), ids
+
+
+def blocks_of(sizes: np.ndarray, rows: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(first leaf, last leaf of each block; first block, number of blocks of each leaf): leaves in the order of the tree, a leaf of more than
+    two blocks' size in blocks of its own."""
+    first, last, block, parts = [], [], np.zeros(len(sizes), np.int64), np.ones(len(sizes), np.int64)
+    room = 0.0
+    for i, s in enumerate(sizes):
+        cut = int(-(-s // rows)) if s > 2 * rows else 1
+        if cut > 1 or room < s or not first:
+            block[i], parts[i] = len(first), cut
+            first += [i] * cut
+            last += [i] * cut
+            room = 0.0 if cut > 1 else rows - s
+        else:
+            block[i] = len(first) - 1
+            last[-1] = i
+            room -= s
+    return np.array(first), np.array(last), block, parts
+
+
+class _Block:
+    """The rows of one block, and the k best found so far for each."""
+
+    def __init__(self, rep: np.ndarray, leaf: np.ndarray, x: np.ndarray, lo: int, k: int) -> None:
+        order = np.argsort(leaf, kind="stable")
+        self.order, self.rep, self.x, self.k = order, rep[order], x[order], k
+        self.leaf = leaf[order] - lo
+        self.best = np.full((len(rep), k), -2, np.float32), np.full((len(rep), k), -1, np.int64)
+
+    def ask(self, rep: np.ndarray, x: np.ndarray, mask: np.ndarray, own: bool = False) -> tuple[np.ndarray, np.ndarray]:
+        """Queries against the leaves of their masks; the k best of each. What is found counts for the rows as well. ``own``: the queries are the rows themselves."""
+        k, (rs, rr) = self.k, self.best
+        qs, qr = np.full((len(rep), k), -2, np.float32), np.full((len(rep), k), -1, np.int64)
+        for at in range(mask.shape[1]):
+            a, b = np.searchsorted(self.leaf, [at, at + 1])
+            who = np.flatnonzero(mask[:, at])
+            for s in range(0, len(who), 4096):
+                q = who[s : s + 4096]
+                for t in range(a, b, 2048):
+                    u = min(b, t + 2048)
+                    sims = x[q] @ self.x[t:u].T
+                    if own:
+                        here = np.flatnonzero((q >= t) & (q < u))
+                        sims[here, q[here] - t] = -2
+                    # only what beats (or equals) the k-th so far is looked at
+                    _improve(qs, qr, q, sims, self.rep[t:u], k)
+                    _improve(rs, rr, np.arange(t, u), sims.T, rep[q], k)
+        return qs, qr
+
+
+_FOUND = pa.schema([("rep", pa.int64()), ("near", pa.list_(pa.int64())), ("sims", pa.list_(pa.float64()))])
+
+
+def _found(rep: np.ndarray, s: np.ndarray, r: np.ndarray) -> pa.RecordBatch:
+    keep = s > -2
+    offsets = pa.array(np.concatenate([[0], np.cumsum(keep.sum(axis=1))]).astype(np.int32))
+    return pa.RecordBatch.from_arrays([pa.array(rep), pa.ListArray.from_arrays(offsets, pa.array(r[keep])), pa.ListArray.from_arrays(offsets, pa.array(s[keep].astype(float)))], schema=_FOUND)
+
+
+def _search_model(reps: DataFrame, k: int, n: int, dim: int, target: float) -> DataFrame:
     """rep, nbrs (array of cos, rep; at most k) for the classes of one model."""
-    share = min(1.0, 1.2 * SAMPLE / n)
-    picked = reps.where(F.pmod(F.xxhash64("rep", F.lit(SEED)), F.lit(1 << 20)) < F.lit(int(share * (1 << 20)) + 1))
-    sample = picked.orderBy(F.xxhash64("rep", F.lit(SEED))).limit(SAMPLE).toPandas()
-    x, ids = np.stack(sample["vector"].to_numpy()).astype(np.float32), sample["rep"].to_numpy()
-    tree = Tree(x)
-    visits = _calibrate(reps, tree, x[:CALIBRATE], ids[:CALIBRATE], k, target)
-    per_leaf = np.bincount(tree.assign(x), minlength=tree.leaves) * (n / len(x))
-    block = (np.cumsum(per_leaf) // BLOCK_ROWS).astype(np.int64)  # leaves by block, in the order of the tree
-    first_leaf = np.searchsorted(block, np.arange(block[-1] + 2))
-    rows = np.bincount(block, weights=per_leaf)
-    subs = np.maximum(1, np.ceil(rows / (2 * BLOCK_ROWS))).astype(np.int64)  # a leaf above the size of a block is cut by hash
-    asks = max(1, -(-n // ASK_ROWS))  # the queries of a block are cut by hash as well, and its rows sent to each part
-    names = ["block", "sub", "part", "rep", "leaf", "mask", "vec"]
-
-    def rows_of(bl: int, sub: np.ndarray | int, part: int | np.ndarray, rep: np.ndarray, leaf: np.ndarray | None, mask: pa.Array, vec: pa.Array) -> pa.RecordBatch:
-        k = len(rep)
-        full = lambda v: pa.array(np.broadcast_to(np.asarray(v, np.int64), (k,)))
-        return pa.RecordBatch.from_arrays([full(bl), full(sub), full(part), pa.array(rep), full(-1 if leaf is None else leaf), mask, vec], names=names)
+    tree, fitted = fit(reps, n, dim)
+    held = _picked(reps, n, 4 * CALIBRATE, SEED + 2)
+    if n > len(fitted):  # else every vector is in the sample
+        known = reps.sparkSession.createDataFrame(pd.DataFrame({"rep": fitted}))
+        held = held.join(F.broadcast(known), "rep", "left_anti")  # ids of a bounded sample
+    asked = held.orderBy(F.xxhash64("rep", F.lit(SEED + 2)), "rep").limit(CALIBRATE).toPandas()
+    visits = _calibrate(reps, tree, np.stack(asked["vector"].to_numpy()).astype(np.float32), asked["rep"].to_numpy(), k, target)
+    lo, hi, block, parts = blocks_of(tree.sizes(), min(BLOCK_ROWS, max(2048, n // 8)))
+    sent = reps.sparkSession.sparkContext.broadcast(tree)  # TREE_BYTES
+    names = ["block", "asks", "rep", "leaf", "mask", "vec"]
 
     def route(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tree = sent.value
+        for batch in it:
+            for at in range(0, batch.num_rows, 8192):
+                part = batch.slice(at, 8192)
+                rep, x = part.column(0).to_numpy(), _matrix(part.column(1))
+                raw, leaf, seen = _bytes(x), tree.assign(x), tree.seen(x, visits)
+                home = block[leaf] + ((rep * np.int64(0x9E3779B1) >> 7) & 0xFFFFFF) % parts[leaf]
+                for bl in range(len(lo)):
+                    here = seen[:, lo[bl] : hi[bl] + 1]
+                    own = home == bl
+                    mine = np.flatnonzero(here.any(axis=1) | own)
+                    if len(mine):
+                        bits = np.packbits(here[mine], axis=1)
+                        mask = pa.array([m.tobytes() for m in bits], pa.binary())
+                        full = pa.array(np.full(len(mine), bl, np.int32))
+                        yield pa.RecordBatch.from_arrays([full, pa.array((~own[mine]).astype(np.int32)), pa.array(rep[mine]), pa.array(leaf[mine]), mask, raw.take(pa.array(mine))], names=names)
+
+    def answer(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, rows, block = -1, [], None
+
+        def opened(bl: int, rows: list[pa.RecordBatch]) -> tuple[_Block | None, list[pa.RecordBatch]]:
+            if not rows:
+                return None, []
+            t = pa.Table.from_batches(rows)
+            one = _Block(t.column("rep").to_numpy(), t.column("leaf").to_numpy(), _rows(t.column("vec")), int(lo[bl]), k)
+            mask = bits(t.column("mask"), bl)[one.order]
+            return one, [_found(one.rep, *one.ask(one.rep, one.x, mask, own=True))]
+
+        def bits(column: pa.ChunkedArray | pa.Array, bl: int) -> np.ndarray:
+            return np.unpackbits(_rows(column, "u1"), axis=1)[:, : hi[bl] + 1 - lo[bl]].astype(bool)
+
         for batch in it:
             if not batch.num_rows:
                 continue
-            x, rep = _matrix(batch.column(1)), batch.column(0).to_numpy()
-            raw = _bytes(x)
-            leaf = tree.assign(x)
-            spread = (rep * np.int64(0x9E3779B1) >> 7) & 0xFFFFFF
-            seen = np.zeros((len(x), tree.leaves), bool)
-            np.put_along_axis(seen, tree.visits(x, visits).astype(np.int64), True, axis=1)
-            for bl in range(len(rows)):
-                mine = np.flatnonzero(block[leaf] == bl)
-                if len(mine):
-                    vec = raw.take(pa.array(mine))
-                    for part in range(asks):
-                        yield rows_of(bl, spread[mine] % subs[bl], part, rep[mine], leaf[mine], pa.nulls(len(mine), pa.binary()), vec)
-                here = seen[:, first_leaf[bl] : first_leaf[bl + 1]]
-                mine = np.flatnonzero(here.any(axis=1))
-                if len(mine):
-                    vec = raw.take(pa.array(mine))
-                    mask = pa.array([m.tobytes() for m in np.packbits(here[mine], axis=1)], pa.binary())
-                    for sub in range(subs[bl]):
-                        yield rows_of(bl, sub, spread[mine] % asks, rep[mine], None, mask, vec)
-
-    def answer(tbl: pa.Table) -> pa.Table:
-        leaf = tbl.column("leaf").to_numpy()
-        index, ask = np.flatnonzero(leaf >= 0), np.flatnonzero(leaf < 0)
-        schema = pa.schema([("rep", pa.int64()), ("near", pa.list_(pa.int64())), ("sims", pa.list_(pa.float64()))])
-        if not len(index) or not len(ask):
-            return schema.empty_table()
-        index = index[np.argsort(leaf[index], kind="stable")]
-        rep = tbl.column("rep").to_numpy()
-        xi, xq = _rows(tbl.column("vec").take(pa.array(index))), _rows(tbl.column("vec").take(pa.array(ask)))
-        ri, rq, li = rep[index], rep[ask], leaf[index]
-        bl = int(tbl.column("block")[0].as_py())
-        mask = np.unpackbits(_rows(tbl.column("mask").take(pa.array(ask)), "u1"), axis=1)[:, : first_leaf[bl + 1] - first_leaf[bl]].astype(bool)
-        best_s, best_r = np.full((len(ask), k), -2, np.float32), np.full((len(ask), k), -1, np.int64)
-        for at in range(mask.shape[1]):
-            a, b = np.searchsorted(li, [first_leaf[bl] + at, first_leaf[bl] + at + 1])
-            qs = np.flatnonzero(mask[:, at])
-            for s in range(0, len(qs), 4096):
-                q = qs[s : s + 4096]
-                for t in range(a, b, 2048):
-                    u = min(b, t + 2048)
-                    sims = xq[q] @ xi[t:u].T
-                    # only what beats (or equals) the k-th so far is looked at
-                    r, c = np.nonzero(sims >= best_s[q, k - 1][:, None])
-                    v, other = sims[r, c], ri[t + c]
-                    keep = other != rq[q[r]]
-                    r, v, other = r[keep], v[keep], other[keep]
-                    if len(r):
-                        _improve(best_s, best_r, q, r, v, other, k)
-        keep = best_s > -2
-        return pa.table([pa.array(rq), pa.array([r[m] for r, m in zip(best_r, keep)], pa.list_(pa.int64())), pa.array([v[m].astype(float) for v, m in zip(best_s, keep)], pa.list_(pa.float64()))], schema=schema)
-
-    routed = reps.mapInArrow(route, "block bigint, sub bigint, part bigint, rep bigint, leaf bigint, mask binary, vec binary")
-    found = routed.groupBy("block", "sub", "part").applyInArrow(answer, "rep bigint, near array<bigint>, sims array<double>")
-    # no more partial answers to a query than blocks it visits
-    pairs = F.transform(F.arrays_zip("sims", "near"), lambda p: F.struct((-p["sims"]).alias("d"), p["near"].alias("rep")))
-    return found.groupBy("rep").agg(F.slice(F.array_sort(F.flatten(F.collect_list(pairs))), 1, k).alias("nbrs"))
+            tag = batch.column(0).to_numpy().astype(np.int64) * 2 + batch.column(1).to_numpy()
+            edges = [0, *(np.flatnonzero(np.diff(tag)) + 1).tolist(), len(tag)]
+            for a, b in zip(edges, edges[1:]):
+                bl, asks = divmod(int(tag[a]), 2)
+                if bl != at:
+                    if rows:  # a block that nothing else visits
+                        block, out = opened(at, rows)
+                        yield from out
+                    if block is not None:
+                        yield _found(block.rep, *block.best)
+                    at, rows, block = bl, [], None
+                part = batch.slice(a, b - a)
+                if not asks:
+                    rows.append(part)
+                    continue
+                if rows:
+                    block, out = opened(at, rows)
+                    rows = []
+                    yield from out
+                if block is not None:  # else no row descended into this block
+                    rep = part.column(2).to_numpy()
+                    yield _found(rep, *block.ask(rep, _rows(part.column(5)), bits(part.column(4), bl)))
+        if rows:
+            block, out = opened(at, rows)
+            yield from out
+        if block is not None:
+            yield _found(block.rep, *block.best)
+
+    routed = reps.mapInArrow(route, "block int, asks int, rep bigint, leaf bigint, mask binary, vec binary")
+    found = routed.repartitionById(len(lo), "block").sortWithinPartitions("block", "asks").mapInArrow(answer, "rep bigint, near array<bigint>, sims array<double>")
+    # no more partial answers to a vector than blocks it visits and one for its own
+    pairs = F.transform(F.arrays_zip("sims", "near"), lambda p: F.struct(p["near"].alias("rep"), (-p["sims"]).alias("d")))
+    whole = found.groupBy("rep").agg(F.array_sort(F.flatten(F.collect_list(pairs))).alias("c"))
+    once = F.filter("c", lambda p, i: (i == 0) | (F.get("c", i - 1)["rep"] != p["rep"]))  # seen from both sides
+    best = F.transform(once, lambda p: F.struct(p["d"].alias("d"), p["rep"].alias("rep")))
+    return whole.select("rep", F.slice(F.array_sort(best), 1, k).alias("nbrs"))
 
 
 def neighbours(df: DataFrame, key: str = "chunk_id", k: int = TOP, target: float = TARGET) -> DataFrame:
     """key, model, rank (1..k), neighbour, cosine: the k most similar other vectors of the same model."""
     ship(df.sparkSession)
     x = usable(df, key).withColumn("h1", F.xxhash64("model", "vector")).withColumn("h2", F.xxhash64(F.lit(3), "vector", "model"))
-    first = x.withColumn("rn", F.row_number().over(Window.partitionBy("h1", "h2").orderBy(key))).where(F.col("rn") <= k + 1)
-    classes = first.groupBy("h1", "h2").agg(F.min(key).alias("rep"), F.sort_array(F.collect_list(key)).alias("members"), F.min("model").alias("model"))
+    member = cut(x.groupBy(key).agg(F.min(F.struct("h1", "h2", "model")).alias("m")).select(key, "m.*"))
+    first = member.withColumn("rn", F.row_number().over(Window.partitionBy("h1", "h2").orderBy(key))).where(F.col("rn") <= k + 1)
+    classes = cut(first.groupBy("h1", "h2").agg(F.min(key).alias("rep"), F.sort_array(F.collect_list(key)).alias("members"), F.min("model").alias("model")))
 
     def normalise(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
@@ -283,20 +426,22 @@ def neighbours(df: DataFrame, key: str = "chunk_id", k: int = TOP, target: float
                 offsets = pa.array(np.arange(len(x) + 1, dtype=np.int32) * int(size))
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.ListArray.from_arrays(offsets, pa.array(x.ravel()))], names=["rep", "model", "vector"])
 
-    reps = cut(first.where("rn = 1").select(F.col(key).alias("rep"), "model", "vector").mapInArrow(normalise, "rep bigint, model string, vector array<float>"))
-    sizes = {r[0]: int(r[1]) for r in reps.groupBy("model").count().collect()}  # one row for each model
+    one = x.join(classes.select(F.col("rep").alias(key), "h1", "h2"), [key, "h1", "h2"], "left_semi").dropDuplicates([key])
+    reps = cut(one.select(F.col(key).alias("rep"), "model", "vector").mapInArrow(normalise, "rep bigint, model string, vector array<float>"))
+    sizes = reps.groupBy("model", F.size("vector").alias("dim")).count().collect()  # one row for each model and length
     found = None
-    for model, n in sorted(sizes.items()):
-        one = _search_model(reps.where(F.col("model") == model).select("rep", "vector"), k, n, target)
-        found = one if found is None else found.unionByName(one)
+    for model, dim, n in sorted(map(tuple, sizes)):
+        of = reps.where((F.col("model") == model) & (F.size("vector") == dim)).select("rep", "vector")
+        part = _search_model(of, k, n, dim, target)
+        found = part if found is None else found.unionByName(part)
     if found is None:
         return df.sparkSession.createDataFrame([], f"`{key}` bigint, model string, rank int, neighbour bigint, cosine double")
     of = classes.select("rep", "members")
     wide = found.select("rep", F.explode("nbrs").alias("n")).select("rep", "n.d", F.col("n.rep").alias("other"))
     wide = wide.join(of.select(F.col("rep").alias("other"), "members"), "other").groupBy("rep").agg(F.flatten(F.collect_list(F.transform("members", lambda m: F.struct(F.col("d"), m.alias("id"))))).alias("c"))
     whole = of.join(wide, "rep", "left").select("rep", F.array_sort(F.concat(F.transform("members", lambda m: F.struct(F.lit(-1.0).alias("d"), m.alias("id"))), F.coalesce("c", F.array().cast("array<struct<d:double,id:bigint>>")))).alias("c"))
-    member = x.select(key, "model", "h1", "h2").join(classes.select("h1", "h2", "rep"), ["h1", "h2"])
-    near = member.join(whole, "rep").select(key, "model", F.posexplode(F.slice(F.filter("c", lambda s: s["id"] != F.col(key)), 1, k)).alias("rank", "s"))
+    near = member.join(classes.select("h1", "h2", "rep"), ["h1", "h2"]).join(whole, "rep")
+    near = near.select(key, "model", F.posexplode(F.slice(F.filter("c", lambda s: s["id"] != F.col(key)), 1, k)).alias("rank", "s"))
     return near.select(key, "model", (F.col("rank") + 1).alias("rank"), F.col("s.id").alias("neighbour"), (-F.col("s.d")).alias("cosine"))
 
 

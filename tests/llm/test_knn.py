@@ -1,3 +1,5 @@
+import heapq
+
 import numpy as np
 import pytest
 
@@ -64,3 +66,54 @@ def test_best_bin_first_visits_each_leaf_once():
     assert all(sorted(row) == list(range(t.leaves)) for row in v.tolist())
     near = t.visits(x[:50], 1)[:, 0]
     assert (near == v[:, 0]).all()
+
+
+def by_queue(t, q, n):
+    """Best bin first with a priority queue, one node at a time."""
+    d = ((t.c - q) ** 2).sum(axis=1)
+    queue, out = [(d[0], 0)], []
+    while queue and len(out) < n:
+        _, node = heapq.heappop(queue)
+        if t.leaf[node] >= 0:
+            out.append(int(t.leaf[node]))
+        for kid in t.children[node]:
+            heapq.heappush(queue, (d[kid], kid))
+    return out
+
+
+def test_batched_queues_hand_out_leaves_in_the_order_of_a_priority_queue():
+    rng = np.random.default_rng(3)
+    x = (rng.normal(size=(30, 8))[rng.integers(0, 30, 3000)] * 2 + rng.normal(size=(3000, 8))).astype(np.float32)
+    t = K.Tree(x[:1500], branch=3, leaf=60)
+    cells = t.assign(x)
+    t = t.grafted({c: K.Tree(x[cells == c], branch=3, leaf=15) for c in np.unique(cells)}, 1.0)
+    assert t.sizes().sum() == 3000 and t.leaves > 100
+    first = t.visits(x[:100], 25)
+    seen = t.seen(x[:100], 25)
+    same = [len(set(by_queue(t, x[i], 25)) & set(first[i].tolist())) for i in range(100)]
+    assert np.mean(same) > 24.9 and min(same) >= 24
+    both = [len(set(np.flatnonzero(seen[i])) & set(first[i].tolist())) for i in range(100)]  # leaves of one time may swap
+    assert (seen.sum(axis=1) == 25).all() and np.mean(both) > 24.5
+
+
+def test_blocks_hold_leaves_in_order_and_cut_large_ones():
+    lo, hi, block, parts = K.blocks_of(np.array([5.0, 5.0, 95.0, 3.0, 9.0]), 10)
+    assert parts.tolist() == [1, 1, 10, 1, 1]
+    for leaf in range(5):
+        for p in range(parts[leaf]):
+            assert lo[block[leaf] + p] <= leaf <= hi[block[leaf] + p]
+    assert (hi >= lo).all() and len(lo) == 1 + 10 + 2
+
+
+def test_leaves_follow_the_number_of_rows_and_less_of_them_is_visited(spark, monkeypatch):
+    monkeypatch.setattr(K, "SAMPLE", 500)
+    rng = np.random.default_rng(4)
+    shares = []
+    for n in (2000, 8000):
+        x = K.unit((rng.normal(size=(n // 20, 12))[rng.integers(0, n // 20, n)] + 0.5 * rng.normal(size=(n, 12))).astype(np.float32))
+        reps = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "rep long, vector array<float>").repartition(3)
+        tree, fitted = K.fit(reps, n, 12, sample=500, leaf=32)
+        assert n / 64 < tree.leaves < n / 12 and len(fitted) == 500
+        held = np.setdiff1d(np.arange(n), fitted)[:200]
+        shares.append(K._calibrate(reps, tree, x[held], held, 5, 0.93) / tree.leaves)
+    assert shares[1] < shares[0]
