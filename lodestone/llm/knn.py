@@ -137,15 +137,16 @@ class Tree:
         out and nothing nearer waits, so of two leaves the one comes first whose farthest node below their common ancestor
         is nearer: they sort by the farthest node of the whole path, then of the path from the second level on, and so
         forth. The keys of four levels are added with weights of 1, 1e-4, ...: nodes whose distances differ by less may swap."""
-        d = (self.c2 - 2 * x @ self.c.T).astype(np.float64)
-        out = np.zeros((len(x), self.leaves))
+        d = self.c2[:, None] - 2 * self.c @ x.T
+        out = np.zeros((self.leaves, len(x)))
+        far = np.empty_like(d)
         for start in range(min(4, len(self.levels))):
-            far = np.full_like(d, -9.0)
-            far[:, self.levels[start]] = d[:, self.levels[start]]
+            far[:] = -9.0
+            far[self.levels[start]] = d[self.levels[start]]
             for nodes in self.levels[start + 1 :]:
-                far[:, nodes] = np.maximum(far[:, self.parent[nodes]], d[:, nodes])
-            out += 1e-4**start * far[:, self.ends]
-        return out
+                far[nodes] = np.maximum(far[self.parent[nodes]], d[nodes])
+            out += 1e-4**start * far[self.ends]
+        return np.ascontiguousarray(out.T)
 
     def visits(self, x: np.ndarray, n: int) -> np.ndarray:
         """The first n leaves of each query, best bin first."""
@@ -185,25 +186,50 @@ def _rows(column: pa.ChunkedArray, dtype: str = "<f4") -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), dtype).reshape(len(column), -1)
 
 
-def _improve(best_s: np.ndarray, best_r: np.ndarray, q: np.ndarray, sims: np.ndarray, ids: np.ndarray, k: int) -> None:
-    """Merge similarities of the queries in rows q to the vectors ``ids`` into the k best of each; ties to the smaller id."""
-    least = best_s[q, k - 1]
-    if sims.shape[1] > k and (least == -2).any():  # nothing below the k-th of these can stay
-        least = np.maximum(least, np.partition(sims, -k, axis=1)[:, -k])
-    r, c = np.nonzero(sims >= least[:, None])
-    v = sims[r, c]
-    r, c, v = r[v > -2], c[v > -2], v[v > -2]
-    if not len(r):
-        return
-    touched, slot = np.unique(r, return_inverse=True)
-    rows = q[touched]
-    s = np.concatenate([best_s[rows].ravel(), v])
-    o = np.concatenate([best_r[rows].ravel(), ids[c]])
-    of = np.concatenate([np.repeat(np.arange(len(rows)), k), slot])
-    order = np.lexsort((o, -s, of))
-    of, s, o = of[order], s[order], o[order]
-    take = np.searchsorted(of, np.arange(len(rows)))[:, None] + np.arange(k)
-    best_s[rows], best_r[rows] = s[take], o[take]
+class _Best:
+    """The k best (similarity, id) found so far of each of n vectors; ties go to the smaller id. Hits are put in their places many at once."""
+
+    def __init__(self, n: int, k: int) -> None:
+        self.s, self.r, self.k = np.full((n, k), -2, np.float32), np.full((n, k), -1, np.int64), k
+        self.wait: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        self.waiting = 0
+
+    def look(self, q: np.ndarray, sims: np.ndarray, ids: np.ndarray, down: bool = False) -> None:
+        """Similarities of the vectors q, which are the rows of ``sims`` (or, ``down``, its columns), to ``ids``."""
+        axis = 0 if down else 1
+        least = self.s[q, -1]
+        if sims.shape[axis] > self.k and (least == -2).any():  # nothing below the k-th of these can stay
+            part = np.partition(sims, -self.k, axis=axis)
+            least = np.maximum(least, part[-self.k] if down else part[:, -self.k])
+        hits = np.flatnonzero(sims >= (least[None, :] if down else least[:, None]))
+        r, c = np.divmod(hits, sims.shape[1])
+        v = sims.ravel()[hits]
+        if down:
+            r, c = c, r
+        self.wait.append((q[r], v, ids[c]))
+        self.waiting += len(v)
+        if self.waiting > 100_000:
+            self.settle()
+
+    def settle(self) -> _Best:
+        if self.waiting:
+            row, v, other = map(np.concatenate, zip(*self.wait))
+            order = np.lexsort((-v, row))
+            order = order[v[order] > -2]
+            row, v, other = row[order], v[order], other[order]
+            start = np.flatnonzero(np.append(True, row[1:] != row[:-1])) if len(row) else np.zeros(0, np.int64)
+            end = np.append(start[1:], len(row))
+            place, shift = np.arange(self.k), np.maximum(np.arange(self.k) - 1, 0)
+            while len(start):  # the next hit of each vector goes to its place among the k best, until one is worse than these
+                at, new_s, new_r = row[start], v[start][:, None], other[start][:, None]
+                old_s, old_r = self.s[at], self.r[at]
+                pos = ((old_s > new_s) | ((old_s == new_s) & (old_r < new_r))).sum(axis=1)[:, None]
+                self.s[at] = np.where(place < pos, old_s, np.where(place == pos, new_s, old_s[:, shift]))
+                self.r[at] = np.where(place < pos, old_r, np.where(place == pos, new_r, old_r[:, shift]))
+                on = (new_s[:, 0] >= old_s[:, -1]) & (start + 1 < end)
+                start, end = start[on] + 1, end[on]
+        self.wait, self.waiting = [], 0
+        return self
 
 
 def _calibrate(reps: DataFrame, tree: Tree, queries: np.ndarray, ids: np.ndarray, k: int, target: float) -> int:
@@ -291,12 +317,11 @@ class _Block:
         order = np.argsort(leaf, kind="stable")
         self.order, self.rep, self.x, self.k = order, rep[order], x[order], k
         self.leaf = leaf[order] - lo
-        self.best = np.full((len(rep), k), -2, np.float32), np.full((len(rep), k), -1, np.int64)
+        self.best = _Best(len(rep), k)
 
-    def ask(self, rep: np.ndarray, x: np.ndarray, mask: np.ndarray, own: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    def ask(self, rep: np.ndarray, x: np.ndarray, mask: np.ndarray, own: bool = False) -> _Best:
         """Queries against the leaves of their masks; the k best of each. What is found counts for the rows as well. ``own``: the queries are the rows themselves."""
-        k, (rs, rr) = self.k, self.best
-        qs, qr = np.full((len(rep), k), -2, np.float32), np.full((len(rep), k), -1, np.int64)
+        best = _Best(len(rep), self.k)
         for at in range(mask.shape[1]):
             a, b = np.searchsorted(self.leaf, [at, at + 1])
             who = np.flatnonzero(mask[:, at])
@@ -308,23 +333,45 @@ class _Block:
                     if own:
                         here = np.flatnonzero((q >= t) & (q < u))
                         sims[here, q[here] - t] = -2
-                    # only what beats (or equals) the k-th so far is looked at
-                    _improve(qs, qr, q, sims, self.rep[t:u], k)
-                    _improve(rs, rr, np.arange(t, u), sims.T, rep[q], k)
-        return qs, qr
+                    best.look(q, sims, self.rep[t:u])
+                    self.best.look(np.arange(t, u), sims, rep[q], down=True)
+        return best.settle()
+
 
+def _found(rep: np.ndarray, best: _Best) -> pa.RecordBatch:
+    """rep, the ids of its k best (-1 where there are fewer) and their similarities, packed."""
+    best.settle()
+    n, k = best.s.shape
+    pack = lambda x, size: pa.Array.from_buffers(pa.binary(size * k), n, [None, pa.py_buffer(np.ascontiguousarray(x))]).cast(pa.binary())
+    return pa.RecordBatch.from_arrays([pa.array(rep), pack(best.r, 8), pack(best.s, 4)], names=["rep", "near", "sims"])
 
-_FOUND = pa.schema([("rep", pa.int64()), ("near", pa.list_(pa.int64())), ("sims", pa.list_(pa.float64()))])
 
+def _merge(k: int):
+    """The k best of each vector out of its partial answers; what was seen from both sides counts once."""
 
-def _found(rep: np.ndarray, s: np.ndarray, r: np.ndarray) -> pa.RecordBatch:
-    keep = s > -2
-    offsets = pa.array(np.concatenate([[0], np.cumsum(keep.sum(axis=1))]).astype(np.int32))
-    return pa.RecordBatch.from_arrays([pa.array(rep), pa.ListArray.from_arrays(offsets, pa.array(r[keep])), pa.ListArray.from_arrays(offsets, pa.array(s[keep].astype(float)))], schema=_FOUND)
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in it:
+            if not b.num_rows:
+                continue
+            parts = np.diff(b.column(1).offsets.to_numpy()) * k
+            near, sims = (np.frombuffer(b"".join(c.flatten().to_pylist()), t) for c, t in ((b.column(1), "<i8"), (b.column(2), "<f4")))
+            row = np.repeat(np.arange(b.num_rows), parts)
+            row, near, sims = row[near >= 0], near[near >= 0], sims[near >= 0]
+            order = np.lexsort((-sims, near, row))
+            row, near, sims = row[order], near[order], sims[order]
+            once = np.append(True, (row[1:] != row[:-1]) | (near[1:] != near[:-1]))[: len(row)]
+            row, near, sims = row[once], near[once], sims[once]
+            order = np.lexsort((near, -sims, row))
+            row, near, sims = row[order], near[order], sims[order]
+            start = np.searchsorted(row, np.arange(b.num_rows))
+            best = np.arange(len(row)) - start[row] < k
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(row[best])), pa.array(-sims[best].astype(float)), pa.array(near[best])], names=["rep", "d", "other"])
+
+    return run
 
 
 def _search_model(reps: DataFrame, k: int, n: int, dim: int, target: float) -> DataFrame:
-    """rep, nbrs (array of cos, rep; at most k) for the classes of one model."""
+    """rep, d (the cosine, negative), other: at most k for each class of one model."""
     tree, fitted = fit(reps, n, dim)
     held = _picked(reps, n, 4 * CALIBRATE, SEED + 2)
     if n > len(fitted):  # else every vector is in the sample
@@ -363,7 +410,7 @@ def _search_model(reps: DataFrame, k: int, n: int, dim: int, target: float) -> D
             t = pa.Table.from_batches(rows)
             one = _Block(t.column("rep").to_numpy(), t.column("leaf").to_numpy(), _rows(t.column("vec")), int(lo[bl]), k)
             mask = bits(t.column("mask"), bl)[one.order]
-            return one, [_found(one.rep, *one.ask(one.rep, one.x, mask, own=True))]
+            return one, [_found(one.rep, one.ask(one.rep, one.x, mask, own=True))]
 
         def bits(column: pa.ChunkedArray | pa.Array, bl: int) -> np.ndarray:
             return np.unpackbits(_rows(column, "u1"), axis=1)[:, : hi[bl] + 1 - lo[bl]].astype(bool)
@@ -380,7 +427,7 @@ def _search_model(reps: DataFrame, k: int, n: int, dim: int, target: float) -> D
                         block, out = opened(at, rows)
                         yield from out
                     if block is not None:
-                        yield _found(block.rep, *block.best)
+                        yield _found(block.rep, block.best)
                     at, rows, block = bl, [], None
                 part = batch.slice(a, b - a)
                 if not asks:
@@ -392,21 +439,17 @@ def _search_model(reps: DataFrame, k: int, n: int, dim: int, target: float) -> D
                     yield from out
                 if block is not None:  # else no row descended into this block
                     rep = part.column(2).to_numpy()
-                    yield _found(rep, *block.ask(rep, _rows(part.column(5)), bits(part.column(4), bl)))
+                    yield _found(rep, block.ask(rep, _rows(part.column(5)), bits(part.column(4), bl)))
         if rows:
             block, out = opened(at, rows)
             yield from out
         if block is not None:
-            yield _found(block.rep, *block.best)
+            yield _found(block.rep, block.best)
 
     routed = reps.mapInArrow(route, "block int, asks int, rep bigint, leaf bigint, mask binary, vec binary")
-    found = routed.repartitionById(len(lo), "block").sortWithinPartitions("block", "asks").mapInArrow(answer, "rep bigint, near array<bigint>, sims array<double>")
+    found = routed.repartitionById(len(lo), "block").sortWithinPartitions("block", "asks").mapInArrow(answer, "rep bigint, near binary, sims binary")
     # no more partial answers to a vector than blocks it visits and one for its own
-    pairs = F.transform(F.arrays_zip("sims", "near"), lambda p: F.struct(p["near"].alias("rep"), (-p["sims"]).alias("d")))
-    whole = found.groupBy("rep").agg(F.array_sort(F.flatten(F.collect_list(pairs))).alias("c"))
-    once = F.filter("c", lambda p, i: (i == 0) | (F.get("c", i - 1)["rep"] != p["rep"]))  # seen from both sides
-    best = F.transform(once, lambda p: F.struct(p["d"].alias("d"), p["rep"].alias("rep")))
-    return whole.select("rep", F.slice(F.array_sort(best), 1, k).alias("nbrs"))
+    return found.groupBy("rep").agg(F.collect_list("near").alias("near"), F.collect_list("sims").alias("sims")).mapInArrow(_merge(k), "rep bigint, d double, other bigint")
 
 
 def neighbours(df: DataFrame, key: str = "chunk_id", k: int = TOP, target: float = TARGET) -> DataFrame:
@@ -426,7 +469,8 @@ def neighbours(df: DataFrame, key: str = "chunk_id", k: int = TOP, target: float
                 offsets = pa.array(np.arange(len(x) + 1, dtype=np.int32) * int(size))
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.ListArray.from_arrays(offsets, pa.array(x.ravel()))], names=["rep", "model", "vector"])
 
-    one = x.join(classes.select(F.col("rep").alias(key), "h1", "h2"), [key, "h1", "h2"], "left_semi").dropDuplicates([key])
+    chosen = classes.select(F.col("rep").alias(key), F.col("h1").alias("g1"), F.col("h2").alias("g2"))
+    one = x.join(chosen, key).where("h1 = g1 AND h2 = g2").dropDuplicates([key])
     reps = cut(one.select(F.col(key).alias("rep"), "model", "vector").mapInArrow(normalise, "rep bigint, model string, vector array<float>"))
     sizes = reps.groupBy("model", F.size("vector").alias("dim")).count().collect()  # one row for each model and length
     found = None
@@ -437,8 +481,7 @@ def neighbours(df: DataFrame, key: str = "chunk_id", k: int = TOP, target: float
     if found is None:
         return df.sparkSession.createDataFrame([], f"`{key}` bigint, model string, rank int, neighbour bigint, cosine double")
     of = classes.select("rep", "members")
-    wide = found.select("rep", F.explode("nbrs").alias("n")).select("rep", "n.d", F.col("n.rep").alias("other"))
-    wide = wide.join(of.select(F.col("rep").alias("other"), "members"), "other").groupBy("rep").agg(F.flatten(F.collect_list(F.transform("members", lambda m: F.struct(F.col("d"), m.alias("id"))))).alias("c"))
+    wide = found.join(of.select(F.col("rep").alias("other"), "members"), "other").groupBy("rep").agg(F.flatten(F.collect_list(F.transform("members", lambda m: F.struct(F.col("d"), m.alias("id"))))).alias("c"))
     whole = of.join(wide, "rep", "left").select("rep", F.array_sort(F.concat(F.transform("members", lambda m: F.struct(F.lit(-1.0).alias("d"), m.alias("id"))), F.coalesce("c", F.array().cast("array<struct<d:double,id:bigint>>")))).alias("c"))
     near = member.join(classes.select("h1", "h2", "rep"), ["h1", "h2"]).join(whole, "rep")
     near = near.select(key, "model", F.posexplode(F.slice(F.filter("c", lambda s: s["id"] != F.col(key)), 1, k)).alias("rank", "s"))
