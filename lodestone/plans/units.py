@@ -57,9 +57,17 @@ def p6_values_common(spark: SparkSession, sf: str) -> DataFrame:
     return v.join(c, "col_id").where(finite(F.col("value"))).select("col_id", "row_idx", "quantity", F.col("value").alias("recorded"), U.to_common(F.col("value")).alias("value"), "grp")
 
 
-QUERIES = {"p6_found": p6_found, "p6_results_common": p6_results_common, "p6_values_common": p6_values_common}
+def p6_units(spark: SparkSession, sf: str) -> DataFrame:
+    """Every unit as stated, of test results and data columns: fields, least and largest factor, those that can't be read with a null quantity."""
+    read, _ = U.read_fields(spark, [("test", _results(spark, sf)), ("column", _columns(spark, sf))], table(spark, sf, "unit_targets"))
+    return read.groupBy("kind", "unit", "quantity").agg(F.count("*").alias("spellings"), F.min("factor").alias("low"), F.max("factor").alias("high"), F.max("offset").alias("shift"))
+
+
+QUERIES = {"p6_found": p6_found, "p6_results_common": p6_results_common, "p6_values_common": p6_values_common, "p6_units": p6_units}
+
+
 def _said(column: str) -> str:
-    return f"CASE WHEN lower(trim({column})) IN ('', '-', 'n/a', 'na', 'none') THEN NULL ELSE trim({column}) END"
+    return f"CASE WHEN lower(trim({column})) IN ('', '-', 'n/a', 'none') THEN NULL ELSE trim({column}) END"
 
 
 def _named(column: str) -> str:
