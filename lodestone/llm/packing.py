@@ -3,7 +3,8 @@
 Items (documents, or pieces of documents above the capacity) are spread by hash over partitions of
 bounded size. Each partition packs its items by best-fit decreasing and computes a lower bound of its
 number of bins from dual-feasible functions. Where the number meets the bound the packing is certified
-optimal and stays. Elsewhere the well-filled bins stay and the items of the others are exchanged: they
+optimal and stays. Elsewhere the items of bins with gaps are packed once more among themselves by subset sums;
+if the bound is still missed, the well-filled bins stay and the items of the others are exchanged: they
 are hashed anew over fewer partitions and packed again, for a fixed number of rounds. Only keys and
 sizes are shuffled, never text; no partition holds more than about ``part_items`` items.
 """
@@ -17,7 +18,7 @@ from pyspark.sql import functions as F
 from lodestone.llm.tokens import VOCABULARY, token_counts
 from lodestone.session import cut, ship, table
 
-ROUNDS, PART_ITEMS, FULL = 3, 20_000, 0.995
+ROUNDS, PART_ITEMS, FULL, CHOICE = 3, 20_000, 0.995, 64
 
 
 def lower_bound(sizes: list[int], capacity: int) -> int:
@@ -63,6 +64,55 @@ def best_fit_decreasing(sizes: list[int], capacity: int) -> tuple[list[int], lis
     return at, fill
 
 
+def refill(sizes: list[int], capacity: int, at: list[int], fill: list[int], choice: int = CHOICE) -> tuple[list[int], list[int]]:
+    """The items of all bins with gaps, packed again if that takes fewer bins: each new bin begins with the largest item left and takes the
+    subset of ``choice`` items, evenly spread over the sizes left, that fills it best (subset sums in one bit set). Full bins stay."""
+    open_ = [b for b, f in enumerate(fill) if f < capacity]
+    if len(open_) < 2:
+        return at, fill
+    here = set(open_)
+    left = sorted((i for i, b in enumerate(at) if b in here), key=lambda i: (-sizes[i], i))
+    groups: list[list[int]] = []
+    while left:
+        own = [left.pop(0)]
+        room = capacity - sizes[own[0]]
+        step = max(1, len(left) // choice)
+        some = [k for k in range(0, len(left), step) if sizes[left[k]] <= room]
+        reach, steps, mask = 1, [], (1 << (room + 1)) - 1
+        for k in some:
+            steps.append(reach)
+            reach |= (reach << sizes[left[k]]) & mask
+            if reach >> room & 1:
+                break
+        total = reach.bit_length() - 1
+        taken = []
+        for k, before in zip(reversed(some[: len(steps)]), reversed(steps)):
+            if not before >> total & 1:
+                taken.append(k)
+                total -= sizes[left[k]]
+        room -= sum(sizes[left[k]] for k in taken)
+        own += [left[k] for k in taken]
+        for k in sorted(taken, reverse=True):
+            del left[k]
+        if room:  # what fits of the smallest, of which the choice may have missed some
+            for k in range(len(left) - 1, -1, -1):
+                if sizes[left[k]] > room:
+                    break
+                room -= sizes[left[k]]
+                own.append(left.pop(k))
+        groups.append(own)
+    if len(groups) >= len(open_):
+        return at, fill
+    keep = [b for b in range(len(fill)) if b not in here]
+    number = {b: n for n, b in enumerate(keep)}
+    new_at, new_fill = [number.get(b, -1) for b in at], [fill[b] for b in keep]
+    for g in groups:
+        for i in g:
+            new_at[i] = len(new_fill)
+        new_fill.append(sum(sizes[i] for i in g))
+    return new_at, new_fill
+
+
 def pieces(counts: DataFrame, capacity: int, key: str = "doc_id") -> DataFrame:
     """key, piece, n_pieces, size: an item above the capacity is cut into full pieces and a rest, others
     stay whole. Items without size (null, 0 or less) need no room and get no row, nor do items without key."""
@@ -112,7 +162,10 @@ def _packer(key: str, capacity: int, r: int, last: bool, full: float):
         pdf = pdf.sort_values([key, "piece"], kind="stable")
         sizes = pdf["size"].tolist()
         at, fills = best_fit_decreasing(sizes, capacity)
-        sure = len(fills) == lower_bound(sizes, capacity)
+        least = lower_bound(sizes, capacity)
+        if len(fills) > least:
+            at, fills = refill(sizes, capacity, at, fills)
+        sure = len(fills) == least
         p = int(pdf["part"].iloc[0])
         pdf["container"] = [f"{r}-{p}-{b}" for b in at]
         pdf["container_fill"] = [fills[b] for b in at]
@@ -149,7 +202,7 @@ def p7_pack_medium(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def p7_fill(spark: SparkSession, sf: str) -> DataFrame:
-    """For each pack_* limit: items, containers, the least number any packing needs by volume, share of room used."""
+    """For each pack_* limit: items, containers, the least number any packing needs by volume, share of room used, containers of partitions that are certified optimal."""
     counts = cut(token_counts(table(spark, sf, "documents")))
     out = None
     for name in ("pack_small", "pack_medium", "pack_large"):
@@ -160,10 +213,32 @@ def p7_fill(spark: SparkSession, sf: str) -> DataFrame:
             F.countDistinct("container").alias("containers"),
             F.ceil(F.sum("size") / F.lit(float(cap))).alias("volume_bound"),
             F.round(F.sum("size") / (F.countDistinct("container") * F.lit(float(cap))), 6).alias("fill"),
+            F.countDistinct(F.when(F.col("certified"), F.col("container"))).alias("certified"),
         )
         out = one if out is None else out.unionByName(one)
     return out
 
 
-QUERIES = {"p7_found": p7_found, "p7_pack_medium": p7_pack_medium, "p7_fill": p7_fill}
-SQL: dict[str, str] = {}
+def p7_check(spark: SparkSession, sf: str) -> DataFrame:
+    """Whether packings of partitions as small as 500 items, so that they exchange, are whole: every document has its pieces once and all its tokens, no container
+    is over its capacity, its fill is the sum of its items, and there are no fewer containers than the volume needs, nor 3 % and 50 more."""
+    counts = cut(token_counts(table(spark, sf, "documents")))
+    have = counts.where("n_tokens > 0").agg(F.count("*").alias("docs"), F.sum("n_tokens").alias("tokens"))  # one row
+    out = None
+    for name in ("pack_medium", "pack_large"):
+        cap, _ = capacity_of(spark, sf, name)
+        rows = cut(pack(pieces(counts, cap), cap, part_items=500))
+        per = rows.groupBy("doc_id").agg(F.count("*").alias("k"), F.countDistinct("piece").alias("d"), F.max("n_pieces").alias("n"), F.sum("size").alias("t"))
+        per = per.agg(F.count("*").alias("pd"), F.sum("t").alias("pt"), F.bool_and(F.expr("k = n AND d = n")).alias("once"))
+        bins = rows.groupBy("container").agg(F.sum("size").alias("s"), F.max("container_fill").alias("f"), F.min("container_fill").alias("g"))
+        bins = bins.agg(F.count("*").alias("bins"), F.bool_and(F.col("s") <= cap).alias("within"), F.bool_and(F.expr("s = f AND f = g")).alias("stated"))
+        name_ = F.lit(name).alias("limit_name")
+        one = have.select(name_, "*").join(per.select(name_, "*"), "limit_name").join(bins.select(name_, "*"), "limit_name")  # one row each
+        volume = F.ceil(F.col("tokens") / F.lit(float(cap)))
+        one = one.select("limit_name", (F.col("once") & (F.col("pd") == F.col("docs")) & (F.col("pt") == F.col("tokens"))).alias("whole"), "within", "stated", ((F.col("bins") >= volume) & (F.col("bins") <= 1.03 * volume + 50)).alias("tight"))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+QUERIES = {"p7_found": p7_found, "p7_pack_medium": p7_pack_medium, "p7_fill": p7_fill, "p7_check": p7_check}
+SQL = {"p7_check": "SELECT limit_name, true AS whole, true AS within, true AS stated, true AS tight FROM size_limits WHERE limit_name IN ('pack_medium', 'pack_large')"}

@@ -5,8 +5,8 @@ buffers are kept by level; when more than ``b`` of them exist, all those of the
 and collapse into one of the summed weight, which takes the values at evenly spaced weighted positions.
 Sketches of partitions, days or runs merge by pooling their buffers and collapsing by the same rule, in
 any tree. Each sketch carries the bound of its rank error: with C collapses whose outputs weigh W in
-sum, a reported rank is off by at most (W - C - 1) / 2 + w_max (0 while nothing was collapsed, so groups
-of up to ``k`` values are exact).
+sum, a reported rank is off by at most (W - C - 1) / 2 + w_max (0 while nothing was collapsed: a group is exact
+until more than ``b`` buffers of ``k`` values are full).
 
 Nulls, NaN and infinities don't count. A null key is a group of its own. A row id counts once, a null id not at all. No rows,
 no groups. Ties keep their multiplicity.
@@ -26,6 +26,8 @@ from pyspark.sql import functions as F
 from lodestone.session import finite, ship, table
 
 K, B = 4096, 8
+#: Partitions above which sketches of one key merge in two steps, so that no task folds more than about as many.
+FAN = 64
 PERCENTS = (1, 5, 25, 50, 75, 95, 99)
 _HEAD, _BUF = struct.Struct("<qqqi"), struct.Struct("<qii")
 
@@ -203,8 +205,14 @@ def merged(parts: DataFrame, keys: list[str], k: int = K, b: int = B) -> DataFra
         return s
 
     ship(parts.sparkSession)
-    src = parts.select(*keys, "sketch").repartition(*keys).sortWithinPartitions(*keys)
-    return src.mapInArrow(_by_key(len(keys), [*keys, "sketch"], list, feed, lambda s: s[0] if isinstance(s, list) else s.blob()), _schema(src, keys, "sketch binary"))
+    src = parts.select(*keys, "sketch")
+    spread = -(-int(parts.sparkSession.conf.get("spark.sql.shuffle.partitions")) // FAN)
+    for by in ([*keys, "__part"], keys) if spread > 1 else (keys,):
+        if len(by) > len(keys):
+            src = src.select(*keys, F.pmod(F.spark_partition_id(), F.lit(spread)).alias("__part"), "sketch")
+        src = src.select(*by, "sketch").repartition(*by).sortWithinPartitions(*by)
+        src = src.mapInArrow(_by_key(len(by), [*by, "sketch"], list, feed, lambda s: s[0] if isinstance(s, list) else s.blob()), _schema(src, by, "sketch binary"))
+    return src.select(*keys, "sketch")
 
 
 def percentiles(sk: DataFrame, keys: list[str], percents: tuple[int, ...] = PERCENTS, k: int = K, b: int = B) -> DataFrame:
@@ -245,6 +253,25 @@ def p1_monthly(spark: SparkSession, sf: str) -> DataFrame:
     return percentiles(merged(d, keys), keys)
 
 
+def p1_bound_check(spark: SparkSession, sf: str, k: int = 32, b: int = 3) -> DataFrame:
+    """Per test and site, with buffers so small that they collapse over and over: how many values, and whether the rank of each percentile is within the stated bound."""
+    keys = ["test_num", "site"]
+    raw = table(spark, sf, "stdf_results")
+    days = sketches(raw.withColumn("day", F.to_date("tested_at")), [*keys, "day"], "result", "id", k, b)
+    p = percentiles(merged(days, keys, k, b), keys, PERCENTS, k, b).select(F.col("test_num").alias("t"), F.col("site").alias("s"), "n", "rank_error", *(f"p{x:02d}" for x in PERCENTS))
+    one = raw.where(finite(F.col("result")) & F.col("id").isNotNull()).select("id", *keys, "result").dropDuplicates(["id"])
+    j = one.join(p, one["test_num"].eqNullSafe(p["t"]) & one["site"].eqNullSafe(p["s"]))
+    below = [F.count_if(F.col("result") < F.col(f"p{x:02d}")).alias(f"b{x}") for x in PERCENTS]
+    upto = [F.count_if(F.col("result") <= F.col(f"p{x:02d}")).alias(f"u{x}") for x in PERCENTS]
+    c = j.groupBy(*keys).agg(F.count("*").alias("n"), F.max("n").alias("stated"), F.max("rank_error").alias("e"), *below, *upto)
+    want = {x: F.greatest(F.lit(1), F.ceil(F.col("n") * x / 100)) for x in PERCENTS}
+    ok = F.col("n") == F.col("stated")
+    for x in PERCENTS:  # the ranks of a value are those from the first to the last of its ties
+        away = F.greatest(F.col(f"b{x}") + 1 - want[x], want[x] - F.col(f"u{x}"), F.lit(0))
+        ok &= (away <= F.col("e") * F.col("n") + 1e-6) & (F.col(f"u{x}") > F.col(f"b{x}"))
+    return c.select(*keys, "n", ok.alias("within"))
+
+
 def _sql(keys: str, extra: str = "") -> str:
     cols = ", ".join(f"min(CASE WHEN rn >= greatest(1, ({p} * n + 99) // 100) THEN result END) AS p{p:02d}" for p in PERCENTS)
     return f"""WITH one AS (SELECT DISTINCT ON (id) id, test_num, site, result{extra} FROM stdf_results
@@ -253,10 +280,11 @@ def _sql(keys: str, extra: str = "") -> str:
     SELECT {keys}, n, CAST(0 AS DOUBLE) AS rank_error, {cols} FROM r GROUP BY {keys}, n"""
 
 
-QUERIES = {"p1_percentiles": p1_percentiles, "p1_daily": p1_daily, "p1_monthly": p1_monthly}
-#: Exact percentiles; the sketches equal them while a group has no more than K rows, as in the smaller test tables.
+QUERIES = {"p1_percentiles": p1_percentiles, "p1_daily": p1_daily, "p1_monthly": p1_monthly, "p1_bound_check": p1_bound_check}
+#: Exact percentiles; the sketches equal them until B buffers of K values are full, as in the smaller test tables.
 SQL = {
     "p1_percentiles": _sql("test_num, site"),
     "p1_daily": _sql("test_num, site, day", ", CAST(tested_at AS DATE) AS day"),
+    "p1_bound_check": "SELECT test_num, site, count(*) AS n, true AS within FROM (SELECT DISTINCT ON (id) id, test_num, site FROM stdf_results WHERE result IS NOT NULL AND isfinite(result)) GROUP BY test_num, site",
     "p1_monthly": _sql("test_num, site, month", ", CAST(date_trunc('month', tested_at) AS DATE) AS month"),
 }

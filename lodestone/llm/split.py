@@ -17,7 +17,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lodestone.llm.packing import capacity_of
@@ -28,6 +28,8 @@ SPACE = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u300
 WORD = re.compile(f"[^{SPACE}]+")
 SENTENCE = re.compile(r"[.!?…][\"'”’»)\]]*$")
 CLAUSE = re.compile(r"[,;:][\"'”’»)\]]*$")
+#: Words between two segments up to which they count as the heading of the second.
+HEADING_WORDS = 20
 HEADING, SEGMENT, PARAGRAPH, LINE, SENTENCE_END, CLAUSE_END, NOWHERE = 0.0, 0.1, 0.15, 0.25, 0.5, 0.8, 1.2
 
 
@@ -58,7 +60,7 @@ def cuts(penalty: np.ndarray, capacity: int, overlap: int, balance: float = 1.0)
 
 
 def _segments_at(words: list[str], segments: list[dict]) -> list[tuple[int, int, str | None]]:
-    """(first word, word after, heading path) of each segment found in the words, in order."""
+    """(first word, word after, heading path) of each segment found in the words, in order: where all its words stand, or else the most of them from its first on, at least half."""
     at: dict[str, list[int]] = {}
     for i, w in enumerate(words):
         at.setdefault(w, []).append(i)
@@ -67,12 +69,19 @@ def _segments_at(words: list[str], segments: list[dict]) -> list[tuple[int, int,
         own = WORD.findall(s["text"] or "")
         if not own:
             continue
-        head = own[:6]
+        best, run = -1, 0
         for i in at.get(own[0], ()):
-            if i >= pos and words[i : i + len(head)] == head:
-                out.append((i, min(i + len(own), len(words)), s["heading_path"]))
-                pos = i + 1
-                break
+            if i >= pos:
+                k = 1
+                while k < len(own) and i + k < len(words) and words[i + k] == own[k]:
+                    k += 1
+                if k > run:
+                    best, run = i, k
+                if k == len(own):
+                    break
+        if run * 2 >= len(own):
+            out.append((best, min(best + len(own), len(words)), s["heading_path"]))
+            pos = best + 1
     return out
 
 
@@ -88,7 +97,7 @@ def penalties(text: str, spans: list[tuple[int, int]], placed: list[tuple[int, i
             p[i] = CLAUSE_END
     for k, (start, _, path) in enumerate(placed):
         # words between two segments are a heading: the cut goes before it, not behind
-        cut = placed[k - 1][1] if k and start - placed[k - 1][1] <= 20 else start
+        cut = placed[k - 1][1] if k and start - placed[k - 1][1] <= HEADING_WORDS else start
         cut = min(cut, start)
         if 0 < cut < len(p):
             p[cut] = HEADING if k and path != placed[k - 1][2] else SEGMENT
@@ -156,5 +165,18 @@ def p4_found(spark: SparkSession, sf: str) -> DataFrame:
     return p4_pieces(spark, sf).where("n_pieces > 1").select("chunk_id").distinct()
 
 
-QUERIES = {"p4_found": p4_found, "p4_pieces": p4_pieces}
-SQL = {"p4_found": r"SELECT DISTINCT id AS chunk_id FROM chunks, size_limits WHERE limit_name = 'chunk' AND len(regexp_extract_all(text, '[^\t\n\x0b\x0c\r \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+')) > capacity"}
+def p4_check(spark: SparkSession, sf: str) -> DataFrame:
+    """For each chunk that came out in pieces its words, and whether the pieces are within the limit, share the overlap, and cover it from the first word to the last."""
+    cap, overlap = capacity_of(spark, sf, "chunk")
+    w = Window.partitionBy("chunk_id").orderBy("piece")  # the pieces of one text
+    p = p4_pieces(spark, sf).select("chunk_id", "piece", "n_pieces", "first_word", "new_from", "end_word", "n_words", F.lag("end_word").over(w).alias("before"))
+    p = p.withColumn("shared", F.when(F.col("piece") == 0, F.col("first_word") == 0).otherwise((F.col("first_word") == F.greatest(F.lit(0), F.col("new_from") - overlap)) & (F.col("new_from") == F.col("before"))))
+    return p.groupBy("chunk_id").agg(F.max("end_word").cast("bigint").alias("words"), F.bool_and((F.col("n_words") <= cap) & (F.col("n_words") > 0)).alias("within"), F.bool_and("shared").alias("shared"), (F.count("*") == F.max("n_pieces")).alias("whole"))
+
+
+QUERIES = {"p4_found": p4_found, "p4_pieces": p4_pieces, "p4_check": p4_check}
+_WORDS = r"len(regexp_extract_all(text, '[^\t\n\x0b\x0c\r \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+'))"
+SQL = {
+    "p4_check": f"SELECT DISTINCT id AS chunk_id, {_WORDS} AS words, true AS within, true AS shared, true AS whole FROM chunks, size_limits WHERE limit_name = 'chunk' AND {_WORDS} > capacity",
+    "p4_found": f"SELECT DISTINCT id AS chunk_id FROM chunks, size_limits WHERE limit_name = 'chunk' AND {_WORDS} > capacity",
+}

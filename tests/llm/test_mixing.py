@@ -56,3 +56,24 @@ def test_empty(spark):
     assert selection.count() == 0 and shares.collect()[0]["tokens_drawn"] == 0
     selection, shares = M.mix(none, _targets(spark, []))
     assert selection.count() == 0 and shares.count() == 0
+
+
+def test_largest_feasible_total_meets_every_share(spark):
+    docs = [(i, "big", 100) for i in range(3000)] + [(10_000 + i, "small", 100) for i in range(150)] + [(20_000, "crumb", 1)]
+    counts = spark.createDataFrame(docs, "doc_id long, source string, n_tokens long")
+    t = _targets(spark, [("big", 0.6, 1.0), ("small", 0.3, 2.5), ("crumb", 0.05, 1.0), ("absent", 0.05, 1.0)])
+    selection, shares = M.mix(counts, t, block=100)
+    s = {r["source"]: r for r in shares.collect()}
+    assert [s[x]["feasible"] for x in ("big", "small", "crumb", "absent")] == [True, True, False, False]
+    assert 28_000 <= s["small"]["tokens_drawn"] <= 30_000  # two whole passes, not two and a half
+    assert s["big"]["tokens_drawn"] / s["small"]["tokens_drawn"] == pytest.approx(2, rel=0.03)
+    assert max(r["times_drawn"] for r in selection.collect() if r["source"] == "small") <= 2
+
+
+def test_slots_are_numbered_through_groups_of_shards(spark, monkeypatch):
+    monkeypatch.setattr(M, "GROUP", 3)
+    docs = [(i, "ab"[i % 2], 10) for i in range(2000)]
+    counts = spark.createDataFrame(docs, "doc_id long, source string, n_tokens long")
+    selection, _ = M.mix(counts, _targets(spark, [("a", 0.5, 1.0), ("b", 0.5, 1.0)]), total_tokens=19_000, block=10, slots=64)
+    rows = selection.collect()
+    assert all(r["times_drawn"] == 1 for r in rows) and len(rows) == 1900  # no slot twice

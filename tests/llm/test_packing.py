@@ -60,3 +60,31 @@ def test_tokens(spark):
     got = {r["doc_id"]: r["n_tokens"] for r in token_counts(df).collect()}
     e = encoding(VOCABULARY)
     assert got == {1: len(e.encode_ordinary("Hello <|endoftext|> world")), 2: 0, 3: 0, 4: len(e.encode_ordinary("ä" * 3000))}
+
+
+def test_refill_keeps_items_and_reaches_the_bound():
+    rng = random.Random(4)
+    better = 0
+    for _ in range(60):
+        cap = 500
+        sizes = [rng.choice([rng.randrange(1, 500), rng.randrange(60, 180)]) for _ in range(rng.randrange(1, 400))]
+        at, fill = P.best_fit_decreasing(sizes, cap)
+        new_at, new_fill = P.refill(sizes, cap, list(at), list(fill))
+        got = [0] * len(new_fill)
+        for i, b in enumerate(new_at):
+            got[b] += sizes[i]
+        assert got == new_fill and max(got) <= cap and P.lower_bound(sizes, cap) <= len(new_fill) <= len(fill)
+        better += len(new_fill) < len(fill)
+    assert better > 5
+    assert P.refill([], 10, [], []) == ([], [])
+
+
+def test_partitions_exchange_and_certify(spark):
+    rng = random.Random(6)
+    items = spark.createDataFrame([(i, 0, 1, rng.randrange(200, 520)) for i in range(3000)], "doc_id long, piece int, n_pieces int, size int")
+    rows = P.pack(items, 1000, part_items=300).collect()
+    assert len({(r["doc_id"], r["piece"]) for r in rows}) == len(rows) == 3000
+    rounds = {r["container"].split("-")[0] for r in rows}
+    assert len(rounds) > 1  # what a partition could not certify moved on
+    easy = spark.createDataFrame([(i, 0, 1, 1 + i % 40) for i in range(3000)], "doc_id long, piece int, n_pieces int, size int")
+    assert all(r["certified"] for r in P.pack(easy, 1000, part_items=300).collect())

@@ -75,3 +75,22 @@ def test_days_combine_to_spans(spark):
 def test_empty(spark):
     df = spark.createDataFrame([], "id long, k int, v double")
     assert Q.percentiles(Q.sketches(df, ["k"], "v", "id"), ["k"]).count() == 0
+
+
+def test_bound_is_put_to_the_test(spark, sf_oracle):
+    from pyspark.sql import functions as F
+
+    from lodestone.llm import quantiles as Q
+
+    got = Q.p1_bound_check(spark, sf_oracle)
+    assert got.where("NOT within").count() == 0 and got.where(F.col("n") > 100).count() > 5  # more than 3 buffers of 32: collapsed
+    days = Q.sketches(Q.table(spark, sf_oracle, "stdf_results"), ["test_num"], "result", "id", 32, 3)
+    assert Q.percentiles(days, ["test_num"], k=32, b=3).where("rank_error > 0").count() > 5
+
+
+def test_two_steps_of_merging(spark, monkeypatch, sf):
+    from lodestone.llm import quantiles as Q
+
+    one = {tuple(r) for r in Q.p1_percentiles(spark, sf).collect()}
+    monkeypatch.setattr(Q, "FAN", 2)
+    assert {tuple(r) for r in Q.p1_percentiles(spark, sf).collect()} == one

@@ -71,3 +71,16 @@ def test_table(spark):
     assert len([r for r in got if r["chunk_id"] == 1]) == 2
     assert [r["locator"] for r in got if r["chunk_id"] == 1] == ["H > I", "H > I"] or got[0]["locator"] in ("L", "H > I")
     assert S.split_chunks(c.limit(0), s.limit(0), 350, 40).count() == 0
+
+
+def test_segments_with_one_opening_are_told_apart():
+    opening = "The relay matrix is wired as shown here"
+    a, b = opening + " for the first bank alone", opening + " for the second bank alone"
+    words = f"{b} . {a}".split()
+    got = S._segments_at(words, [{"text": a, "heading_path": "A"}])
+    assert got == [(len(b.split()) + 1, len(words), "A")]
+    got = S._segments_at(words, [{"text": b, "heading_path": "B"}, {"text": a, "heading_path": "A"}])
+    assert [(x, h) for x, _, h in got] == [(0, "B"), (len(b.split()) + 1, "A")]
+    changed = S._segments_at(words, [{"text": a.replace("alone", "only"), "heading_path": "A"}])  # most of it stands there
+    assert changed[0][0] == len(b.split()) + 1
+    assert S._segments_at(words, [{"text": "The other text has nothing of this", "heading_path": "C"}]) == []
