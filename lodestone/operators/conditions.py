@@ -8,8 +8,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Fixed rule order: what clears comes first.
-SET_RULE, CLEAR_RULE = r"^\s*COND\b[\s:]*(.+)$", r"^\s*COND_OFF\b[\s:]*(.*)$"
+# The built-in rules in their order, (pattern, action); the first group is the key to clear or the pairs to set.
+CLEAR_RULE, SET_RULE = r"^\s*COND_OFF\b\s*:?\s*(\S*)\s*$", r"^\s*COND:\s*(.+?)\s*$"
+RULES = ((CLEAR_RULE, "clear"), (SET_RULE, "set"))
 
 
 def assign_parts(records: DataFrame) -> DataFrame:
@@ -44,27 +45,34 @@ def inherit_static(tests: DataFrame) -> DataFrame:
     return t.select("run", "ord", "test_num", blank("test_txt").alias("test_txt"), blank("units").alias("units"), limit("lo", 0x40, 0x10).alias("lo"), limit("hi", 0x80, 0x20).alias("hi"))
 
 
-def sticky_conditions(records: DataFrame, part_scope: bool = True) -> DataFrame:
-    """WN07, WN08: the conditions in force at each test: run, ord, cond (map). Text records set "K=V" pairs or clear one, several or ("*" or nothing) all;
-    with ``part_scope`` the end of a part clears all. A value counts if its last set or clear lies behind the last clear of all."""
+def sticky_conditions(records: DataFrame, part_scope: bool = True, rules: tuple[tuple[str, str], ...] = RULES) -> DataFrame:
+    """WN07, WN08, UD05: the conditions in force at each test: run, ord, cond (map). The first of ``rules`` that a text record matches applies: it sets
+    "K=V, K2=V2" pairs, or clears one key, or ("*" or nothing) all; with ``part_scope`` the end of a part clears all.
+    The last event of each key before a test decides, by one window for each run and key."""
     text = F.coalesce("text", F.lit(""))
-    off, on = F.regexp_extract(text, CLEAR_RULE, 1), F.regexp_extract(text, SET_RULE, 1)
-    is_off = (F.col("rec_type") == "DTR") & text.rlike(CLEAR_RULE)
-    is_on = (F.col("rec_type") == "DTR") & ~text.rlike(CLEAR_RULE) & text.rlike(SET_RULE)
-    wipes = is_off & F.trim(off).isin("", "*")
+    action, body = None, None
+    for pattern, kind in rules:
+        hit = text.rlike(pattern)
+        action = F.when(hit, kind) if action is None else action.when(hit, kind)
+        own = F.regexp_extract(text, pattern, 1)
+        body = F.when(hit, own) if body is None else body.when(hit, own)
+    r = records.select("run", "ord", "rec_type", F.when(F.col("rec_type") == "DTR", action).alias("action"), F.trim(body).alias("body")).distinct()  # a pin list has several rows of one record
+    wipe = (F.col("action") == "clear") & F.col("body").isin("", "*")
     if part_scope:
-        wipes = wipes | (F.col("rec_type") == "PRR")
-    r = records.select("run", "ord", "rec_type", wipes.alias("wipe"), (is_off & ~wipes).alias("off"), is_on.alias("on"), F.when(is_off, off).when(is_on, on).alias("body"))
-    r = r.withColumn("epoch", F.sum(F.when(F.col("wipe"), 1).otherwise(0)).over(Window.partitionBy("run").orderBy("ord")))
-    events = r.where("on OR off").select("run", "ord", "epoch", "on", F.explode(F.split("body", ",")).alias("pair")).where("on = false OR instr(pair, '=') > 0")
-    events = events.select("run", "ord", "epoch", F.trim(F.substring_index("pair", "=", 1)).alias("k"), F.when(F.col("on"), F.trim(F.expr("substring(pair, instr(pair, '=') + 1)"))).alias("v")).where("k <> ''")
-    # each event holds until the next of its key, or the end of its epoch
-    w = Window.partitionBy("run", "epoch", "k").orderBy("ord")
-    spans = events.withColumn("until", F.lead("ord").over(w)).where("v IS NOT NULL")
-    tests = r.where(F.col("rec_type").isin("PTR", "FTR", "MPR")).select("run", "ord", "epoch").distinct()  # a pin list has several rows of one record
-    hit = tests.alias("t").join(spans.alias("s"), (F.col("t.run") == F.col("s.run")) & (F.col("t.epoch") == F.col("s.epoch")) & (F.col("s.ord") < F.col("t.ord")) & (F.col("s.until").isNull() | (F.col("s.until") > F.col("t.ord"))), "left")
-    g = hit.groupBy("t.run", "t.ord").agg(F.sort_array(F.collect_list(F.when(F.col("s.k").isNotNull(), F.struct("s.k", "s.v")))).alias("c"))
-    return g.select("run", "ord", F.map_from_entries("c").alias("cond"))
+        wipe = F.coalesce(wipe, F.lit(False)) | (F.col("rec_type") == "PRR")
+    state = lambda v: F.struct(v.alias("v"))
+    sets = r.where("action = 'set'").select("run", "ord", F.posexplode(F.split("body", ",")).alias("at", "pair")).where("instr(pair, '=') > 0")
+    sets = sets.select("run", "ord", "at", F.trim(F.substring_index("pair", "=", 1)).alias("k"), F.trim(F.expr("substring(pair, instr(pair, '=') + 1)")).alias("v")).where("k <> ''").groupBy("run", "ord", "k").agg(F.max_by("v", "at").alias("v"))
+    sets = sets.select("run", "ord", "k", F.lit(False).alias("test"), state(F.col("v")).alias("event"))
+    clears = r.where((F.col("action") == "clear") & ~wipe).select("run", "ord", F.col("body").alias("k"), F.lit(False).alias("test"), state(F.lit(None).cast("string")).alias("event"))
+    tests = r.where(F.col("rec_type").isin("PTR", "FTR", "MPR")).select("run", "ord")
+    keys = sets.select("run", "k").distinct()  # few for each run
+    every = tests.select("run", "ord", F.lit(True).alias("test"), F.lit(None).cast("struct<v:string>").alias("event")).unionByName(r.where(wipe).select("run", "ord", F.lit(False).alias("test"), state(F.lit(None).cast("string")).alias("event")))
+    every = every.join(keys, "run").select("run", "ord", "k", "test", "event").unionByName(sets).unionByName(clears)
+    last = F.last("event", ignorenulls=True).over(Window.partitionBy("run", "k").orderBy("ord").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    held = every.withColumn("now", last).where(F.col("test") & F.col("now.v").isNotNull())
+    held = held.groupBy("run", "ord").agg(F.sort_array(F.collect_list(F.struct("k", "now.v"))).alias("c"))
+    return tests.join(held, ["run", "ord"], "left").select("run", "ord", F.map_from_entries(F.coalesce("c", F.array().cast("array<struct<k:string,v:string>>"))).alias("cond"))
 
 
 def condition_sets(results: DataFrame, by: list[str], column: str = "conditions") -> DataFrame:

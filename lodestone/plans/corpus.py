@@ -208,45 +208,27 @@ def finding_flags(spark: SparkSession, sf: str) -> DataFrame:
     return K.flags_of(K.duplicate_groups(_documents(spark, sf)), table(spark, sf, "conflict_pairs").select("chunk_a", "chunk_b").distinct())
 
 
-def _edges(spark: SparkSession, sf: str) -> DataFrame:
-    """Links: recorded conflicts, and line items as part to supplier."""
-    c = table(spark, sf, "conflict_pairs").select(F.lit("conflict").alias("link_type"), F.col("doc_a").alias("src"), F.col("doc_b").alias("dst"), F.col("chunk_a").alias("id"))
-    li = table(spark, sf, "lineitem").select(F.lit("part").alias("link_type"), F.pmod("l_partkey", F.lit(97)).alias("src"), (F.pmod("l_suppkey", F.lit(89)) + 50).alias("dst"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("id")).where("(src * 7 + dst) % 11 = 0")
-    return c.unionByName(li)
-
-
-def related_docs_depth2(spark: SparkSession, sf: str) -> DataFrame:
-    """GR01-GR03, TK12 over the links and starts that its SQL has; ``related_docs_all`` takes all."""
-    starts = spark.createDataFrame([(1,), (7,), (60,), (96,)], "start bigint")
-    return G.reach(_edges(spark, sf), starts, 2, "both")
-
-
-def link_counts(spark: SparkSession, sf: str) -> DataFrame:
-    """GR02, GR04: direct edges by pair, of the links that its SQL has; ``link_counts_all`` takes all."""
-    return _edges(spark, sf).groupBy("src", "dst").agg(F.count("*").alias("weight"), F.min_by("link_type", F.struct("id", "link_type")).alias("link_type"))
-
-
 #: Apart from documents, ids of parts begin here and those of suppliers at twice that; a multiple of 50, so that ids stay divisible by 50 or not.
 NODE_OFFSET = 1_000_000_000_000
 
 
-def _all_edges(spark: SparkSession, sf: str) -> DataFrame:
+def _edges(spark: SparkSession, sf: str) -> DataFrame:
     """Links: recorded conflicts between documents, and every line item as part to supplier."""
     c = table(spark, sf, "conflict_pairs").select(F.lit("conflict").alias("link_type"), F.col("doc_a").alias("src"), F.col("doc_b").alias("dst"), F.col("chunk_a").alias("id"))
     li = table(spark, sf, "lineitem").select(F.lit("part").alias("link_type"), (F.col("l_partkey") + NODE_OFFSET).alias("src"), (F.col("l_suppkey") + 2 * NODE_OFFSET).alias("dst"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("id"))
     return c.unionByName(li)
 
 
-def related_docs_all(spark: SparkSession, sf: str) -> DataFrame:
+def related_docs_depth2(spark: SparkSession, sf: str) -> DataFrame:
     """GR01-GR03, TK12 over all links, from every node whose id is divisible by 50."""
-    e = _all_edges(spark, sf)
+    e = _edges(spark, sf)
     starts = e.select(F.explode(F.array("src", "dst")).alias("start")).where("start % 50 = 0").distinct()
     return G.reach(e, starts, 2, "both")
 
 
-def link_counts_all(spark: SparkSession, sf: str) -> DataFrame:
+def link_counts(spark: SparkSession, sf: str) -> DataFrame:
     """GR02, GR04 over all links."""
-    return _all_edges(spark, sf).groupBy("src", "dst").agg(F.count("*").alias("weight"), F.min_by("link_type", F.struct("id", "link_type")).alias("link_type"))
+    return _edges(spark, sf).groupBy("src", "dst").agg(F.count("*").alias("weight"), F.min_by("link_type", F.struct("id", "link_type")).alias("link_type"))
 
 
 def link_resolution(spark: SparkSession, sf: str) -> DataFrame:
@@ -288,10 +270,9 @@ def column_groups(spark: SparkSession, sf: str) -> DataFrame:
 _C = "c AS (SELECT DISTINCT ON (id) * FROM chunks)"
 _CLEAN = r"trim(regexp_replace(COL, '[\s\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x0b]+', ' ', 'g'))"
 _CITED = "t AS (SELECT DISTINCT chunk_a, chunk_b, doc_a, doc_b FROM conflict_pairs)"
-_EDGES = "e AS (SELECT 'conflict' AS link_type, doc_a AS src, doc_b AS dst, chunk_a AS id FROM conflict_pairs UNION ALL SELECT 'part', l_partkey % 97, l_suppkey % 89 + 50, l_orderkey * 10 + l_linenumber FROM lineitem WHERE ((l_partkey % 97) * 7 + l_suppkey % 89 + 50) % 11 = 0)"
-_ALL_EDGES = "e AS (SELECT 'conflict' AS link_type, doc_a AS src, doc_b AS dst, chunk_a AS id FROM conflict_pairs UNION ALL SELECT 'part', l_partkey + 1000000000000, l_suppkey + 2000000000000, l_orderkey * 10 + l_linenumber FROM lineitem)"
+_EDGES = "e AS (SELECT 'conflict' AS link_type, doc_a AS src, doc_b AS dst, chunk_a AS id FROM conflict_pairs UNION ALL SELECT 'part', l_partkey + 1000000000000, l_suppkey + 2000000000000, l_orderkey * 10 + l_linenumber FROM lineitem)"
 
-QUERIES = {f.__name__: f for f in (word_chunks, snippets, search_snippets, gotcha_flags, gotcha_tally, query_sanitize, citation_verify, citation_numbers, name_conventions, slugs, key_values, ingest_text, duplicate_docs, incremental_skip, orphaned, worklist_anti, summary_worklist, vector_upsert, cascade_counts, enrichment_rows, source_histogram, store_audit, ingest_audit, stratified_allocation, stratified_sample, heading_levels, access_filter, conflict_pairs_scan, tier_annotated_conflicts, finding_flags, related_docs_depth2, link_counts, related_docs_all, link_counts_all, link_resolution, column_kinds, wide_unpivot, long_reader, column_analysis, column_groups)}
+QUERIES = {f.__name__: f for f in (word_chunks, snippets, search_snippets, gotcha_flags, gotcha_tally, query_sanitize, citation_verify, citation_numbers, name_conventions, slugs, key_values, ingest_text, duplicate_docs, incremental_skip, orphaned, worklist_anti, summary_worklist, vector_upsert, cascade_counts, enrichment_rows, source_histogram, store_audit, ingest_audit, stratified_allocation, stratified_sample, heading_levels, access_filter, conflict_pairs_scan, tier_annotated_conflicts, finding_flags, related_docs_depth2, link_counts, link_resolution, column_kinds, wide_unpivot, long_reader, column_analysis, column_groups)}
 SQL = {
     "word_chunks": f"""WITH s AS (SELECT *, CASE WHEN kind = 'code' OR coalesce(lag(kind) OVER w, 'code') = 'code' OR heading_path IS DISTINCT FROM lag(heading_path) OVER w THEN 1 ELSE 0 END AS st, list_filter(string_split({_CLEAN.replace('COL', "coalesce(text, '')")}, ' '), lambda x: x <> '') AS ws FROM segments WINDOW w AS (PARTITION BY document_id ORDER BY ord)),
       g AS (SELECT *, sum(st) OVER (PARTITION BY document_id ORDER BY ord) AS g FROM s), h AS (SELECT document_id, g, CASE WHEN kind = 'code' THEN 'code' ELSE 'body' END AS kind, heading_path AS locator, flatten(list(ws ORDER BY ord)) AS words, min(ord) AS f, max(text) AS code FROM g GROUP BY document_id, g, 3, 4),
@@ -329,13 +310,12 @@ SQL = {
     "finding_flags": "WITH d AS (SELECT content_hash, min(doc_id) AS f FROM documents WHERE status = 'active' AND coalesce(content_hash, '') <> '' GROUP BY content_hash HAVING count(*) >= 2), p AS (SELECT DISTINCT chunk_a, chunk_b FROM conflict_pairs) SELECT f AS target, 'duplicate' AS kind, content_hash AS note FROM d UNION ALL SELECT chunk_a, 'discrepancy', 'see ' || chunk_b FROM p UNION ALL SELECT chunk_b, 'discrepancy', 'see ' || chunk_a FROM p",
     "conflict_pairs_scan": """WITH v AS (SELECT vec_id, label, embedding::DOUBLE[] AS e, sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])) AS n FROM embeddings), s AS (SELECT a.vec_id AS a, b.vec_id AS b, a.label AS la, b.label AS lb, round(list_dot_product(a.e, b.e) / (a.n * b.n), 9) AS sim FROM v a, v b WHERE a.vec_id <> b.vec_id),
       k AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY a ORDER BY sim DESC, b) <= 11) SELECT DISTINCT least(a, b) AS chunk_a, greatest(a, b) AS chunk_b, round(sim, 4) AS similarity FROM k WHERE la <> lb AND sim >= 0.35 AND sim < 0.999 ORDER BY similarity DESC, chunk_a, chunk_b LIMIT 200""",
-    "related_docs_depth2": f"""WITH {_EDGES}, st AS (SELECT * FROM (VALUES (1), (7), (60), (96)) s(start)), u AS (SELECT 'out' AS dir, src AS a, dst AS b, id, link_type FROM e UNION ALL SELECT 'in', dst, src, id, link_type FROM e),
+    "related_docs_depth2": f"""WITH {_EDGES}, st AS (SELECT DISTINCT start FROM (SELECT src AS start FROM e UNION ALL SELECT dst FROM e) WHERE start % 50 = 0), u AS (SELECT 'out' AS dir, src AS a, dst AS b, id, link_type FROM e UNION ALL SELECT 'in', dst, src, id, link_type FROM e),
       h1 AS (SELECT dir, start, b AS doc, 1 AS hops FROM st JOIN u ON a = start WHERE b <> start GROUP BY ALL), h2 AS (SELECT h1.dir, start, b AS doc, 2 AS hops FROM h1 JOIN u ON a = doc AND u.dir = h1.dir WHERE b <> start GROUP BY ALL),
       r AS (SELECT dir, start, doc, min(hops) AS hops FROM (SELECT * FROM h1 UNION ALL SELECT * FROM h2) GROUP BY ALL), d AS (SELECT dir, a, b, count(*) AS weight, min_by(link_type, id) AS lt FROM u GROUP BY ALL),
       x AS (SELECT r.*, CASE WHEN hops = 1 THEN coalesce(weight, 0) ELSE 0 END AS w, CASE WHEN hops = 1 THEN coalesce(lt, '') ELSE '' END AS lt FROM r LEFT JOIN d ON d.dir = r.dir AND d.a = r.start AND d.b = r.doc)
       SELECT CAST(start AS BIGINT) AS start, doc, min(hops) AS hops, CASE WHEN count(*) > 1 THEN 'both' ELSE max(dir) END AS direction, CASE WHEN count(*) > 1 THEN 0 ELSE CAST(sum(w) AS BIGINT) END AS weight, CASE WHEN count(*) > 1 THEN '' ELSE max(lt) END AS link_type FROM x GROUP BY start, doc""",
     "link_counts": f"WITH {_EDGES} SELECT src, dst, count(*) AS weight, min_by(link_type, (id, link_type)) AS link_type FROM e GROUP BY src, dst",
-    "link_counts_all": f"WITH {_ALL_EDGES} SELECT src, dst, count(*) AS weight, min_by(link_type, (id, link_type)) AS link_type FROM e GROUP BY src, dst",
     "link_resolution": """WITH l AS (SELECT doc_id AS src_doc, path, lead(path) OVER (PARTITION BY source ORDER BY doc_id) AS nx FROM documents WHERE source IS NOT NULL), m AS (SELECT *, string_split(nx, '/') AS p FROM l WHERE nx IS NOT NULL),
       r AS (SELECT src_doc, '../' || p[-2] || '/./' || p[-1] || '?v=1#top' AS raw, split_part(path, '/', 1) || '/' || p[-2] || '/' || p[-1] AS target FROM m) SELECT src_doc, raw, target, doc_id AS dst_doc FROM r LEFT JOIN documents ON documents.path = target""",
     "wide_unpivot": "WITH u AS (SELECT p_partkey AS src_row, p_brand AS grp, 'p_size' AS name, p_size::DOUBLE AS value FROM part UNION ALL SELECT p_partkey, p_brand, 'p_retailprice', p_retailprice FROM part) SELECT name, CAST(row_number() OVER (PARTITION BY name ORDER BY src_row) - 1 AS INT) AS row_idx, src_row, value, grp FROM u WHERE value IS NOT NULL AND isfinite(value)",

@@ -60,11 +60,6 @@ def site_groups(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def value_sample(spark: SparkSession, sf: str) -> DataFrame:
-    """TK09: a plot's first values of each test, 50 of them as in its SQL; ``value_sample_plot`` has the cap of the operator."""
-    return E.value_sample(PM.measurements(spark, sf), ["test"], 50).select("test", "id", "result")
-
-
-def value_sample_plot(spark: SparkSession, sf: str) -> DataFrame:
     """TK09: a plot's first values of each test (the cap is the operator)."""
     return E.value_sample(PM.measurements(spark, sf), ["test"], E.PLOT_VALUES).select("test", "id", "result")
 
@@ -102,7 +97,7 @@ def lenient_numbers(spark: SparkSession, sf: str) -> DataFrame:
 
 
 _SITE = PM._M
-QUERIES = {f.__name__: f for f in (dataset_summaries, symbol_filter, column_filter, log_filter, hit_images, image_staging, site_groups, value_sample, value_sample_plot, qq_points, document_maps, selector_proposal, log_chunks, condition_flags, lenient_numbers)}
+QUERIES = {f.__name__: f for f in (dataset_summaries, symbol_filter, column_filter, log_filter, hit_images, image_staging, site_groups, value_sample, qq_points, document_maps, selector_proposal, log_chunks, condition_flags, lenient_numbers)}
 SQL = {
     "dataset_summaries": """WITH n AS (SELECT col_id, count(*) AS v FROM (SELECT DISTINCT ON (col_id, row_idx) * FROM data_values) GROUP BY col_id), c AS (SELECT DISTINCT ON (id) * FROM data_columns)
       SELECT doc_id, dataset, 'Dataset ' || dataset || ': ' || string_agg(name || ' (' || kind || CASE WHEN kind = 'numeric' THEN ', ' || coalesce(v, 0) ELSE '' END || ')', ', ' ORDER BY id) AS text FROM c LEFT JOIN n ON n.col_id = c.id GROUP BY doc_id, dataset""",
@@ -112,8 +107,7 @@ SQL = {
       SELECT id AS chunk_id, coalesce(n, 0) AS images FROM c LEFT JOIN n ON n.document_id = c.document_id AND n.l = coalesce(c.locator, '') WHERE kind = 'body'""",
     "image_staging": "SELECT sha256(text) AS sha256, min(document_id) AS doc_id, count(*) AS uses FROM chunks WHERE kind = 'image_ref' AND text IS NOT NULL GROUP BY 1",
     "site_groups": f"WITH {_SITE} SELECT test, site, count(*) AS n, min(result) AS low, round(quantile_cont(result, 0.25), 4) AS q1, round(quantile_cont(result, 0.5), 4) AS median, round(quantile_cont(result, 0.75), 4) AS q3, max(result) AS high FROM m GROUP BY test, site",
-    "value_sample": f"WITH {_SITE} SELECT test, id, result FROM m QUALIFY row_number() OVER (PARTITION BY test ORDER BY id) <= 50",
-    "value_sample_plot": f"WITH {_SITE} SELECT test, id, result FROM m QUALIFY row_number() OVER (PARTITION BY test ORDER BY id) <= 20000",
+    "value_sample": f"WITH {_SITE} SELECT test, id, result FROM m QUALIFY row_number() OVER (PARTITION BY test ORDER BY id) <= 20000",
     "qq_points": f"WITH {_SITE}, g AS (SELECT test, quantile_cont(result, list_transform(range(21), lambda i: i / 20.0)) FILTER (run = 'A') AS a, quantile_cont(result, list_transform(range(21), lambda i: i / 20.0)) FILTER (run = 'B') AS b FROM m GROUP BY test) SELECT test, CAST(generate_subscripts(a, 1) - 1 AS INT) AS i, round(unnest(a), 4) AS x, round(unnest(b), 4) AS y FROM g WHERE a IS NOT NULL AND b IS NOT NULL",
     "document_maps": "WITH c AS (SELECT DISTINCT ON (id) * FROM chunks) SELECT id AS chunk_id, document_id AS doc_id, ord, source, path, content_hash FROM c LEFT JOIN documents ON doc_id = document_id",
     "condition_flags": "WITH r AS (SELECT DISTINCT doc_id, conditions FROM stdf_results WHERE conditions IS NOT NULL) SELECT DISTINCT doc_id, 'condition' AS kind, k || '=' || json_extract_string(conditions, '$.\"' || k || '\"') AS note FROM (SELECT *, unnest(json_keys(conditions)) AS k FROM r)",

@@ -102,11 +102,6 @@ def _picked(spark: SparkSession, sf: str, cap: int) -> DataFrame:
 
 
 def round_robin_pick(spark: SparkSession, sf: str) -> DataFrame:
-    """TK06, 12 picks as in its SQL."""
-    return _picked(spark, sf, 12)
-
-
-def round_robin_pick_48(spark: SparkSession, sf: str) -> DataFrame:
     """TK06 with the cap of the operator."""
     return _picked(spark, sf, 48)
 
@@ -146,7 +141,7 @@ f AS (SELECT test, change, round(cpk_raw, 4) AS cpk, round(mean_a, 4) AS mean_a,
    CASE WHEN in_b AND (shape NOT IN ('normal', 'discrete') OR reach > 6) THEN 'shape' END, CASE WHEN in_b AND site_spread > 1 THEN 'site' END], lambda x: x IS NOT NULL), ',') AS categories FROM l)"""
 _CATS = "e AS (SELECT f.*, unnest(string_split(categories, ',')) AS category FROM f WHERE categories <> '')"
 
-QUERIES = {f.__name__: f for f in (summary_stats, capability, classify_distribution, site_dispersion, compare_runs, test_stats_sql, site_stats, moments_shape, ntile_profile, qq_r2_buckets, median_mode, audit_alignment, definition_diff, audit_findings, audit_tally, problem_rank, round_robin_pick, round_robin_pick_48, trend_points, histogram_bins, quantile_points)}
+QUERIES = {f.__name__: f for f in (summary_stats, capability, classify_distribution, site_dispersion, compare_runs, test_stats_sql, site_stats, moments_shape, ntile_profile, qq_r2_buckets, median_mode, audit_alignment, definition_diff, audit_findings, audit_tally, problem_rank, round_robin_pick, trend_points, histogram_bins, quantile_points)}
 SQL = {
     "summary_stats": f"WITH {_M} SELECT test, run, count(*) AS n, round(avg(result), 4) AS mean, round(quantile_cont(result, 0.5), 4) AS median, round(stddev_pop(result), 4) AS std, min(result) AS min, max(result) AS max FROM m GROUP BY test, run",
     "capability": f"WITH {_M}, g AS (SELECT test, run, count(*) AS n, avg(result) AS mu, stddev_pop(result) AS sd, max(lo) AS lo, max(hi) AS hi FROM m GROUP BY test, run) SELECT test, run, n, round(CASE WHEN sd > 0 AND n >= 2 THEN (mu - lo) / (3 * sd) END, 6) AS cpl, round(CASE WHEN sd > 0 AND n >= 2 THEN (hi - mu) / (3 * sd) END, 6) AS cpu, round(CASE WHEN sd > 0 AND n >= 2 THEN least((mu - lo) / (3 * sd), (hi - mu) / (3 * sd)) END, 6) AS cpk FROM g",
@@ -187,9 +182,8 @@ SQL = {
     "audit_tally": f"WITH {_AUDIT}, {_CATS} SELECT category, count(*) AS tests FROM e GROUP BY category",
     "problem_rank": f"WITH {_AUDIT} SELECT row_number() OVER (ORDER BY coalesce(cpk, 99.0), abs(coalesce(mean_b - mean_a, 0.0)) DESC, test) AS place, test, cpk, categories FROM f WHERE categories <> ''",
     "round_robin_pick": f"""WITH {_AUDIT}, {_CATS}, t AS (SELECT *, row_number() OVER (PARTITION BY category ORDER BY abs(coalesce(mean_b - mean_a, 0.0)) DESC, test) AS turn, list_position(['changed', 'cpk', 'shifted', 'uncorrelated', 'shape', 'site'], category) AS place FROM e),
-      o AS (SELECT test, category, turn, place FROM t QUALIFY row_number() OVER (PARTITION BY test ORDER BY turn, place) = 1) SELECT * FROM (SELECT row_number() OVER (ORDER BY turn, place, test) AS pick, test, category FROM o) WHERE pick <= 12""",
+      o AS (SELECT test, category, turn, place FROM t QUALIFY row_number() OVER (PARTITION BY test ORDER BY turn, place) = 1) SELECT * FROM (SELECT row_number() OVER (ORDER BY turn, place, test) AS pick, test, category FROM o) WHERE pick <= 48""",
     "trend_points": f"WITH {_M} SELECT test, year, count(*) AS n, round(avg(result), 4) AS mean, round(quantile_cont(result, 0.5), 4) AS median FROM m GROUP BY test, year",
     "histogram_bins": f"WITH {_M}, e AS (SELECT test, min(result) AS lo, max(result) AS hi FROM m GROUP BY test) SELECT test, run, CAST(CASE WHEN e.hi > e.lo THEN least(floor(round((result - e.lo) / (e.hi - e.lo) * 20, 9)), 19) ELSE 0 END AS INT) AS bin, count(*) AS n FROM m JOIN e USING (test) GROUP BY ALL",
     "quantile_points": f"WITH {_M}, g AS (SELECT test, run, quantile_cont(result, list_transform(range(21), lambda i: i / 20.0)) AS q FROM m GROUP BY test, run) SELECT test, run, CAST(generate_subscripts(q, 1) - 1 AS INT) AS i, round(unnest(q), 4) AS q FROM g",
 }
-SQL["round_robin_pick_48"] = SQL["round_robin_pick"].replace("pick <= 12", "pick <= 48")

@@ -102,11 +102,13 @@ def test_time_lines(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _records(spark: SparkSession, sf: str) -> DataFrame:
-    """A raw record stream out of events, in order, a run for each user: purchases set, errors clear, signups end a part, the rest are tests."""
+    """A raw record stream out of events, in order, a run for each user: purchases set, errors clear, signups end a part, the rest are tests. Some texts
+    match no rule (``COND x=1`` lacks the colon) or clear a key that nothing sets (``COND_OFF A,B`` names one)."""
     e = table(spark, sf, "events")
     k = F.get_json_object("props", "$.k").try_cast("int")
     kind = F.when(F.col("event_type").isin("purchase", "error"), "DTR").when(F.col("event_type") == "signup", "PRR").otherwise("PTR")
     text = F.when(F.col("event_type") == "purchase", F.concat(F.lit("COND: C"), F.pmod(k, F.lit(5)).cast("string"), F.lit("="), k.cast("string"))).when(F.col("event_type") == "error", F.when(F.pmod(k, F.lit(4)) == 0, "COND_OFF: *").otherwise(F.concat(F.lit("COND_OFF: C"), F.pmod(k, F.lit(5)).cast("string"))))
+    text = F.when((F.col("event_type") == "purchase") & (F.pmod(k, F.lit(6)) == 1), F.concat(F.lit("COND C1="), k.cast("string"))).when((F.col("event_type") == "error") & (F.pmod(k, F.lit(8)) == 1), "COND_OFF C1,C2").otherwise(text)
     return e.select(F.col("user_id").alias("run"), F.col("event_id").alias("ord"), kind.alias("rec_type"), text.alias("text"), F.pmod(k, F.lit(7)).alias("test_num"), k.alias("k"), F.col("value"))
 
 
@@ -156,7 +158,7 @@ SQL = {
       SELECT k, v, min(run) AS only_in FROM s GROUP BY k, v HAVING count(*) = 1""",
     "test_time_lines": f"""WITH {_P}, f AS (SELECT doc_id, min(tested_at) AS began FROM stdf_results GROUP BY doc_id) SELECT CASE WHEN began < TIMESTAMP '{SPLIT}' THEN 'A' ELSE 'B' END AS run, round(avg(test_time_ms), 4) AS mean_ms, round(avg(test_time_ms) FILTER (hard_bin = 1), 4) AS mean_ms_bin1, count(*) AS n FROM p JOIN f USING (doc_id) WHERE test_time_ms > 0 GROUP BY 1""",
     "sticky_conditions": f"""WITH {_E}, e AS (SELECT *, sum(CASE WHEN rec_type = 'PRR' OR (event_type = 'error' AND k % 4 = 0) THEN 1 ELSE 0 END) OVER (PARTITION BY run ORDER BY ord) AS epoch FROM x),
-      v AS (SELECT run, ord, epoch, 'C' || (k % 5) AS c, CASE WHEN event_type = 'purchase' THEN k END AS val FROM e WHERE event_type = 'purchase' OR (event_type = 'error' AND k % 4 <> 0)),
+      v AS (SELECT run, ord, epoch, 'C' || (k % 5) AS c, CASE WHEN event_type = 'purchase' THEN k END AS val FROM e WHERE (event_type = 'purchase' AND k % 6 <> 1) OR (event_type = 'error' AND k % 4 <> 0 AND k % 8 <> 1)),
       l AS (SELECT t.run, t.ord, c, max_by({{'v': val}}, v.ord) AS z FROM e t JOIN v ON v.run = t.run AND v.epoch = t.epoch AND v.ord < t.ord WHERE t.rec_type = 'PTR' GROUP BY ALL)
       SELECT t.run, t.ord, coalesce(string_agg(c || '=' || z.v, ',' ORDER BY c) FILTER (z.v IS NOT NULL), '') AS cond FROM (SELECT run, ord FROM e WHERE rec_type = 'PTR') t LEFT JOIN l USING (run, ord) GROUP BY t.run, t.ord""",
     "static_inherit": f"""WITH {_E}, t AS (SELECT run, ord, k % 7 AS test_num, CASE WHEN k % 3 = 0 THEN '' ELSE 'T' || k END AS test_txt, 'V' AS units, CASE WHEN k % 2 = 0 THEN value END AS lo, value AS hi, CASE WHEN k % 5 = 0 THEN NULL ELSE list_extract([0, 16, 32, 64, 128], k % 5 + 1) END AS f FROM x WHERE rec_type = 'PTR'),

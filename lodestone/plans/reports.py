@@ -28,11 +28,6 @@ def problem_reasons(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def dashboard_gallery(spark: SparkSession, sf: str) -> DataFrame:
-    """TK06, TK07, 20 picks as in its SQL."""
-    return R.gallery(_analyses(spark, sf), "test", 20)
-
-
-def dashboard_gallery_48(spark: SparkSession, sf: str) -> DataFrame:
     """TK06, TK07 with the cap of the operator."""
     return R.gallery(_analyses(spark, sf), "test")
 
@@ -95,7 +90,7 @@ an AS (SELECT test, status, coalesce(shape, 'sparse') AS shape, round(CASE WHEN
   FROM st LEFT JOIN gg USING (test) LEFT JOIN shp USING (test) LEFT JOIN cmp USING (test) LEFT JOIN sit USING (test))"""
 _R = "r AS (SELECT DISTINCT ON (id) * FROM stdf_results)"
 
-QUERIES = {f.__name__: f for f in (analysis_flags, problem_reasons, dashboard_gallery, dashboard_gallery_48, chip_filter, stats_table, test_texts, part_texts, search_payload, reference_labels, mixed_formats, report_expiry)}
+QUERIES = {f.__name__: f for f in (analysis_flags, problem_reasons, dashboard_gallery, chip_filter, stats_table, test_texts, part_texts, search_payload, reference_labels, mixed_formats, report_expiry)}
 SQL = {
     "analysis_flags": _A + " SELECT test, status, shape, array_to_string(flags, ',') AS flags, cpk, pct_shift, site_spread FROM an",
     "problem_reasons": _A + """ SELECT row_number() OVER (ORDER BY coalesce(cpk, 99.0), abs(coalesce(pct_shift, 0)) DESC, test) AS place, test, cpk, array_to_string(list_filter([CASE WHEN cpk < 1.33 THEN 'Cpk ' || printf('%.2f', cpk) || ' (below 1.33)' END, CASE WHEN list_contains(flags, 'added') THEN 'new test in this run' END,
@@ -104,7 +99,7 @@ SQL = {
       FROM an WHERE cpk < 1.33 OR list_has_any(flags, ['added', 'removed', 'changed', 'shifted', 'uncorrelated', 'site-shift', 'bimodal', 'long-tail', 'outliers'])""",
     "dashboard_gallery": _A + """, sc AS (SELECT test, round(abs(coalesce(z, 0)) + CASE WHEN list_contains(flags, 'uncorrelated') THEN 3.0 ELSE 0.0 END + CASE WHEN status IN ('added', 'removed') THEN 1.5 ELSE 0.0 END + CASE WHEN list_has_any(flags, ['bimodal', 'long-tail', 'outliers']) THEN 1.0 ELSE 0.0 END, 6) AS score, unnest(flags) AS category FROM an),
       tn AS (SELECT *, row_number() OVER (PARTITION BY category ORDER BY score DESC, test) AS turn, list_position(['uncorrelated', 'shifted', 'added', 'removed', 'bimodal', 'outliers', 'long-tail', 'discrete', 'correlated'], category) AS place FROM sc WHERE category IN ('uncorrelated', 'shifted', 'added', 'removed', 'bimodal', 'outliers', 'long-tail', 'discrete', 'correlated')),
-      oo AS (SELECT * FROM tn QUALIFY row_number() OVER (PARTITION BY test ORDER BY turn, place) = 1) SELECT * FROM (SELECT row_number() OVER (ORDER BY turn, place, test) AS pick, test, category FROM oo) WHERE pick <= 20""",
+      oo AS (SELECT * FROM tn QUALIFY row_number() OVER (PARTITION BY test ORDER BY turn, place) = 1) SELECT * FROM (SELECT row_number() OVER (ORDER BY turn, place, test) AS pick, test, category FROM oo) WHERE pick <= 48""",
     "chip_filter": _A + " SELECT test FROM an WHERE list_has_any(flags, ['changed', 'functional']) AND NOT list_contains(flags, 'shifted')",
     "stats_table": f"""WITH {PM._M}, b AS (SELECT * FROM m WHERE run = 'B'), s AS (SELECT test, count(*) AS n, avg(result) AS mu, stddev_pop(result) AS sd, min(result) AS min, max(result) AS max, max(lo) AS lo, max(hi) AS hi FROM b GROUP BY test),
       p AS (SELECT test, bucket, avg(result) AS mean FROM (SELECT *, ntile(20) OVER (PARTITION BY test ORDER BY result) AS bucket FROM b) GROUP BY ALL), x AS (SELECT *, lead(mean) OVER (PARTITION BY test ORDER BY bucket) AS nx, count(*) OVER (PARTITION BY test) AS k FROM p),
@@ -119,4 +114,3 @@ SQL = {
     "mixed_formats": "SELECT path, list_extract(['pdf', 'docx', 'md', 'pptx', 'xlsx'], CAST((row_number() OVER (ORDER BY path) - 1) % 5 + 1 AS INT)) AS format FROM documents",
     "report_expiry": "WITH e AS (SELECT doc_id, ingested_at + INTERVAL 12 HOUR AS a, ingested_at + INTERVAL 72 HOUR AS b FROM documents) SELECT doc_id, CASE WHEN date_trunc('day', a) = a THEN a ELSE date_trunc('day', a) + INTERVAL 1 DAY END AS keep_0, CASE WHEN date_trunc('day', b) = b THEN b ELSE date_trunc('day', b) + INTERVAL 1 DAY END AS keep_3 FROM e",
 }
-SQL["dashboard_gallery_48"] = SQL["dashboard_gallery"].replace("pick <= 20", "pick <= 48")

@@ -62,16 +62,7 @@ def _vectors(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "embeddings").select(F.col("vec_id").alias("chunk_id"), F.col("embedding").alias("vector"), F.col("label").alias("doc_id"))
 
 
-def _asked_vectors(spark: SparkSession, sf: str) -> DataFrame:
-    return _vectors(spark, sf).where("chunk_id < 5").select(F.col("chunk_id").cast("int").alias("query_id"), "vector")
-
-
 def vector_topk(spark: SparkSession, sf: str) -> DataFrame:
-    """RK05, TK04 for five vectors, as its SQL has them; ``vector_topk_set`` asks the whole set."""
-    return R.top(R.vector_scores(_vectors(spark, sf), _asked_vectors(spark, sf)), 10, (F.desc("sim"), F.col("chunk_id"))).select("query_id", "rank", "chunk_id", "sim")
-
-
-def vector_topk_set(spark: SparkSession, sf: str) -> DataFrame:
     """RK05, TK04: every row whose id is divisible by 50 asks all rows."""
     v = _vectors(spark, sf)
     asked = v.where("chunk_id % 50 = 0").select(F.col("chunk_id").alias("query_id"), "vector")
@@ -79,13 +70,14 @@ def vector_topk_set(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def hybrid_rrf(spark: SparkSession, sf: str) -> DataFrame:
-    """RK06, RK07: words and vectors fused; vector v stands for chunk v + 1 and query q asks with vector q - 1. The five texts are the queries:
-    fusion needs words and a vector of one query, and the tables have no vector of a text, so each text takes one as a stand-in."""
+    """RK06, RK07: words and vectors fused, all queries in one job: vector v stands for chunk v + 1, and every vector whose id is divisible by 50 asks,
+    together with the words of the title of its chunk's document."""
     pool = R.pool_size(10, None, fusion=True)
-    words = R.top(_bm25(spark, sf), pool, (F.desc("score"), F.col("chunk_id")))
-    v = _vectors(spark, sf).withColumn("chunk_id", F.col("chunk_id") + 1)
-    q = _vectors(spark, sf).where("chunk_id < 5").select((F.col("chunk_id") + 1).cast("int").alias("query_id"), "vector")
-    near = R.top(R.vector_scores(v, q), pool, (F.desc("sim"), F.col("chunk_id")))
+    v = _vectors(spark, sf)
+    asked = v.where("chunk_id % 50 = 0").select((F.col("chunk_id") + 1).alias("query_id"), "vector")
+    titles = _chunks(spark, sf).select(F.col("id").alias("query_id"), F.col("document_id").alias("doc_id")).join(table(spark, sf, "documents").where("title IS NOT NULL").select("doc_id", F.col("title").alias("text")), "doc_id")
+    words = R.top(_bm25(spark, sf, False, titles.join(asked.select("query_id"), "query_id", "left_semi").select("query_id", "text")), pool, (F.desc("score"), F.col("chunk_id")))
+    near = R.vector_top(v.withColumn("chunk_id", F.col("chunk_id") + 1), asked, pool)
     return R.top(R.rrf([words, near]), 10, (F.desc("score"), F.col("chunk_id"))).select("query_id", "rank", "chunk_id", "score")
 
 
@@ -150,16 +142,16 @@ _RATE = """f AS (SELECT event_id AS id, user_id AS author, CAST(json_extract_str
 last AS (SELECT author, doc_id, max_by(rating, id) AS rating FROM f WHERE rating IS NOT NULL GROUP BY author, doc_id),
 net AS (SELECT doc_id, CAST(sum(rating) AS BIGINT) AS net, count(*) AS raters FROM last GROUP BY doc_id)"""
 
-QUERIES = {f.__name__: f for f in (bm25_topk, bm25_prefix, bm25_batch, matching_chunks, role_filtered_search, vector_topk, vector_topk_set, hybrid_rrf, federated_rrf, feedback_scores, feedback_rerank, golden_grading)}
+QUERIES = {f.__name__: f for f in (bm25_topk, bm25_prefix, bm25_batch, matching_chunks, role_filtered_search, vector_topk, hybrid_rrf, federated_rrf, feedback_scores, feedback_rerank, golden_grading)}
 SQL = {
     "bm25_topk": _TOPK + " SELECT * FROM k",
     "bm25_prefix": _ranked("(VALUES (1, 'calib tim'), (2, 'prüf'), (3, 're')) AS q(query_id, text)", "(SELECT query_id, qt.term, p.id, sum(tf) AS tf, max(dl) AS dl FROM p JOIN qt ON starts_with(p.term, qt.term) GROUP BY query_id, qt.term, p.id)") + " SELECT query_id, rank, chunk_id, score FROM r WHERE rank <= 10",
     "bm25_batch": _ranked("(SELECT CAST(min(doc_id) AS INT) AS query_id, title AS text FROM documents WHERE title IS NOT NULL GROUP BY title)") + " SELECT query_id, rank, chunk_id, score FROM r WHERE rank <= 3",
     "matching_chunks": f"WITH {_BM}, {_TERMS.replace('ASKED', ASKED_SQL)} SELECT query_id, id AS chunk_id, count(*) AS terms FROM p JOIN qt USING (term) GROUP BY ALL",
     "role_filtered_search": f"WITH {_BM}, {_TERMS.replace('ASKED', ASKED_SQL)}, h AS (SELECT * FROM p JOIN qt USING (term)), {_SCORE.replace('s AS', 's0 AS', 1)}, s AS (SELECT s0.* FROM s0 JOIN c ON c.id = chunk_id JOIN documents d ON d.doc_id = document_id WHERE lower(trim(coalesce(lang, ''))) IN ('en', 'fr')), {_RANKED} SELECT query_id, rank, chunk_id, score FROM r WHERE rank <= 5",
-    "vector_topk": f"WITH s AS (SELECT CAST(b.vec_id AS INT) AS query_id, a.vec_id AS chunk_id, {_COS} AS sim FROM embeddings a, embeddings b WHERE b.vec_id < 5) SELECT * FROM (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY sim DESC, chunk_id) AS rank, chunk_id, sim FROM s) WHERE rank <= 10",
-    "vector_topk_set": f"WITH s AS (SELECT b.vec_id AS query_id, a.vec_id AS chunk_id, {_COS} AS sim FROM embeddings a, embeddings b WHERE b.vec_id % 50 = 0) SELECT * FROM (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY sim DESC, chunk_id) AS rank, chunk_id, sim FROM s) WHERE rank <= 10",
-    "hybrid_rrf": _ranked() + f""", v AS (SELECT CAST(b.vec_id + 1 AS INT) AS query_id, a.vec_id + 1 AS chunk_id, {_COS} AS sim FROM embeddings a, embeddings b WHERE b.vec_id < 5),
+    "vector_topk": f"WITH s AS (SELECT b.vec_id AS query_id, a.vec_id AS chunk_id, {_COS} AS sim FROM embeddings a, embeddings b WHERE b.vec_id % 50 = 0) SELECT * FROM (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY sim DESC, chunk_id) AS rank, chunk_id, sim FROM s) WHERE rank <= 10",
+    "hybrid_rrf": _ranked("(SELECT id AS query_id, title AS text FROM c JOIN documents d ON d.doc_id = c.document_id JOIN embeddings ON vec_id + 1 = id WHERE vec_id % 50 = 0 AND title IS NOT NULL)")
+    + f""", v AS (SELECT b.vec_id + 1 AS query_id, a.vec_id + 1 AS chunk_id, {_COS} AS sim FROM embeddings a, embeddings b WHERE b.vec_id % 50 = 0),
       vr AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY sim DESC, chunk_id) AS rank FROM v),
       u AS (SELECT query_id, chunk_id, rank FROM r WHERE rank <= 40 UNION ALL SELECT query_id, chunk_id, rank FROM vr WHERE rank <= 40),
       g AS (SELECT query_id, chunk_id, round(sum(1.0::DOUBLE / (60 + rank)), 9) AS score FROM u GROUP BY ALL)

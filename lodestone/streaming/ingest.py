@@ -1,4 +1,4 @@
-"""Streams: files ingested once by content, maintenance, and a windowed yield (the last isn't in the reference)."""
+"""Streams: files ingested once by content, maintenance, and a windowed yield (the last beyond the survey)."""
 
 from __future__ import annotations
 
@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from lodestone.operators.conditions import RULES
+
 
 def ingest(spark: SparkSession, folder: str, known: Callable[[], DataFrame], sink: Callable[[DataFrame], None], checkpoint: str) -> StreamingQuery:
     """ST01: new files of a folder whose (path, hash) isn't known go to ``sink``; the checkpoint and the known table make a repeat harmless."""
@@ -59,16 +61,14 @@ def progress_to(report: Callable[[str, int, int], None]):
     return Progress()
 
 
-def sticky_stream(records: DataFrame, part_scope: bool = True) -> DataFrame:
+def sticky_stream(records: DataFrame, part_scope: bool = True, rules: tuple[tuple[str, str], ...] = RULES) -> DataFrame:
     """ST03: the conditions in force at each test of a stream of records(run, ord, rec_type, text), as "K=V,..."; the state of a run is its condition map.
     Records of a run must arrive in order over batches; within a batch they are put in order. The table version is operators.conditions."""
     import re
 
     import pandas as pd
 
-    from lodestone.operators.conditions import CLEAR_RULE, SET_RULE
-
-    clear, put = re.compile(CLEAR_RULE), re.compile(SET_RULE)
+    compiled = [(re.compile(pattern), action) for pattern, action in rules]
 
     def step(key, frames, state):
         cond = dict(zip(*state.get)) if state.exists else {}
@@ -76,11 +76,11 @@ def sticky_stream(records: DataFrame, part_scope: bool = True) -> DataFrame:
         out = []
         for r in rows.itertuples(index=False):
             if r.rec_type == "DTR" and isinstance(r.text, str):
-                m = clear.match(r.text)
-                if m:
-                    names = [n.strip() for n in m[1].split(",")]
-                    cond = {} if names in ([""], ["*"]) else {k: v for k, v in cond.items() if k not in names}
-                elif m := put.match(r.text):
+                m, action = next(((m, a) for rx, a in compiled if (m := rx.match(r.text))), (None, None))
+                if action == "clear":
+                    key_ = m[1].strip()
+                    cond = {} if key_ in ("", "*") else {k: v for k, v in cond.items() if k != key_}
+                elif action == "set":
                     for pair in m[1].split(","):
                         k, eq, v = pair.partition("=")
                         if eq and k.strip():

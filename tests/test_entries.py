@@ -44,10 +44,10 @@ def test_conversions(spark):
 
 
 def test_selectors(spark):
-    page = "<body><nav>a b c</nav><main class='doc'>" + "long text " * 20 + "</main><div class='cookie-bar x'>ok</div></body>"
+    page = "<body><nav>a b c</nav><main class='doc'>" + "long text " * 20 + "</main><div class='side-menu x'>ok</div></body>"
     df = spark.createDataFrame([(page,)] * 9 + [("<p>bare</p>",), (None,)], "html string")
     got = {r["selector"]: r["proposed"] for r in E.propose_selectors(df).collect()}
-    assert got["main"] and got["nav"] and got[".cookie-bar"]
+    assert got["main"] and got["nav"] and got[".side-menu"]
 
 
 def test_streams(spark, tmp_path):
@@ -70,11 +70,11 @@ def test_streams(spark, tmp_path):
     spark.streams.removeListener(listener)
 
 
-def test_value_sample_plot_keeps_20000_of_a_test(spark, tmp_path):
+def test_value_sample_keeps_20000_of_a_test(spark, tmp_path):
     from lodestone.plans import entries as PE
 
     n = F.when(F.col("id") < 20_003, F.lit(1)).otherwise(F.lit(2))
     li = spark.range(20_303).select(n.cast("bigint").alias("l_partkey"), F.col("id").cast("double").alias("l_extendedprice"), F.lit(1).alias("l_linenumber"), F.col("id").alias("l_orderkey"), F.to_date(F.lit("1998-01-01")).alias("l_shipdate"), F.lit(0.01).alias("l_discount"))
     li.write.parquet(f"{tmp_path}/lineitem.parquet")
-    got = {r["test"]: (r["n"], r["last"]) for r in PE.value_sample_plot(spark, str(tmp_path)).groupBy("test").agg(F.count("*").alias("n"), F.max("result").alias("last")).collect()}
+    got = {r["test"]: (r["n"], r["last"]) for r in PE.value_sample(spark, str(tmp_path)).groupBy("test").agg(F.count("*").alias("n"), F.max("result").alias("last")).collect()}
     assert got == {1: (20_000, 19_999.0), 2: (300, 20_302.0)}
