@@ -24,11 +24,11 @@ def html_chunks(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def code_symbols(spark: SparkSession, sf: str) -> DataFrame:
-    """SRC31, SRC33, SNK20: symbols of all code chunks by their document's language."""
+    """SRC31, SRC33, SNK20: symbols of all code chunks by their document's language, or by what the text looks like."""
     d = table(spark, sf, "documents").select(F.col("doc_id").alias("document_id"), code.language(F.col("path")).alias("language"))
     c = table(spark, sf, "chunks").where("kind IN ('code', 'function')").dropDuplicates(["id"]).join(d, "document_id", "left")
-    guess = F.when(F.col("text").rlike(r"(?m)^def "), "python").otherwise("c")
-    return code.parse_symbols(c.select(F.col("id").alias("key"), F.coalesce(F.when(F.col("language").isin("python", "c"), F.col("language")), guess).alias("language"), "text"))
+    guess = F.when(F.col("text").rlike(r"(?m)^(def|class) .*:$"), "python").when(F.col("text").rlike(r"(?mi)^\s*end (sub|function)\b"), "vba").otherwise("c")
+    return code.parse_symbols(c.select(F.col("id").alias("key"), F.coalesce("language", guess).alias("language"), "text"))
 
 
 def style_guide(spark: SparkSession, sf: str) -> DataFrame:

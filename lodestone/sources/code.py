@@ -1,8 +1,9 @@
-"""Source code to symbols: Python by its own grammar, VBA and brace languages by lines; style statistics."""
+"""Source code to symbols: Python by its own grammar, VBA by lines, eight brace languages by scopes; style statistics."""
 
 from __future__ import annotations
 
 import ast
+import bisect
 import re
 from collections.abc import Iterator
 
@@ -63,27 +64,129 @@ def vba_symbols(text: str) -> list[tuple]:
     return out
 
 
-_BRACE = re.compile(r"^(?:[A-Za-z_][\w:<>,*&\[\] ]*?[ *&])?([A-Za-z_]\w*)\s*\(([^;{}]*)\)\s*(?:const\s*)?(?:->\s*[^{]+)?\{", re.M)
-_WORDS = {"if", "for", "while", "switch", "return", "catch", "else", "sizeof"}
+# The kinds of each brace language.
+KINDS = {
+    "javascript": ("function", "class", "method"), "typescript": ("function", "class", "method", "interface", "enum"), "go": ("function", "method", "type"), "rust": ("function", "method", "struct", "enum", "trait"),
+    "java": ("class", "interface", "enum", "method"), "c": ("function", "struct", "enum", "type"), "cpp": ("function", "method", "class", "struct", "enum", "namespace"),
+    "csharp": ("class", "interface", "struct", "enum", "method", "property", "namespace"),
+}
+_SAME = {"union": "struct", "record": "class"}
+_HIDDEN = {lang: re.compile(r"//[^\n]*|/\*.*?(?:\*/|\Z)|\"(?:\\.|[^\"\\\n])*\"|" + (r"'(?:\\.|[^'\\\n])'" if lang == "rust" else r"'(?:\\.|[^'\\\n])*'") + (r"|`(?:\\.|[^`\\])*`" if lang in ("javascript", "typescript", "go") else "") + (r"|^[ \t]*#[^\n]*" if lang in ("c", "cpp", "csharp") else ""), re.S | re.M) for lang in KINDS}
+_TYPE = re.compile(r"\b(class|struct|union|interface|trait|enum|namespace|record)\s+(?:class\s+|struct\s+)?(?:\w+\s+final\s+)?([A-Za-z_][\w.:]*)(?:\s*<[^{}]*?>)?(?:\s*\([^{}]*\))?([^;{}()=]*)\Z", re.S)
+_FUNCTION = {
+    "javascript": re.compile(r"\bfunction\s*\*?\s*([A-Za-z_$][\w$]*)\s*(?:<[^{}]*>)?\([^{}]*\Z", re.S),
+    "go": re.compile(r"\bfunc\s+(\([^()]*\)\s*)?([A-Za-z_]\w*)\s*(?:\[[^\]{}]*\]\s*)?\([^{}]*\Z", re.S),
+    "rust": re.compile(r"\bfn\s+([A-Za-z_]\w*)[^{};]*\Z", re.S),
+    "c": re.compile(r"(~?[A-Za-z_][\w:~]*)\s*\((?:[^;{}()]|\([^;{}()]*\))*\)\s*(?:(?:const|noexcept|override|final|volatile)\b\s*|throws\s+[\w., ]+|->[^{};]*|:[^{};]*|where\s[^{};]*)*\Z", re.S),
+}
+_FUNCTION["typescript"] = _FUNCTION["javascript"]
+_FUNCTION["cpp"] = _FUNCTION["java"] = _FUNCTION["csharp"] = _FUNCTION["c"]
+_METHOD = re.compile(r"(?:^|[\s}])(?:(?:public|private|protected|static|async|readonly|override|abstract|get|set)\s+|\*\s*)*(#?[A-Za-z_$][\w$]*)\s*(?:<[^{}]*>)?\((?:[^;{}()]|\([^;{}()]*\))*\)\s*(?::[^{};=]*)?\Z", re.S)
+_GO_TYPE = re.compile(r"^[ \t]*type\s+([A-Za-z_]\w*)\b(?!\s*\()[^\n{};]*\Z", re.M)
+_NO_NAME = {"if", "for", "while", "switch", "return", "catch", "else", "sizeof", "foreach", "using", "lock", "synchronized", "do", "try", "new", "throw", "with", "match", "loop", "function", "super", "this"}
+
+
+def _head(lang: str, head: str, scope: str | None, body: str) -> tuple[str, str, int] | None:
+    """(kind, name, where the name lies in the head) of what a head in front of a brace declares."""
+    within = scope in ("class", "struct", "interface", "trait", "enum")
+    if lang == "go":
+        if m := _GO_TYPE.search(head):
+            return "type", m[1], m.start(1)
+    elif (m := _TYPE.search(head)) and not (lang == "c" and "(" in m[3]):
+        kind = _SAME.get(m[1], m[1])
+        if kind in KINDS[lang] and scope != "function":
+            return kind, m[2].replace("::", "."), m.start(2)
+    m = _FUNCTION[lang].search(head)
+    if m and lang == "go":
+        return ("method" if m[1] else "function"), m[2], m.start(2)
+    if m and lang in ("javascript", "typescript", "rust"):
+        return ("method" if within else "function"), m[1], m.start(1)
+    if lang in ("javascript", "typescript"):
+        m = _METHOD.search(head) if scope == "class" else None
+        return ("method", m[1], m.start(1)) if m and m[1] not in _NO_NAME else None
+    if m and lang in ("c", "cpp", "java", "csharp") and scope not in ("function", "method", "property", "other"):
+        name = m[1].split("::")[-1]
+        before = head[: m.start(1)].rstrip()
+        if name not in _NO_NAME and not before.endswith((".", "=", "new", ",", "(")) and (lang in ("c", "cpp") or within):
+            return ("method" if within or lang in ("java", "csharp") else "function"), m[1].replace("::", "."), m.start(1)
+    if lang == "csharp" and within and (m := re.search(r"[\w>\]?]\s+([A-Za-z_]\w*)\s*\Z", head)) and re.match(r"\s*(?:\w+\s+)?(?:get|set|init)\b", body):
+        return "property", m[1], m.start(1)
+    return None
+
+
+def _bodyless(lang: str, head: str, scope: str | None) -> tuple[str, str, int] | None:
+    """What a statement without braces declares: methods of interfaces, expression bodies, unit structs, aliases, a namespace of a file."""
+    within = scope in ("class", "struct", "interface", "enum")
+    if lang == "rust" and (m := re.search(r"\b(struct)\s+([A-Za-z_]\w*)", head)):
+        return "struct", m[2], m.start(2)
+    if lang == "c" and (m := re.search(r"\btypedef\b.*?(?:\(\s*\*\s*(\w+)\s*\)\s*\([^;]*\)|([A-Za-z_]\w*)\s*(?:\[[^\]]*\]\s*)*)\Z", head, re.S)):
+        return "type", m[1] or m[2], m.start(1) if m[1] else m.start(2)
+    if lang == "csharp" and (m := re.match(r"\s*namespace\s+([\w.]+)\s*\Z", head)):
+        return "namespace", m[1], m.start(1)
+    if lang in ("java", "csharp") and within:
+        call, arrow, _ = head.partition("=>")
+        if "=" not in call and (m := re.search(r"[\w>\]?]\s+([A-Za-z_]\w*)\s*(?:<[^<>]*>)?\((?:[^()]|\([^()]*\))*\)\s*(?:throws\s+[\w., ]+)?\Z", call, re.S)):
+            return "method", m[1], m.start(1)
+        if lang == "csharp" and arrow and (m := re.search(r"[\w>\]?]\s+([A-Za-z_]\w*)\s*\Z", call)):
+            return "property", m[1], m.start(1)
+    return None
 
 
 def brace_symbols(text: str, lang: str) -> list[tuple]:
-    """Functions of brace languages by their heads; the end is the matching brace."""
-    out = []
-    for m in _BRACE.finditer(text):
-        if m[1] in _WORDS:
-            continue
-        depth, at = 0, m.end() - 1
-        while at < len(text):
-            depth += (text[at] == "{") - (text[at] == "}")
-            if not depth:
-                break
-            at += 1
-        above = re.search(r"((?:^[ \t]*//[^\n]*\n)+)\Z", text[: m.start()], re.M)
-        doc = re.sub(r"(?m)^\s*//\s?", "", above[1]).strip() if above else None
-        start = text.count("\n", 0, m.start()) + 1
-        out.append((lang, "function", m[1], m[1], " ".join(m[0].rstrip("{").split()), doc, start, text.count("\n", 0, at) + 1))
-    return out
+    """Symbols of a brace language: comments and strings are blanked, each brace opens a scope that the head before it names. An open
+    scope ends with the text. The docstring is the comment right above."""
+    if lang not in KINDS:
+        return []
+    blank = _HIDDEN[lang].sub(lambda m: re.sub(r"[^\n]", " ", m[0]), text)
+    lines = [0, *(m.end() for m in re.finditer("\n", text))]
+    line = lambda at: bisect.bisect_right(lines, at)
+    out: list[list] = []
+    scopes: list[tuple[str, str, int]] = []  # kind, qualified name, number of its symbol or -1
+    last, typedef = 0, False
+
+    def declare(found: tuple[str, str, int], begin: int, end: int) -> tuple[str, str, int]:
+        kind, name, at = found
+        start = max(begin + len(blank[begin:end]) - len(blank[begin:end].lstrip()), lines[line(begin + at) - 1])
+        above = text[: lines[line(start) - 1]]
+        note = re.search(r"(?:^[ \t]*//[^\n]*\n)+\Z|/\*(?:(?!\*/).)*\*/[ \t]*\n\Z", above, re.M | re.S)
+        doc = "\n".join(x for x in (re.sub(r"^\s*(?:/{2,}!?|/\*+|\*+/|\*)?\s?|\s*\*+/\s*$", "", part).strip() for part in note[0].splitlines()) if x) if note else None
+        parent = scopes[-1][1] if scopes else ""
+        out.append([lang, kind, name.split(".")[-1] if kind != "namespace" else name, f"{parent}.{name}" if parent else name, " ".join(text[start:end].split()), doc or None, line(start), line(end)])
+        return kind, out[-1][3], len(out) - 1
+
+    for m in re.finditer("[{};]", blank):
+        at = m.start()
+        head = blank[last:at]
+        scope = scopes[-1][0] if scopes else None
+        if lang == "go":  # an alias has neither brace nor semicolon
+            *done, head_line = head.split("\n")
+            base = last
+            for part in done:
+                if scope is None and (g := _GO_TYPE.search(part)):
+                    declare(("type", g[1], g.start(1)), base, base + len(part))
+                base += len(part) + 1
+        if m[0] == "{":
+            found = _head(lang, head, scope, blank[at + 1 : at + 80])
+            if found:
+                scopes.append(declare(found, last, at))
+            else:  # blocks of a function and of unnamed things; what stands in an impl or extern block stands where the block does
+                inner = scope if scope is None or re.search(r"\b(?:impl|extern|mod)\b", head) else "other"
+                scopes.append((inner or ("other" if lang not in ("rust", "c", "cpp") or re.search(r"[=)]\s*\Z", head) else None), scopes[-1][1] if scopes else "", -1))
+        elif m[0] == "}":
+            if scopes:
+                number = scopes.pop()[2]
+                if number >= 0:
+                    out[number][7] = line(at)
+        elif not typedef and (found := _bodyless(lang, head, scope)):
+            declare(found, last, at)
+        elif typedef and not scopes and (g := re.search(r"([A-Za-z_]\w*)\s*\Z", head)):
+            declare(("type", g[1], g.start(1)), last, at)
+        if m[0] == "{" and lang == "c" and re.match(r"\s*typedef\b", head):
+            typedef = True
+        elif m[0] == ";" and not scopes:
+            typedef = False
+        last = at + 1
+    return [tuple(x) for x in out]
 
 
 def symbols_of(text: str, lang: str | None) -> list[tuple]:

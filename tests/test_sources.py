@@ -191,3 +191,34 @@ def test_stream(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert sorted((r["n"], r["good"]) for r in spark.table("y").collect()) == [(1, 1), (2, 1)]
+
+
+SOURCES = {
+    "c":"// does it\nstatic int f(int a) {\n  if (a) { return 1; }\n  return 0;\n}\nstruct P { int x; };\ntypedef struct { int a; } Q;\ntypedef int num;\nenum E { A, B };\nint g(void);\nstruct P h(struct P p) {\n  return p;\n}\nstatic int t[] = { 1, 2 };\n",
+    "cpp":"namespace n {\n/* Doc. */\nclass A : public B {\n public:\n  A() : x(1) {}\n  int m() const { for (;;) { } return 1; }\n};\nint A::z(int q) {\n  auto l = [](int a) { return a; };\n  return 0;\n}\nenum class C : int { X };\n}\n",
+    "java":"package p;\n/** Doc. */\npublic class A<T> extends B {\n  @Override\n  public int m(int a) throws E {\n    if (a > 1) { x(); }\n    Runnable r = new Runnable() { public void run() { } };\n    return 1;\n  }\n  A(int x) { }\n  abstract void q();\n  enum K { ONE, TWO }\n}\ninterface I { void go(int a); }\n",
+    "csharp":"namespace N.M;\npublic class A {\n  public int P { get; set; }\n  public string S => \"x;{\";\n  /// Adds.\n  public int Add(int a, int b) => a + b;\n  ~A() { }\n  void V<T>() where T : class { }\n}\npublic record R(int X);\nstruct T { }\n",
+    "javascript":"// one\nfunction f(a) { return () => { g(); } }\nclass A extends B {\n  constructor(x) { super(x) }\n  async go() { if (x) { } }\n  static *gen() { }\n}\nfunction* h() { }\nconst k = (a) => { return a }\n",
+    "typescript":"export interface I { a: number; }\nexport abstract class A<T> implements I {\n  private run(a: string): number { return 1 }\n}\nenum E { X }\nexport function f<T>(a: T): Promise<T> { return a }\n",
+    "go":"package m\n// T is.\ntype T struct {\n  a int\n}\ntype N int\ntype I interface {\n  Do()\n}\nfunc F(a int) (int, error) {\n  if a > 1 {\n    return 1, nil\n  }\n  return 0, nil\n}\nfunc (t *T) M() { }\n",
+    "rust":"/// Doc\npub struct A { x: i32 }\nstruct U;\nenum E { X(i32) }\ntrait T { fn a(&self); fn b(&self) -> i32 { 1 } }\nimpl T for A {\n  fn a(&self) { let c = '{'; match x { _ => {} } }\n}\npub fn f<'a>(x: &'a str) -> &'a str where X: Y { x }\n",
+}
+WANTED = {
+    "c": "function f 2 5, struct P 6 6, type Q 7 7, type num 8 8, enum E 9 9, function h 11 13",
+    "cpp": "namespace n 1 13, class n.A 3 7, method n.A.A 5 5, method n.A.m 6 6, function n.A.z 8 11, enum n.C 12 12",
+    "java": "class A 3 13, method A.m 5 9, method A.A 10 10, method A.q 11 11, enum A.K 12 12, interface I 14 14, method I.go 14 14",
+    "csharp": "namespace N.M 1 1, class A 2 9, property A.P 3 3, property A.S 4 4, method A.Add 6 6, method A.~A 7 7, struct T 11 11",
+    "javascript": "function f 2 2, class A 3 7, method A.constructor 4 4, method A.go 5 5, method A.gen 6 6, function h 8 8",
+    "typescript": "interface I 1 1, class A 2 4, method A.run 3 3, enum E 5 5, function f 6 6",
+    "go": "type T 3 5, type N 6 6, type I 7 9, function F 10 15, method M 16 16",
+    "rust": "struct A 2 2, struct U 3 3, enum E 4 4, trait T 5 5, method T.b 5 5, function a 7 7, function f 9 9",
+}
+
+
+@pytest.mark.parametrize("lang", sorted(SOURCES))
+def test_symbols_of_brace_languages(lang):
+    got = ", ".join(f"{s[1]} {s[3]} {s[6]} {s[7]}" for s in code.brace_symbols(SOURCES[lang], lang))
+    assert got == WANTED[lang]
+    for cut in range(0, len(SOURCES[lang]), 7):  # broken source gives what can be told, without failing
+        code.brace_symbols(SOURCES[lang][:cut], lang)
+    assert code.brace_symbols("", lang) == []
