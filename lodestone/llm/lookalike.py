@@ -10,30 +10,48 @@ nothing, texts that are equal as stored are no pair.
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lodestone.llm.pairs import expand
 from lodestone.session import cut, ship, table
 
-# Letters that share their glyph with a Latin letter, in pairs.
-CYRILLIC = "АA ВB ЕE КK МM НH ОO РP СC ТT ХX ЅS ІI ЈJ ԚQ ԜW ЁË ЇÏ аa еe оo рp сc уy хx ѕs іi јj һh ԁd ԛq ԝw ӏl ёë їï"
-GREEK = "ΑA ΒB ΕE ΖZ ΗH ΙI ΚK ΜM ΝN ΟO ΡP ΤT ΥY ΧX οo ϲc ϳj ϹC"
-ROMAN = "ⅠI ⅤV ⅩX ⅬL ⅭC ⅮD ⅯM ⅰi ⅴv ⅹx ⅼl ⅽc ⅾd ⅿm"
-OTHER = "μµ ‐- ‑- ․. ‧· ⋅· ・· օo ſs"
-LIGATURES = {"ﬀ": "ff", "ﬁ": "fi", "ﬂ": "fl", "ﬃ": "ffi", "ﬄ": "ffl", "ﬆ": "st", "℃": "°C", "℉": "°F"}
-BLANKS = "\t\x0b\x0c\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u202f\u205f\u3000"
+# Letters that share their glyph with another, in pairs.
+CYRILLIC = "АA ВB ЕE КK МM НH ОO РP СC ТT ХX ЅS ІI ЈJ ԚQ ԜW ѴV ҮY ӀI ЁË ЇÏ аa еe оo рp сc уy хx ѕs іi јj һh ԁd ԛq ԝw ѵv ӏl ёë їï ӕæ ӔÆ әə ӘƏ"
+GREEK = "ΑA ΒB ΕE ΖZ ΗH ΙI ΚK ΜM ΝN ΟO ΡP ΤT ΥY ΧX ϜF ͿJ οo ϲc ϳj ϹC"
+CHEROKEE = "ᎪA ᏴB ᏟC ᎠD ᎬE ᏀG ᎻH ᎫJ ᏦK ᏞL ᎷM ᏢP ᎡR ᏚS ᎢT ᏙV ᏔW ᏃZ"
+OTHER = "μµ ‐- ‑- ․. ‧· ⋅· ・· ꞏ· օo ՕO ſs ɡg ǃ! ꞉: ։: ∶: ∕/ ⁄/ ʼ’"
+LIGATURES = {"ﬀ": "ff", "ﬁ": "fi", "ﬂ": "fl", "ﬃ": "ffi", "ﬄ": "ffl", "ﬅ": "st", "ﬆ": "st", "℃": "°C", "℉": "°F", "ŀ": "l·", "Ŀ": "L·"}
+BLANKS = "\t\x0b\x0c\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u202f\u205f\u2800\u3000\u3164\uffa0"
+BREAKS = "\r\u2028\u2029"
+#: Ranges of code points whose compatibility decomposition looks the same: digraphs, Roman numerals, radicals, wide and narrow forms.
+SAME_LOOK = ((0x132, 0x134), (0x1C4, 0x1CD), (0x1F1, 0x1F4), (0x2160, 0x2180), (0x2F00, 0x2FD6), (0xFB13, 0xFB18), (0xFF01, 0xFFA0), (0xFFA1, 0xFFDD), (0xFFE0, 0xFFE7))
+
+
+def decomposed() -> dict[str, str]:
+    """The characters of SAME_LOOK and what they stand for. A macron as a character of its own has a blank in its decomposition and is left."""
+    out = {}
+    for first, after in SAME_LOOK:
+        for c in map(chr, range(first, after)):
+            plain = unicodedata.normalize("NFKC", c)
+            if plain != c and " " not in plain:
+                out[c] = plain
+    return out
+
+
 #: Code points without ink, as ranges of a character class.
 INKLESS = r"\x{00}-\x{08}\x{0E}-\x{1F}\x{7F}-\x{84}\x{86}-\x{9F}\x{AD}\x{34F}\x{61C}\x{115F}\x{1160}\x{17B4}\x{17B5}\x{180B}-\x{180F}\x{200B}-\x{200F}\x{202A}-\x{202E}\x{2060}-\x{206F}\x{FE00}-\x{FE0F}\x{FEFF}\x{FFF9}-\x{FFFB}\x{E0000}-\x{E0FFF}"
 
 
 def mapping() -> tuple[str, str]:
     """The two sides of translate(): from and to, of equal length."""
-    pairs = [(p[0], p[1]) for group in (CYRILLIC, GREEK, ROMAN, OTHER) for p in group.split()]
-    pairs += [(chr(c), chr(c - 0xFEE0)) for c in range(0xFF01, 0xFF5F)]  # full-width forms of ! to ~
-    pairs += [(b, " ") for b in BLANKS]
+    pairs = [(p[0], p[1]) for group in (CYRILLIC, GREEK, CHEROKEE, OTHER) for p in group.split()]
+    pairs += [(c, plain) for c, plain in decomposed().items() if len(plain) == 1]
+    pairs += [(b, " ") for b in BLANKS] + [(b, "\n") for b in BREAKS]
     return "".join(a for a, _ in pairs), "".join(b for _, b in pairs)
 
 
@@ -42,15 +60,16 @@ def _quoted(text: str) -> str:
 
 
 def form_sql(column: str) -> str:
-    """The SQL expression of the form; plain ASCII skips all but the blanks."""
+    """The SQL expression of the form. What is to be replaced is looked for first, and plain ASCII skips all but the blanks."""
     a, b = map(_quoted, mapping())
-    x = f"regexp_replace(replace({column}, chr(13) || chr(10), chr(10)), '[{INKLESS}]', '', 'g')"
-    x = f"translate(nfc_normalize({x}), {a}, {b})"
-    for lig, plain in LIGATURES.items():
-        x = f"replace({x}, '{lig}', '{plain}')"
-    plain = f"translate(regexp_replace(replace({column}, chr(13) || chr(10), chr(10)), '[{INKLESS}]', '', 'g'), chr(9) || chr(11) || chr(12), '   ')"
-    x = f"CASE WHEN strlen({column}) = length({column}) THEN {plain} ELSE nfc_normalize({x}) END"
-    x = f"replace(replace(replace({x}, chr(8232), chr(10)), chr(8233), chr(10)), chr(13), chr(10))"
+    long = LIGATURES | {c: plain for c, plain in decomposed().items() if len(plain) > 1}
+    inked = f"regexp_replace(replace({column}, chr(13) || chr(10), chr(10)), '[{INKLESS}]', '', 'g')"
+    y = f"translate(nfc_normalize({inked}), {a}, {b})"
+    for one, several in long.items():
+        y = f"replace({y}, '{one}', {_quoted(several)})"
+    touched = "".join(chr(c) for c in sorted({*map(ord, mapping()[0]), *map(ord, long)}) if c > 127)
+    x = f"CASE WHEN regexp_matches({column}, '[{''.join(long)}]') THEN nfc_normalize({y}) WHEN regexp_matches({column}, '[{touched}\\t\\x0b\\x0c\\r]') THEN nfc_normalize(translate(nfc_normalize({inked}), {a}, {b})) ELSE nfc_normalize({inked}) END"
+    x = f"CASE WHEN strlen({column}) = length({column}) THEN translate({inked}, chr(9) || chr(11) || chr(12) || chr(13), '   ' || chr(10)) ELSE {x} END"
     return f"rtrim(CASE WHEN contains({x}, ' ' || chr(10)) THEN regexp_replace({x}, ' +\\n', chr(10), 'g') ELSE {x} END, ' ')"
 
 
@@ -86,13 +105,16 @@ def form_hashes(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataF
 
 
 def lookalike_pairs(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_a < doc_b whose texts differ as stored and share one form. Groups of equal copies alone never reach the join:
-    a form takes part only if it has two or more stored texts, found by a count with partial aggregation."""
-    hashes = cut(form_hashes(df, key, text))  # read three times below
+    """doc_a < doc_b whose texts differ as stored and share one form. A form takes part only if it has two or more stored texts, found by a
+    count with partial aggregation; different texts meet once, and are spread to their documents in parts of bounded size."""
+    hashes = cut(form_hashes(df, key, text))  # read several times below
     mixed = hashes.groupBy("form").agg((F.min("raw") != F.max("raw")).alias("mixed")).where("mixed").select("form")
     of = hashes.join(mixed, "form", "left_semi")
-    a, b = (of.select("form", F.col("raw").alias(f"raw_{x}"), F.col(key).alias(f"doc_{x}")) for x in "ab")
-    return a.join(b, "form").where("raw_a <> raw_b AND doc_a < doc_b").select("doc_a", "doc_b").distinct()
+    texts = of.select("form", "raw").distinct()  # copies are one here
+    a, b = (texts.select("form", F.col("raw").alias(f"raw_{x}")) for x in "ab")
+    pairs = a.join(b, "form").where("raw_a < raw_b").select("raw_a", "raw_b")
+    every = expand(of.select("raw", key).distinct(), pairs, ["raw"], [key])
+    return every.select(F.least(f"{key}_a", f"{key}_b").alias("doc_a"), F.greatest(f"{key}_a", f"{key}_b").alias("doc_b")).where("doc_a < doc_b").distinct()
 
 
 def p9_found(spark: SparkSession, sf: str) -> DataFrame:

@@ -30,6 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lodestone.llm.pairs import expand
 from lodestone.llm.shingles import shingles, words
 from lodestone.session import cut, ship, table
 
@@ -294,11 +295,15 @@ def _body(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def pairs_of(members: DataFrame, pairs: DataFrame) -> DataFrame:
-    """chunk_a < chunk_b of different groups and different texts, with their similarity."""
-    mixed = members.groupBy("class").agg((F.min("text_hash") != F.max("text_hash")).alias("mixed")).where("mixed")
-    own = mixed.select(F.col("class").alias("class_a"), F.col("class").alias("class_b"), F.lit(1.0).alias("similarity"))
-    a, b = (members.select(F.col("id").alias(f"id_{x}"), F.col("grp").alias(f"grp_{x}"), F.col("text_hash").alias(f"th_{x}"), F.col("class").alias(f"class_{x}")) for x in "ab")
-    every = pairs.unionByName(own).join(a, "class_a").join(b, "class_b").where("th_a <> th_b AND grp_a <> grp_b")
+    """chunk_a < chunk_b of different groups and different texts, with their similarity. Texts meet once, and are spread to their chunks in parts of bounded size."""
+    texts = members.select("class", "text_hash").distinct()
+    mixed = texts.groupBy("class").agg(F.count("*").alias("k")).where("k > 1").select("class")
+    a, b = (texts.select(F.col("class").alias(f"class_{x}"), F.col("text_hash").alias(f"text_hash_{x}")) for x in "ab")
+    own = a.join(mixed.select(F.col("class").alias("class_a")), "class_a", "left_semi").join(b.withColumnRenamed("class_b", "class_a"), "class_a").where("text_hash_a < text_hash_b")
+    own = own.select("class_a", "text_hash_a", F.col("class_a").alias("class_b"), "text_hash_b", F.lit(1.0).alias("similarity"))
+    other = pairs.join(a, "class_a").join(b, "class_b").where("text_hash_a <> text_hash_b").select("class_a", "text_hash_a", "class_b", "text_hash_b", "similarity")
+    found = cut(other.unionByName(own))
+    every = expand(members.select("class", "text_hash", "id", "grp"), found, ["class", "text_hash"], ["id", "grp"]).where("grp_a <> grp_b")
     return every.select(F.least("id_a", "id_b").alias("chunk_a"), F.greatest("id_a", "id_b").alias("chunk_b"), "similarity").dropDuplicates(["chunk_a", "chunk_b"])
 
 

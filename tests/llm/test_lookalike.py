@@ -2,8 +2,8 @@ import pytest
 
 from lodestone.llm import lookalike as L
 
-SAME = [("Ｆｕｌｌ　ｗｉｄｔｈ！", "Full width!"), ("café", "café"), ("a​b­c﻿", "abc"), ("a b c", "a b c"), ("Рау сосоа", "Pay cocoa"), ("ﬁx ﬂy", "fix fly"), ("5 kΩ", "5 kΩ"), ("3 µA", "3 μA"), ("20 ℃", "20 °C"), ("end  \nx", "end\nx"), ("a\r\nb", "a\nb"), ("е́té", "été")]
-DIFFERENT = [("Case", "case"), ("m²", "m2"), ("a–b", "a-b"), ("resume", "résumé"), ("a  b", "a b"), ("a\nb", "a b"), ("x1", "x2"), ("ß", "ss")]
+SAME = [("Ｆｕｌｌ　ｗｉｄｔｈ！", "Full width!"), ("café", "café"), ("a​b­c﻿", "abc"), ("a b c", "a b c"), ("Рау сосоа", "Pay cocoa"), ("ﬁx ﬂy", "fix fly"), ("5 kΩ", "5 kΩ"), ("3 µA", "3 μA"), ("20 ℃", "20 °C"), ("end  \nx", "end\nx"), ("a\r\nb", "a\nb"), ("е́té", "été"), ("￡5 ￥", "£5 ¥"), ("Ⅱ Ⅻ ⅳ", "II XII iv"), ("faﬅ", "fast"), ("ĳs", "ijs"), ("a⠀bㅤc", "a b c"), ("ѵ Ѵ ɡ Ꭺ", "v V g A"), ("x\u2028y", "x\ny"), ("ｶﾞ", "ガ"), ("na\u0308h", "näh"), ("ë", "ё"), ("a\tb ü", "a b ü")]
+DIFFERENT = [("Case", "case"), ("m²", "m2"), ("a–b", "a-b"), ("resume", "résumé"), ("a  b", "a b"), ("a\nb", "a b"), ("x1", "x2"), ("ß", "ss"), ("x…", "x..."), ("№ 1", "No 1"), ("™", "TM"), ("½", "1/2"), ("￣", " \u0304")]
 
 
 def forms(spark, texts):
@@ -43,3 +43,14 @@ def test_hot_copies_make_no_pairs(spark):
 @pytest.mark.parametrize("c", ["'", '"', "\\", "\x00"])
 def test_quotes(spark, c):
     assert forms(spark, [f"a{c}b"]) == ["ab" if c == "\x00" else f"a{c}b"]
+
+
+def test_hot_forms_of_two_spellings_spread_over_tasks(spark, monkeypatch):
+    from lodestone.llm import pairs as Q
+
+    monkeypatch.setattr(Q.expand, "__defaults__", (7,))
+    rows = [(i, "one text" if i % 3 else "\u043ene text") for i in range(60)] + [(100, "other"), (101, "\u043ether"), (102, "\u043eth\u0435r")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = [(r["doc_a"], r["doc_b"]) for r in L.lookalike_pairs(df).collect()]
+    want = {(a, b) for a, x in rows for b, y in rows if a < b and x != y and (a < 60) == (b < 60)}
+    assert len(got) == len(set(got)) and set(got) == want
