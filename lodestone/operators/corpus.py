@@ -128,32 +128,36 @@ def in_scope(instrument: Column, wanted: str) -> Column:
 
 def conflicts(vectors: DataFrame, k: int, low: float, high: float, limit: int = 200) -> DataFrame:
     """RK17, JN19, TK10: pairs of different documents among each other's k nearest, with low <= cosine < high; either side suffices. vectors(chunk_id, doc_id, vector).
-    Vectors are put into blocks and each pair of blocks is one task's matrix product, so no task holds more than two blocks."""
+    Vectors are put into blocks; each two blocks meet in one task, which answers for both sides. Null vectors and those of zeros take no part."""
     import numpy as np
     import pandas as pd
 
     ship(vectors.sparkSession)
+    vectors = vectors.where(F.exists("vector", lambda x: x != 0))
     n = vectors.count()
     blocks = max(1, -(-n // 4096))
     b = vectors.withColumn("b", F.pmod(F.xxhash64("chunk_id"), F.lit(blocks)).cast("int"))
-    left = b.select("chunk_id", "doc_id", "vector", F.col("b").alias("i"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("j"), F.lit(0).alias("side"))
-    right = b.select("chunk_id", "doc_id", "vector", F.col("b").alias("j"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("i"), F.lit(1).alias("side"))
+    pair = F.explode(F.transform(F.sequence(F.lit(0), F.lit(blocks - 1)), lambda o: F.struct(F.least("b", o).alias("i"), F.greatest("b", o).alias("j"))))
+    met = b.select("chunk_id", "doc_id", "vector", "b", pair.alias("p")).select("chunk_id", "doc_id", "vector", "b", "p.i", "p.j")
 
     def best(pdf: pd.DataFrame) -> pd.DataFrame:
-        q, x = pdf[pdf["side"] == 0], pdf[pdf["side"] == 1]
-        empty = pd.DataFrame({"a": pd.Series([], dtype="int64"), "da": pd.Series([], dtype="int64"), "b": pd.Series([], dtype="int64"), "db": pd.Series([], dtype="int64"), "sim": pd.Series([], dtype="float64")})
-        if not len(q) or not len(x):
-            return empty
-        unit = lambda v: (m := np.stack(v.to_numpy()).astype(np.float64)) / np.linalg.norm(m, axis=1, keepdims=True)
-        s = np.round(unit(q["vector"]) @ unit(x["vector"]).T, 9)
-        s[q["chunk_id"].to_numpy()[:, None] == x["chunk_id"].to_numpy()[None, :]] = -2
-        order = np.argsort(-s, axis=1, kind="stable")[:, :k]
-        rows = np.repeat(np.arange(len(q)), order.shape[1])
-        cols = order.ravel()
-        out = pd.DataFrame({"a": q["chunk_id"].to_numpy()[rows], "da": q["doc_id"].to_numpy()[rows], "b": x["chunk_id"].to_numpy()[cols], "db": x["doc_id"].to_numpy()[cols], "sim": s[rows, cols]})
+        i, j = int(pdf["i"].iloc[0]), int(pdf["j"].iloc[0])
+        q, x = pdf[pdf["b"] == i], pdf[pdf["b"] == j]
+        parts = [pd.DataFrame({"a": pd.Series([], dtype="int64"), "da": pd.Series([], dtype="int64"), "b": pd.Series([], dtype="int64"), "db": pd.Series([], dtype="int64"), "sim": pd.Series([], dtype="float64")})]
+        if len(q) and len(x):
+            unit = lambda v: (m := np.stack(v.to_numpy()).astype(np.float64)) / np.linalg.norm(m, axis=1, keepdims=True)
+            sims = np.round(unit(q["vector"]) @ unit(x["vector"]).T, 9)
+            sims[q["chunk_id"].to_numpy()[:, None] == x["chunk_id"].to_numpy()[None, :]] = -2
+            for one, other, s in ((q, x, sims), (x, q, sims.T))[: 1 if i == j else 2]:
+                ids = other["chunk_id"].to_numpy()
+                by_id = np.argsort(ids, kind="stable")
+                order = by_id[np.argsort(-s[:, by_id], axis=1, kind="stable")[:, :k]]
+                rows, cols = np.repeat(np.arange(len(one)), order.shape[1]), order.ravel()
+                parts.append(pd.DataFrame({"a": one["chunk_id"].to_numpy()[rows], "da": one["doc_id"].to_numpy()[rows], "b": ids[cols], "db": other["doc_id"].to_numpy()[cols], "sim": s[rows, cols]}))
+        out = pd.concat(parts)
         return out[out["sim"] > -2]
 
-    near = left.unionByName(right).groupBy("i", "j").applyInPandas(best, "a bigint, da bigint, b bigint, db bigint, sim double")
+    near = met.groupBy("i", "j").applyInPandas(best, "a bigint, da bigint, b bigint, db bigint, sim double")
     w = Window.partitionBy("a").orderBy(F.desc("sim"), "b")
     near = near.withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= k)
     near = near.where((F.col("da") != F.col("db")) & (F.col("sim") >= low) & (F.col("sim") < high))

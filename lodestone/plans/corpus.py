@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,7 +11,8 @@ from lodestone.functions import text as T
 from lodestone.operators import corpus as K
 from lodestone.operators import datasets as D
 from lodestone.operators import graph as G
-from lodestone.session import table
+from lodestone.session import checkpoint_dir, table
+from lodestone.store import Catalog
 
 RULES = [("do not|never|nicht", "prohibition"), ("caution|warning|achtung|attention|atenci", "hazard"), ("at least|mindestens", "minimum"), ("(a+)+$", "risky")]
 RULES_SQL = "CASE " + " ".join(f"WHEN regexp_matches(text, '(?i){p}') THEN '{n}'" for p, n in RULES[:3]) + " END"
@@ -152,6 +155,27 @@ def source_histogram(spark: SparkSession, sf: str) -> DataFrame:
     return _documents(spark, sf).groupBy(F.coalesce("source", F.lit("")).alias("source"), F.coalesce("fmt", F.lit("")).alias("fmt")).agg(F.count("*").alias("n"))
 
 
+def store_round_trip(spark: SparkSession, sf: str) -> DataFrame:
+    """SNK01, SNK02, SNK08, SNK14, SNK16-SNK18, ST01, MS06, MS33: a catalog in the shared folder takes documents and chunks, takes them again (which adds nothing), loses a
+    source with all that hangs on it, and is indexed. Rows by table."""
+    c = Catalog(spark, f"{checkpoint_dir(spark)}/catalog-{uuid.uuid4().hex}")
+    docs = _documents(spark, sf).select("doc_id", "path", "source", "title", "fmt", F.coalesce("content_hash", F.lit("")).alias("content_hash"), "status", F.lit("[]").alias("audience"), "text")
+    chunks = _chunks(spark, sf).select("id", "document_id", "ord", "kind", "locator", "text", "restricts")
+    c.ingest(docs, chunks)
+    c.ingest(docs, chunks)
+    c.append("relations", table(spark, sf, "conflict_pairs").select(F.col("chunk_a").alias("id"), F.col("doc_a").alias("src_doc"), F.col("doc_b").alias("dst_doc"), F.lit("conflict").alias("link_type")))
+    c.remove_source("bench-portal")
+    c.write("chunks", c.read("chunks"), files=2)
+    c.build_index()
+    rows = [c.read(n).select(F.lit(n).alias("name"), F.lit(1).alias("k")) for n in ("documents", "chunks", "relations")]
+    rows.append(c.read("relations").where("dst_doc IS NULL").select(F.lit("unresolved").alias("name"), F.lit(1).alias("k")))
+    rows.append(spark.read.parquet(f"{c.folder}/postings").select(F.lit("words of the index").alias("name"), F.col("tf").alias("k")))
+    every = rows[0]
+    for r in rows[1:]:
+        every = every.unionByName(r)
+    return every.groupBy("name").agg(F.sum("k").alias("rows"))
+
+
 def store_audit(spark: SparkSession, sf: str) -> DataFrame:
     """AG17, AG31, AG39: counts of a catalog."""
     names = ("documents", "chunks", "segments", "chunk_vectors", "stdf_results", "stdf_parts", "data_columns", "data_values")
@@ -272,7 +296,7 @@ _CLEAN = r"trim(regexp_replace(COL, '[\s\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{
 _CITED = "t AS (SELECT DISTINCT chunk_a, chunk_b, doc_a, doc_b FROM conflict_pairs)"
 _EDGES = "e AS (SELECT 'conflict' AS link_type, doc_a AS src, doc_b AS dst, chunk_a AS id FROM conflict_pairs UNION ALL SELECT 'part', l_partkey + 1000000000000, l_suppkey + 2000000000000, l_orderkey * 10 + l_linenumber FROM lineitem)"
 
-QUERIES = {f.__name__: f for f in (word_chunks, snippets, search_snippets, gotcha_flags, gotcha_tally, query_sanitize, citation_verify, citation_numbers, name_conventions, slugs, key_values, ingest_text, duplicate_docs, incremental_skip, orphaned, worklist_anti, summary_worklist, vector_upsert, cascade_counts, enrichment_rows, source_histogram, store_audit, ingest_audit, stratified_allocation, stratified_sample, heading_levels, access_filter, conflict_pairs_scan, tier_annotated_conflicts, finding_flags, related_docs_depth2, link_counts, link_resolution, column_kinds, wide_unpivot, long_reader, column_analysis, column_groups)}
+QUERIES = {f.__name__: f for f in (word_chunks, snippets, search_snippets, gotcha_flags, gotcha_tally, query_sanitize, citation_verify, citation_numbers, name_conventions, slugs, key_values, ingest_text, duplicate_docs, incremental_skip, orphaned, worklist_anti, summary_worklist, vector_upsert, cascade_counts, enrichment_rows, source_histogram, store_audit, store_round_trip, ingest_audit, stratified_allocation, stratified_sample, heading_levels, access_filter, conflict_pairs_scan, tier_annotated_conflicts, finding_flags, related_docs_depth2, link_counts, link_resolution, column_kinds, wide_unpivot, long_reader, column_analysis, column_groups)}
 SQL = {
     "word_chunks": f"""WITH s AS (SELECT *, CASE WHEN kind = 'code' OR coalesce(lag(kind) OVER w, 'code') = 'code' OR heading_path IS DISTINCT FROM lag(heading_path) OVER w THEN 1 ELSE 0 END AS st, list_filter(string_split({_CLEAN.replace('COL', "coalesce(text, '')")}, ' '), lambda x: x <> '') AS ws FROM segments WINDOW w AS (PARTITION BY document_id ORDER BY ord)),
       g AS (SELECT *, sum(st) OVER (PARTITION BY document_id ORDER BY ord) AS g FROM s), h AS (SELECT document_id, g, CASE WHEN kind = 'code' THEN 'code' ELSE 'body' END AS kind, heading_path AS locator, flatten(list(ws ORDER BY ord)) AS words, min(ord) AS f, max(text) AS code FROM g GROUP BY document_id, g, 3, 4),
@@ -298,6 +322,9 @@ SQL = {
     "cascade_counts": " UNION ALL ".join(f"SELECT '{n}' AS name, count(*) AS rows FROM {n} WHERE {c} NOT IN (SELECT doc_id FROM documents WHERE status = 'superseded')" for n, c in (("documents", "doc_id"), ("chunks", "document_id"), ("segments", "document_id"), ("stdf_results", "doc_id"), ("stdf_parts", "doc_id"), ("data_columns", "doc_id"))),
     "enrichment_rows": "WITH l AS (SELECT document_id, max(ord) AS last FROM chunks GROUP BY document_id) SELECT doc_id AS document_id, CAST(coalesce(last, -1) + 1 AS INT) AS ord, 'enrichment' AS kind, title AS text FROM documents LEFT JOIN l ON l.document_id = doc_id WHERE title IS NOT NULL",
     "source_histogram": "SELECT coalesce(source, '') AS source, coalesce(fmt, '') AS fmt, count(*) AS n FROM documents GROUP BY 1, 2",
+    "store_round_trip": r"""WITH d AS (SELECT * FROM documents WHERE source IS DISTINCT FROM 'bench-portal'), c AS (SELECT DISTINCT ON (id) * FROM chunks WHERE document_id IN (SELECT doc_id FROM d)), r AS (SELECT * FROM conflict_pairs WHERE doc_a IN (SELECT doc_id FROM d))
+      SELECT 'documents' AS name, count(*) AS rows FROM d UNION ALL SELECT 'chunks', count(*) FROM c UNION ALL SELECT 'relations', count(*) FROM r UNION ALL SELECT 'unresolved', count(*) FROM r WHERE doc_b NOT IN (SELECT doc_id FROM d) HAVING count(*) > 0
+      UNION ALL SELECT 'words of the index', sum(len(regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}]+'))) FROM c""",
     "store_audit": " UNION ALL ".join(f"SELECT '{n}' AS name, count(*) AS rows FROM {n}" for n in ("documents", "chunks", "segments", "chunk_vectors", "stdf_results", "stdf_parts", "data_columns", "data_values")),
     "ingest_audit": "WITH d AS (SELECT *, trim(coalesce(text, ''), ' ') = '' AS e FROM documents) SELECT count(*) AS files, count(*) FILTER (e) AS empty, count(*) FILTER (NOT e AND length(text) < 200) AS short, count(*) FILTER (title IS NULL) AS untitled, count(*) FILTER (coalesce(content_hash, '') = '') AS unhashed, count(*) AS no_audience FROM d",
     "stratified_allocation": """WITH f AS (SELECT coalesce(source, '') AS folder, count(*) AS size FROM documents GROUP BY 1), a AS (SELECT *, count(*) OVER () AS k, sum(size - 1) OVER () AS spare FROM f), b AS (SELECT *, greatest(least(100, spare + k) - k, 0) AS lft, greatest(least(100, spare + k) - k, 0) * (size - 1) / spare AS q FROM a),

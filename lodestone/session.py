@@ -51,12 +51,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder of the cluster; a local one is made only where none is set (tests)."""
+    """The shared folder of the cluster; a local one is made only where none is set and the master is local (tests). A cluster without one is an error, as
+    a folder of the driver's machine would be another one on each executor's."""
     sc = spark.sparkContext
     there = sc._jsc.sc().getCheckpointDir()
     if there.isDefined():
         return there.get()
-    path = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="lodestone-checkpoint-")
+    path = spark.conf.get("spark.checkpoint.dir", None)
+    if not path:
+        if not (sc.master == "local" or sc.master.startswith("local[")):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        path = tempfile.mkdtemp(prefix="lodestone-checkpoint-")
     sc.setCheckpointDir(path)
     return path
 

@@ -12,7 +12,7 @@ from pyspark.sql.types import StructType
 from lodestone.functions import text as T
 from lodestone.operators import corpus as K
 from lodestone.operators import retrieval as R
-from lodestone.session import ship
+from lodestone.session import cut, ship
 
 VERSION = 1
 SCHEMAS = {
@@ -128,18 +128,39 @@ class Catalog:
         """ST01, FLT01: documents whose (path, hash) is new replace what was there under their path, with their chunks."""
         new = K.changed(documents, self.read("documents"))
         old = self.read("documents").join(new.select("path"), "path", "left_semi").select("doc_id")
-        ids = new.select("doc_id").collect()  # decided before the tables change; one batch of an ingest
-        keep = self.spark.createDataFrame([(r[0],) for r in ids], "doc_id bigint")
+        keep, old = cut(new.select("doc_id")), cut(old)  # decided, and written, before the tables change
         new = documents.join(keep, "doc_id", "left_semi")
         if old.limit(1).count():
-            self.delete_documents(self.spark.createDataFrame([(r[0],) for r in old.collect()], "doc_id bigint"))
+            self.delete_documents(old)
         self.append("documents", new)
         self.append("chunks", chunks.join(keep.select(F.col("doc_id").alias("document_id")), "document_id", "left_semi"))
 
+    def _stamp(self, name: str) -> str:
+        """The state of a table: its generation and number of files, as every write adds some."""
+        fs, path = self._fs()
+        g = self._generation(name)
+        return f"{g}:{len(fs.listStatus(path(f'{self.folder}/{name}/{g}')))}" if g >= 0 else "none"
+
+    def build_index(self) -> None:
+        """RK01: store the postings of all chunks, sorted by term, so that a search reads the files of its terms alone."""
+        c = self.read("chunks")
+        p = R.postings(c)
+        p.repartitionByRange("term").sortWithinPartitions("term").write.parquet(f"{self.folder}/postings", mode="overwrite")
+        R.index_size(c).write.parquet(f"{self.folder}/index_size", mode="overwrite")
+        self.set_meta("indexed", self._stamp("chunks"))
+
+    def _index(self) -> tuple[DataFrame, DataFrame]:
+        """Stored postings while they are those of the chunks, else made anew for this search."""
+        stamp = [r["value"] for r in self.read("meta").where("key = 'indexed'").collect()]  # one row
+        if stamp == [self._stamp("chunks")]:
+            return self.spark.read.parquet(f"{self.folder}/postings"), self.spark.read.parquet(f"{self.folder}/index_size")
+        c = self.read("chunks")
+        return R.postings(c), R.index_size(c)
+
     def search(self, queries: DataFrame, k: int = 10, roles: list[str] | None = None) -> DataFrame:
         """RK02, RK08, FLT03: the best k chunks of each query, for the roles given."""
         c = self.read("chunks")
-        scored = R.bm25(R.postings(c), R.index_size(c), R.query_terms(queries))
+        scored = R.bm25(*self._index(), R.query_terms(queries))
         docs = self.read("documents").select("doc_id", "path", "title", "source", T.audience(F.col("audience")).alias("audience"))
         hits = scored.join(c.select(F.col("id").alias("chunk_id"), F.col("document_id").alias("doc_id"), "locator"), "chunk_id").join(docs, "doc_id")
         return R.top(R.by_roles(hits, roles), k, (F.desc("score"), F.col("doc_id"), F.col("chunk_id")))
@@ -156,7 +177,7 @@ class Catalog:
         """SNK25: class of each (sha256, text, model): applied, already there, or absent here. A repeat applies nothing."""
         have = self.read("images").groupBy("sha256").agg(F.max(F.col("text").isNotNull()).alias("done"))
         r = described.join(have, "sha256", "left").withColumn("class", F.when(F.col("done").isNull(), "absent").when(F.col("done"), "already").otherwise("applied"))
-        result = self.spark.createDataFrame([tuple(x) for x in r.select("sha256", "text", "model", "class").collect()], "sha256 string, text string, model string, class string")
+        result = cut(r.select("sha256", "text", "model", "class"))  # decided before the table changes
         add = result.where("class = 'applied'").select("sha256", F.col("text").alias("__t"), F.col("model").alias("__m"))
         images = self.read("images").join(add, "sha256", "left")
         self.write("images", images.withColumn("text", F.coalesce("text", "__t")).withColumn("model", F.coalesce("model", "__m")))

@@ -57,3 +57,16 @@ def test_newer_version_is_refused(spark, tmp_path):
     c.set_meta("schema_version", "99")
     with pytest.raises(ValueError):
         Catalog(spark, f"file://{tmp_path}/cat")
+
+
+def test_stored_index_is_used_until_chunks_change(spark, tmp_path):
+    c = Catalog(spark, f"file://{tmp_path}/cat")
+    c.append("documents", spark.createDataFrame([(1, "a.md", "s", "h", "[]")], "doc_id long, path string, source string, content_hash string, audience string"))
+    c.append("chunks", spark.createDataFrame([(10, 1, "relay drift"), (11, 1, "needle relay"), (12, 1, "other words")], "id long, document_id long, text string"))
+    q = spark.createDataFrame([(1, "needle relay")], "query_id int, text string")
+    before = [tuple(r) for r in c.search(q).select("chunk_id", "score").collect()]
+    c.build_index()
+    assert c._index()[0].inputFiles()[0].count("/postings/") == 1
+    assert [tuple(r) for r in c.search(q).select("chunk_id", "score").collect()] == before
+    c.append("chunks", spark.createDataFrame([(13, 1, "needle needle relay")], "id long, document_id long, text string"))
+    assert 13 in {r["chunk_id"] for r in c.search(q).collect()}
