@@ -13,7 +13,8 @@ order comes from a count sketch of fixed size over the whole corpus. Cells are (
 own and the next levels. What passes the distance is verified on the texts.
 
 Texts of equal shingle sets form a class; only one of a class takes part, so copies cost nothing. Null and
-short texts take no part; repeated rows of an id count once. Nothing is capped.
+short texts take no part; repeated rows of an id count once. Nothing is capped: a bucket of cells with more than BUCKET_ROWS
+postings, as one shingle of very many texts makes, is cut into parts that meet two by two in tasks of their own.
 """
 
 from __future__ import annotations
@@ -35,7 +36,7 @@ from lodestone.llm.shingles import shingles, words
 from lodestone.session import cut, ship, table
 
 WORDS, SIMILARITY, MIN_WORDS = 3, 0.6, 25
-SKETCH_BITS, SKETCH_PARTS, FILTER_BITS, LEVELS, BUCKET_BYTES, PAIRS_AT_ONCE = 20, 16, 23, 7, 32 << 20, 2_000_000
+SKETCH_BITS, SKETCH_PARTS, FILTER_BITS, LEVELS, BUCKET_BYTES, BUCKET_ROWS, PAIRS_AT_ONCE = 20, 16, 23, 7, 32 << 20, 200_000, 2_000_000
 
 
 def _slices(texts: list[str], chars: int = 1_500_000) -> Iterator[tuple[int, list[str]]]:
@@ -122,12 +123,21 @@ def fold(e: np.ndarray) -> np.ndarray:
     return e[:, :half] | e[:, half:]
 
 
-def postings(chunks: DataFrame, key: str, sketch: np.ndarray, buckets: int, size: int, least: int, j: float) -> DataFrame:
-    """bucket, blob: for each bucket of shingles the texts with a prefix shingle in it, with their embedding, once each."""
-    sent = chunks.sparkSession.sparkContext.broadcast(sketch)  # fixed size
+def hot_buckets(chunks: DataFrame, sketch: np.ndarray, buckets: int, size: int, least: int, j: float, rows: int = 0) -> dict[int, int]:
+    """The number of parts of each bucket of more than BUCKET_ROWS postings, of which there are no more than all postings / BUCKET_ROWS. Counted by a pass of its own over the
+    texts, as writing the postings to count them would take more room than the texts."""
+    n = postings(chunks, sketch, buckets, size, least, j, None).groupBy("bucket").agg(F.sum("n").alias("n"))
+    rows = rows or BUCKET_ROWS
+    return {r[0]: int(-(-r[1] // rows)) for r in n.where(F.col("n") > rows).collect()}
+
+
+def postings(chunks: DataFrame, sketch: np.ndarray, buckets: int, size: int, least: int, j: float, hot: dict[int, int] | None) -> DataFrame:
+    """bucket, i, j, blob: for each bucket of shingles the texts with a prefix shingle in it, with their embedding, once each. A ``hot`` bucket is cut into
+    parts by class, and each two parts meet under (i, j); elsewhere both are 0. Without ``hot`` only counts: bucket, n."""
+    sent = chunks.sparkSession.sparkContext.broadcast((sketch, hot))  # fixed size, and a number for each hot bucket
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts, seen = sent.value, set()
+        (counts, hot), seen = sent.value, set()
         for b in batches:
             texts = b.column(0).to_pylist()
             for _, s, of, n in _sets(texts, size, least):
@@ -148,6 +158,11 @@ def postings(chunks: DataFrame, key: str, sketch: np.ndarray, buckets: int, size
                 chosen = rank < prefix[of]
                 ps, po = s[order][chosen], of[chosen]
                 bucket = (ps >> np.uint64(48)).astype(np.int64) % buckets
+                if hot is None:
+                    load = np.bincount(bucket, minlength=buckets)
+                    full = np.flatnonzero(load)
+                    yield pa.RecordBatch.from_arrays([pa.array(full.astype(np.int32)), pa.array(load[full].astype(np.int64))], names=["bucket", "n"])
+                    continue
                 level = _level(n)
                 emb: dict[int, np.ndarray] = {}
                 row_in = np.zeros(len(n), np.int64)
@@ -159,31 +174,36 @@ def postings(chunks: DataFrame, key: str, sketch: np.ndarray, buckets: int, size
                 order = np.lexsort((po, bucket))
                 ps, po, bucket = ps[order], po[order], bucket[order]
                 edges = np.searchsorted(bucket, np.arange(buckets + 1))
-                out_b, out_x = [], []
+                out = []
                 for k in range(buckets):
                     o = po[edges[k] : edges[k + 1]]
                     if not len(o):
                         continue
                     texts_here, per = np.unique(o, return_counts=True)
-                    lv = level[texts_here]
-                    by_level = np.argsort(lv, kind="stable")
-                    blob = {
-                        "cls": cls[texts_here], "n": n[texts_here].astype(np.int32), "level": lv, "per": per.astype(np.int32),
-                        "keys": (ps[edges[k] : edges[k + 1]] & np.uint64(0xFFFFFFFF)).astype(np.uint32),
-                        "emb": {int(x): emb[int(x)][row_in[texts_here[lv == x]]] for x in np.unique(lv[by_level])},
-                    }
-                    out_b.append(k)
-                    out_x.append(pickle.dumps(blob, protocol=5))
-                yield pa.RecordBatch.from_arrays([pa.array(out_b, pa.int32()), pa.array(out_x, pa.binary())], names=["bucket", "blob"])
+                    keys = (ps[edges[k] : edges[k + 1]] & np.uint64(0xFFFFFFFF)).astype(np.uint32)
+                    parts = hot.get(k, 1)
+                    part = cls[texts_here].view(np.uint64) % np.uint64(parts)
+                    for i in np.unique(part).tolist():
+                        mine = part == i
+                        t, lv = texts_here[mine], level[texts_here[mine]]
+                        blob = {
+                            "cls": cls[t], "n": n[t].astype(np.int32), "level": lv, "per": per[mine].astype(np.int32), "keys": keys[np.repeat(mine, per)], "part": np.full(len(t), i, np.int32),
+                            "emb": {int(x): emb[int(x)][row_in[t[lv == x]]] for x in np.unique(lv)},
+                        }
+                        raw = pickle.dumps(blob, protocol=5)
+                        out += [(k, min(i, other), max(i, other), raw) for other in range(parts)]
+                for at in range(0, len(out), 64):
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out[at : at + 64]), (pa.int32(), pa.int32(), pa.int32(), pa.binary()))], names=["bucket", "i", "j", "blob"])
 
     src = chunks.where(F.length("text") > 2 * least - 2).select("text")
-    return src.mapInArrow(run, "bucket int, blob binary")
+    return src.mapInArrow(run, "bucket int, n bigint" if hot is None else "bucket int, i int, j int, blob binary")
 
 
 def candidates(pdf: pd.DataFrame, j: float) -> pd.DataFrame:
-    """Pairs of classes of one bucket within the distance."""
+    """Pairs of classes of one bucket, or of two parts of one, within the distance."""
     blobs = [pickle.loads(x) for x in pdf["blob"]]
-    cls, n, level, per = (np.concatenate([b[k] for b in blobs]) for k in ("cls", "n", "level", "per"))
+    cls, n, level, per, part = (np.concatenate([b[k] for b in blobs]) for k in ("cls", "n", "level", "per", "part"))
+    two = pdf["i"].iloc[0] != pdf["j"].iloc[0]
     keys = np.concatenate([b["keys"] for b in blobs])
     row_in = np.zeros(len(cls), np.int64)
     emb: dict[int, np.ndarray] = {}
@@ -215,6 +235,8 @@ def candidates(pdf: pd.DataFrame, j: float) -> pd.DataFrame:
         a = np.repeat(r, c)
         b = a + 1 + np.arange(len(a)) - np.repeat(np.cumsum(c) - c, c)
         near = sizes[a] >= j * sizes[b] - 1e-9
+        if two:  # pairs within a part meet elsewhere
+            near &= part[of[a]] != part[of[b]]
         a, b = of[a[near]], of[b[near]]
         la, lb = level[a], level[b]
         limit = (n[a].astype(np.int64) + n[b]) * share + 1e-6
@@ -263,7 +285,8 @@ def similar_classes(chunks: DataFrame, key: str = "id", group: str = "document_i
     members, sketch = classes(chunks, key, group, size, least)
     rep = cut(members.groupBy("class").agg(F.min("id").alias("rep")))
     buckets = max(8, math.ceil(rep.count() * 90 * 8 / BUCKET_BYTES))
-    found = postings(chunks, key, sketch, buckets, size, least, j).groupBy("bucket").applyInPandas(lambda pdf: candidates(pdf, j), "class_a bigint, class_b bigint").distinct()
+    hot = hot_buckets(chunks, sketch, buckets, size, least, j)
+    found = postings(chunks, sketch, buckets, size, least, j, hot).groupBy("bucket", "i", "j").applyInPandas(lambda pdf: candidates(pdf, j), "class_a bigint, class_b bigint").distinct()
     r = [rep.select(F.col("class").alias(f"class_{x}"), F.col("rep").alias(f"rep_{x}")) for x in "ab"]
     found = cut(found.join(r[0], "class_a").join(r[1], "class_b"))
     ids = found.select(F.col("rep_a").alias("id")).union(found.select("rep_b"))

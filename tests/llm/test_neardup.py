@@ -92,3 +92,21 @@ def test_groups(spark):
     nodes = spark.range(1, 13).select(F.col("id").alias("node"))
     got = {r["node"]: r["component"] for r in N.components(edges, nodes).collect()}
     assert [got[i] for i in (1, 2, 3, 4, 5, 10, 11, 12)] == [1, 1, 1, 1, 5, 10, 10, 12]
+
+
+def test_hot_buckets_meet_in_parts(spark, monkeypatch):
+    rng = random.Random(12)
+    base = [f"w{i}" for i in range(60)]
+    rows = []
+    for i in range(120):  # one template with few edits: all share their prefix
+        own = list(base)
+        for _ in range(rng.randrange(1, 5)):
+            own[rng.randrange(60)] = f"x{rng.randrange(40)}"
+        rows.append((i, i, " ".join(own)))
+    df = spark.createDataFrame(rows, "id long, document_id long, text string").repartition(3)
+    pairs = lambda: {(r["class_a"], r["class_b"]) for r in N.similar_classes(df)[1].collect()}
+    whole = pairs()
+    monkeypatch.setattr(N, "BUCKET_ROWS", 50)
+    members, sketch = N.classes(df, "id", "document_id")
+    assert max(N.hot_buckets(df, sketch, 8, N.WORDS, N.MIN_WORDS, N.SIMILARITY).values()) > 2
+    assert pairs() == whole and len(whole) > 100
