@@ -13,8 +13,8 @@ order comes from a count sketch of fixed size over the whole corpus. Cells are (
 own and the next levels. What passes the distance is verified on the texts.
 
 Texts of equal shingle sets form a class; only one of a class takes part, so copies cost nothing. Null and
-short texts take no part; repeated rows of an id count once. Nothing is capped: a bucket of cells with more than BUCKET_ROWS
-postings, as one shingle of very many texts makes, is cut into parts that meet two by two in tasks of their own.
+short texts take no part; repeated rows of an id count once. Nothing is capped: a bucket with a cell of more than CELL_ROWS
+texts, as one shingle of very many texts makes, is cut into parts that meet two by two in tasks of their own.
 """
 
 from __future__ import annotations
@@ -36,7 +36,7 @@ from lodestone.llm.shingles import shingles, words
 from lodestone.session import cut, ship, table
 
 WORDS, SIMILARITY, MIN_WORDS = 3, 0.6, 25
-SKETCH_BITS, SKETCH_PARTS, FILTER_BITS, LEVELS, BUCKET_BYTES, BUCKET_ROWS, PAIRS_AT_ONCE = 20, 16, 23, 7, 32 << 20, 200_000, 2_000_000
+SKETCH_BITS, SKETCH_PARTS, FILTER_BITS, LEVELS, BUCKET_BYTES, CELL_ROWS, SEEN, PAIRS_AT_ONCE = 20, 16, 23, 7, 32 << 20, 20_000, 16, 2_000_000
 
 
 def _slices(texts: list[str], chars: int = 1_500_000) -> Iterator[tuple[int, list[str]]]:
@@ -123,17 +123,16 @@ def fold(e: np.ndarray) -> np.ndarray:
     return e[:, :half] | e[:, half:]
 
 
-def hot_buckets(chunks: DataFrame, sketch: np.ndarray, buckets: int, size: int, least: int, j: float, rows: int = 0) -> dict[int, int]:
-    """The number of parts of each bucket of more than BUCKET_ROWS postings, of which there are no more than all postings / BUCKET_ROWS. Counted by a pass of its own over the
-    texts, as writing the postings to count them would take more room than the texts."""
-    n = postings(chunks, sketch, buckets, size, least, j, None).groupBy("bucket").agg(F.sum("n").alias("n"))
-    rows = rows or BUCKET_ROWS
-    return {r[0]: int(-(-r[1] // rows)) for r in n.where(F.col("n") > rows).collect()}
+def hot_buckets(chunks: DataFrame, sketch: np.ndarray, buckets: int, size: int, least: int, j: float) -> dict[int, int]:
+    """The number of parts of each bucket that has a cell of more than CELL_ROWS texts, of which there are no more than all postings / CELL_ROWS. Counted by a
+    pass of its own over the texts, in which a cell of fewer than SEEN texts of some thousand doesn't count; it steers the work, not the result."""
+    n = postings(chunks, sketch, buckets, size, least, j, None).groupBy("bucket", "cell").agg(F.sum("n").alias("n")).where(F.col("n") > CELL_ROWS)
+    return {r[0]: int(-(-r[1] // CELL_ROWS)) for r in n.groupBy("bucket").agg(F.max("n")).collect()}
 
 
 def postings(chunks: DataFrame, sketch: np.ndarray, buckets: int, size: int, least: int, j: float, hot: dict[int, int] | None) -> DataFrame:
     """bucket, i, j, blob: for each bucket of shingles the texts with a prefix shingle in it, with their embedding, once each. A ``hot`` bucket is cut into
-    parts by class, and each two parts meet under (i, j); elsewhere both are 0. Without ``hot`` only counts: bucket, n."""
+    parts by class, and each two parts meet under (i, j); elsewhere both are 0. Without ``hot`` only counts: bucket, cell, n."""
     sent = chunks.sparkSession.sparkContext.broadcast((sketch, hot))  # fixed size, and a number for each hot bucket
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -159,9 +158,9 @@ def postings(chunks: DataFrame, sketch: np.ndarray, buckets: int, size: int, lea
                 ps, po = s[order][chosen], of[chosen]
                 bucket = (ps >> np.uint64(48)).astype(np.int64) % buckets
                 if hot is None:
-                    load = np.bincount(bucket, minlength=buckets)
-                    full = np.flatnonzero(load)
-                    yield pa.RecordBatch.from_arrays([pa.array(full.astype(np.int32)), pa.array(load[full].astype(np.int64))], names=["bucket", "n"])
+                    cell, load = np.unique(ps, return_counts=True)
+                    cell, load = cell[load >= SEEN], load[load >= SEEN]
+                    yield pa.RecordBatch.from_arrays([pa.array(((cell >> np.uint64(48)).astype(np.int64) % buckets).astype(np.int32)), pa.array(cell.view(np.int64)), pa.array(load.astype(np.int64))], names=["bucket", "cell", "n"])
                     continue
                 level = _level(n)
                 emb: dict[int, np.ndarray] = {}
@@ -196,7 +195,7 @@ def postings(chunks: DataFrame, sketch: np.ndarray, buckets: int, size: int, lea
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out[at : at + 64]), (pa.int32(), pa.int32(), pa.int32(), pa.binary()))], names=["bucket", "i", "j", "blob"])
 
     src = chunks.where(F.length("text") > 2 * least - 2).select("text")
-    return src.mapInArrow(run, "bucket int, n bigint" if hot is None else "bucket int, i int, j int, blob binary")
+    return src.mapInArrow(run, "bucket int, cell bigint, n bigint" if hot is None else "bucket int, i int, j int, blob binary")
 
 
 def candidates(pdf: pd.DataFrame, j: float) -> pd.DataFrame:

@@ -106,7 +106,8 @@ def test_hot_buckets_meet_in_parts(spark, monkeypatch):
     df = spark.createDataFrame(rows, "id long, document_id long, text string").repartition(3)
     pairs = lambda: {(r["class_a"], r["class_b"]) for r in N.similar_classes(df)[1].collect()}
     whole = pairs()
-    monkeypatch.setattr(N, "BUCKET_ROWS", 50)
+    monkeypatch.setattr(N, "CELL_ROWS", 15)
+    monkeypatch.setattr(N, "SEEN", 2)
     members, sketch = N.classes(df, "id", "document_id")
     assert max(N.hot_buckets(df, sketch, 8, N.WORDS, N.MIN_WORDS, N.SIMILARITY).values()) > 2
     assert pairs() == whole and len(whole) > 100
