@@ -6,8 +6,12 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from lodestone.functions import text as T
 from lodestone.session import ship
@@ -18,6 +22,8 @@ RRF_K = 60
 BROADCAST_TERMS = 200_000
 #: Vectors asked, and vectors searched, that meet as two matrices in one task.
 BLOCK, SLAB = 1024, 4096
+#: Chunks, and queries of words, that meet in one task; share of a block's chunks above which a word is common there. They steer speed only.
+CHUNKS, QUERIES, COMMON = 65_536, 100_000, 1 / 64
 TIER_BOOST, FEEDBACK_BOOST = {"internal": 0.02, "vendor": 0.0}, 0.03
 
 
@@ -67,6 +73,103 @@ def bm25(post: DataFrame, size: DataFrame, terms: DataFrame, prefix: bool = Fals
     return weights.join(terms, "term").groupBy("query_id", "chunk_id").agg(F.round(F.sum("w"), 6).alias("score"))
 
 
+def _packed(p: DataFrame) -> DataFrame:
+    """chunk_id, dl, words (term, tf): the postings of a chunk in one row."""
+    return p.groupBy("chunk_id").agg(F.max("dl").alias("dl"), F.collect_list(F.struct("term", "tf")).alias("words"))  # no more than the words of one text
+
+
+def _best_of_block(asked: pa.Table, packed: pa.Table, avgdl: float, k: int) -> tuple[pa.Array, pa.Array, np.ndarray]:
+    """query_id, chunk_id, score of the ``k`` best chunks of a block for each query, by rounded score and then by chunk_id.
+
+    The sums over the words that are common in the block are shared by all queries with the same common words. As weights are positive, a chunk without any rare
+    word of a query is among the k best of the query only if it is among the k best of the common words; all others that may be have a rare word."""
+    packed = packed.sort_by("chunk_id").combine_chunks()
+    asked = asked.combine_chunks()
+    n_chunks, n_queries = len(packed), len(asked)
+    lists, words = packed["words"].combine_chunks(), asked["words"].combine_chunks()
+    flat, q_flat = lists.flatten(), words.flatten()
+    vocabulary = q_flat.field("term").dictionary_encode()
+    q_code, q_of = vocabulary.indices.to_numpy(), np.repeat(np.arange(n_queries), words.value_lengths().to_numpy())
+    idf = np.zeros(len(vocabulary.dictionary))
+    idf[q_code] = q_flat.field("idf").to_numpy()
+    code = pc.fill_null(pc.index_in(flat.field("term"), value_set=vocabulary.dictionary), -1).to_numpy()
+    at, tf = np.repeat(np.arange(n_chunks), lists.value_lengths().to_numpy()), flat.field("tf").to_numpy().astype(float)
+    w = np.where(code >= 0, idf[code], 0.0) * tf * (K1 + 1) / (tf + K1 * (1 - B_ + B_ * packed["dl"].to_numpy()[at] / avgdl))
+    order = np.argsort(code, kind="stable")
+    order = order[np.searchsorted(code[order], 0) :]
+    at, w, code = at[order], w[order], code[order]
+    begin = np.searchsorted(code, np.arange(len(idf) + 1))
+    common = np.diff(begin) > n_chunks * COMMON
+    frequent: list[list[int]] = [[] for _ in range(n_queries)]
+    rare: list[list[int]] = [[] for _ in range(n_queries)]
+    for q, c in sorted(zip(q_of.tolist(), q_code.tolist())):
+        if begin[c + 1] > begin[c]:
+            (frequent if common[c] else rare)[q].append(c)
+    same: dict[tuple[int, ...], list[int]] = {}
+    for q, cs in enumerate(frequent):
+        same.setdefault(tuple(cs), []).append(q)
+
+    def first(pos: np.ndarray, score: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        digits = np.floor(score * 1e6 + 0.5)
+        if len(pos) > 4 * k:
+            keep = digits >= np.partition(digits, len(pos) - k)[len(pos) - k]
+            pos, digits = pos[keep], digits[keep]
+        best = np.lexsort((pos, -digits))[:k]
+        return pos[best], digits[best] / 1e6
+
+    added, none = np.zeros(n_chunks), (np.zeros(0, dtype=int), np.zeros(0))
+    out: list[tuple[int, np.ndarray, np.ndarray]] = []
+    for cs, queries in same.items():
+        base = np.zeros(n_chunks)
+        for c in cs:
+            base[at[begin[c] : begin[c + 1]]] += w[begin[c] : begin[c + 1]]
+        top_base = first(there := np.flatnonzero(base), base[there]) if cs else none
+        for q in queries:
+            if not rare[q]:
+                out.append((q, *top_base))
+                continue
+            runs = [slice(begin[c], begin[c + 1]) for c in rare[q]]
+            for r in runs:
+                added[at[r]] += w[r]
+            pos = at[runs[0]] if len(runs) == 1 else np.unique(np.concatenate([at[r] for r in runs]))
+            rest = top_base[0][added[top_base[0]] == 0]
+            both = np.concatenate([pos, rest])
+            out.append((q, *first(both, base[both] + added[both])))
+            added[pos] = 0
+    of = np.repeat([q for q, _, _ in out], [len(x) for _, x, _ in out])
+    return asked["query_id"].combine_chunks().take(pa.array(of)), packed["chunk_id"].combine_chunks().take(pa.array(np.concatenate([x for _, x, _ in out]))), np.concatenate([x for _, _, x in out])
+
+
+def bm25_best(post: DataFrame, size: DataFrame, terms: DataFrame, k: int) -> DataFrame:
+    """RK08, TK01: query_id, chunk_id, score, rank of the ``k`` best chunks of each query, however many queries: as ``bm25`` and ``top`` give them, without
+    a row for each query and each of its chunks. Blocks of chunks meet blocks of queries in a task, and only the best of each two blocks move.
+
+    ``size`` is one row, read here, as are the numbers of queries and of their words."""
+    spark = post.sparkSession
+    ship(spark)
+    n_docs, avgdl = size.first()
+    n_queries, n_words = terms.agg(F.count_distinct("query_id"), F.count_distinct("term")).first()
+    blocks, slabs = max(n_docs // CHUNKS + 1, min(2 * spark.sparkContext.defaultParallelism, n_docs // 1000 + 1)), n_queries // QUERIES + 1
+    if n_words <= BROADCAST_TERMS:  # words that nobody asks for don't move; more words than that stay with their chunk, whose row moves once
+        post = post.join(F.broadcast(terms.select("term").distinct()), "term", "left_semi")
+    raw = F.log((n_docs - F.col("n") + 0.5) / (F.col("n") + 0.5))
+    idf = F.when(raw <= 0, F.lit(IDF_FLOOR)).otherwise(raw)
+    known = terms.join(post.groupBy("term").agg(F.count("*").alias("n")), "term").select("query_id", "term", idf.alias("idf"))
+    asked = known.groupBy("query_id").agg(F.collect_list(F.struct("term", "idf")).alias("words"))  # at most MAX_TERMS
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    asked = asked.select("query_id", "words", F.pmod(F.hash("query_id"), F.lit(slabs)).alias("slab"), every(blocks).alias("block"))
+    packed = _packed(post).select("chunk_id", "dl", "words", F.pmod(F.xxhash64("chunk_id"), F.lit(blocks)).cast("int").alias("block"), every(slabs).alias("slab"))
+    schema = StructType([StructField("query_id", terms.schema["query_id"].dataType), StructField("chunk_id", post.schema["chunk_id"].dataType), StructField("score", DoubleType())])
+    kinds = to_arrow_schema(schema).types
+
+    def meet(a: pa.Table, p: pa.Table) -> pa.Table:
+        got = _best_of_block(a, p, avgdl or 1.0, k) if a.num_rows and p.num_rows else [pa.array([], t) for t in kinds]
+        return pa.table(dict(zip(("query_id", "chunk_id", "score"), got)))
+
+    met = asked.groupBy("block", "slab").cogroup(packed.groupBy("block", "slab")).applyInArrow(meet, schema)
+    return top(met, k, (F.desc("score"), F.asc_nulls_last("chunk_id")))
+
+
 def top(scored: DataFrame, k: int, by: tuple[Column, ...], per: tuple[str, ...] = ("query_id",)) -> DataFrame:
     """TK01/TK04: rows of rank 1..k in each group; the window's limit is pushed below the shuffle."""
     w = Window.partitionBy(*per).orderBy(*by)

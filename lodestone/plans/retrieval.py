@@ -43,7 +43,8 @@ def bm25_prefix(spark: SparkSession, sf: str) -> DataFrame:
 def bm25_batch(spark: SparkSession, sf: str) -> DataFrame:
     """RK08: every document title is a query, all in one job."""
     d = table(spark, sf, "documents").where("title IS NOT NULL").groupBy("title").agg(F.min("doc_id").cast("int").alias("query_id")).select("query_id", F.col("title").alias("text"))
-    return R.top(_bm25(spark, sf, False, d), 3, (F.desc("score"), F.col("chunk_id"))).select("query_id", "rank", "chunk_id", "score")
+    c = _chunks(spark, sf)
+    return R.bm25_best(R.postings(c), R.index_size(c), R.query_terms(d), 3).select("query_id", "rank", "chunk_id", "score")
 
 
 def matching_chunks(spark: SparkSession, sf: str) -> DataFrame:

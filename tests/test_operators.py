@@ -296,3 +296,39 @@ def test_gallery_queries_have_the_cap_of_the_operator(spark, sf_oracle):
 
     assert PM.round_robin_pick(spark, sf_oracle).count() > 12
     assert PR.dashboard_gallery(spark, sf_oracle).count() > 20
+
+
+def test_best_of_a_batch_of_queries(spark, monkeypatch):
+    """In blocks of any size, with words that are common, rare, asked twice, asked by nobody or in no text; ties and a null id."""
+    rng = random.Random(3)
+    words = ["the"] * 40 + ["of"] * 12 + ["pin"] * 4 + [f"w{i}" for i in range(40)]
+    rows = [(i, " ".join(rng.choice(words) for _ in range(rng.randrange(12)))) for i in range(400)]
+    rows += [(1000 + i, t) for i, t in rows[:100]] + [(5000, None), (None, "the w7 w7 w8 w9")]
+    df = spark.createDataFrame(rows, "id long, text string")
+    asked = [(i, " ".join(rng.choice(words) for _ in range(rng.randrange(1, 5)))) for i in range(60)] + [(90, "nowhere"), (91, "the"), (92, "w1 nowhere"), (93, "w7 w8 w9")]
+    terms = R.query_terms(spark.createDataFrame(asked, "query_id int, text string"))
+    post, size = R.postings(df), R.index_size(df)
+    want = sorted(map(tuple, R.top(R.bm25(post, size, terms), 5, (F.desc("score"), F.asc_nulls_last("chunk_id"))).select("query_id", "rank", "chunk_id", "score").collect()), key=lambda x: x[:2])
+    for chunks, queries, broadcast in ((65_536, 100_000, 200_000), (40, 17, 0)):
+        monkeypatch.setattr(R, "CHUNKS", chunks)
+        monkeypatch.setattr(R, "QUERIES", queries)
+        monkeypatch.setattr(R, "BROADCAST_TERMS", broadcast)
+        got = sorted(map(tuple, R.bm25_best(post, size, terms, 5).select("query_id", "rank", "chunk_id", "score").collect()), key=lambda x: x[:2])
+        assert got == want
+    assert R.bm25_best(post, size, terms.where("false"), 5).count() == R.bm25_best(post.where("false"), R.index_size(df.where("false")), terms, 5).count() == 0
+
+
+def test_batch_makes_no_row_for_each_query_and_chunk(spark, tmp_path):
+    from lodestone.plans import retrieval as PR
+
+    spark.range(400).selectExpr("id", "concat('alpha beta gamma word', id) AS text").write.parquet(f"{tmp_path}/chunks.parquet")
+    spark.range(400).selectExpr("id AS doc_id", "concat('alpha beta gamma name', id) AS title").write.parquet(f"{tmp_path}/documents.parquet")
+    df = PR.bm25_batch(spark, str(tmp_path))
+    assert len(df.collect()) == 400 * 3
+
+    def most(node) -> int:
+        inner = [node.executedPlan()] if node.nodeName() == "AdaptiveSparkPlan" else [node.plan()] if "QueryStage" in node.nodeName() else [node.children().apply(i) for i in range(node.children().size())]
+        rows = node.metrics().get("numOutputRows")
+        return max([rows.get().value() if rows.isDefined() else 0, *map(most, inner)])
+
+    assert most(df._jdf.queryExecution().executedPlan()) < 400 * 400 / 4
