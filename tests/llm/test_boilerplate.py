@@ -104,3 +104,25 @@ def test_lines_of_inferred_expressions_are_not_kept_verbatim():
     w = B.Wrapper(rows)
     inferred = [B.pieces(t) for t in w.templates if B.SLOT in t or B.OPTION in t]
     assert inferred and not [t for t in w.templates if B.SLOT not in t and B.OPTION not in t and any(B.fits(p, " ".join(t).replace("#", "0")) for p in inferred)]
+
+
+def test_every_page_counts(spark):
+    name = lambda i: "x" + "".join("abcdefghij"[int(d)] for d in str(i))
+    pages = [("h", i, f"<nav>{name(i // 2)} menu</nav><main><p>Text of the case.</p></main>") for i in range(4_300)]
+    got = B.fit(spark.createDataFrame(pages, "host string, key long, html string"))
+    assert got.templates == sorted((name(i), "menu") for i in range(2_150))
+
+
+def test_fit_equals_the_wrapper_of_all_lines(spark):
+    import re
+    from collections import defaultdict
+
+    rng = random.Random(11)
+    pages = [(f"h{i % 3}", i, page(i, rng)) for i in range(60)] + [("h0", 60, "<nav>- </nav><nav>Once only</nav><p>-</p><p>· </p>")]
+    shown = defaultdict(set)
+    for host, key, html in pages:
+        for sig, pos, frame, text in B.labelled_lines(html):
+            shown[(host, sig, pos, frame, re.sub("[0-9]+", "0", text))].add(key)
+    want = B.Wrapper([(*x, len(keys)) for x, keys in shown.items()])
+    got = B.fit(spark.createDataFrame(pages, "host string, key long, html string"))
+    assert got.titles and got.items and (got.templates, got.titles, got.items, got.item_words) == (want.templates, want.titles, want.items, want.item_words)
